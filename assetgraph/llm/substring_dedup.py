@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .wordhash import hash_words, space_table, window_hashes
+from .wordhash import hash_words, mix, space_table, window_hashes
 
 FIRST = 4
 
@@ -94,7 +94,8 @@ class Batch:
     def level(self, m: int) -> Level:
         """The candidates' windows of m words around their named short window."""
         h, _ = window_hashes(self.hashes, self.bounds, m)
-        return _level(h[self.at + np.minimum(self.place, self.length - m)], self.word_ids[self.at])
+        # mixed again: the smallest of several hashes are not spread evenly over the ranges
+        return _level(mix(h[self.at + np.minimum(self.place, self.length - m)]), self.word_ids[self.at])
 
     def keep(self, which: np.ndarray) -> None:
         self.at, self.place = self.at[which], self.place[which]
