@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann_search import search
 from .common import fold, read_table
 from .decontaminate import find_contamination
 from .jaccard_join import jaccard_components
 from .language_id import identify_language
 from .mixing import plan_mix
+from .quality import resample
 from .secret_scan import spans_only
 from .substring_dedup import remove_repeats
 from .toxicity import score_toxicity
@@ -34,6 +36,11 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans_only(read_table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 5 over documents: half of them are sampled towards texts labelled good."""
+    return resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 6 over documents, five-word shingles, similarity 0.8."""
     return jaccard_components(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
@@ -52,6 +59,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 9 over embeddings; every twentieth id asks."""
+    return search(read_table(spark, sf_dir, "embeddings"), lambda v: F.pmod(v, F.lit(20)) == 0)
+
+
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 10 over documents."""
     return plan_mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -61,9 +73,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_decontaminate": op2_decontaminate,
     "op3_secrets": op3_secrets,
+    "op5_quality": op5_quality,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_language_id": op8_language_id,
+    "op9_ann": op9_ann,
     "op10_mix": op10_mix,
 }
 
