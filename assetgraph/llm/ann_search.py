@@ -9,7 +9,7 @@ scanned in blocks of `block` rotated columns.  After each block a hypothesis tes
 the scaled partial distance with the distance of the worst result so far: as the
 rotation is random, the partial distance over d of D columns estimates the whole within
 a factor that narrows with d, and candidates that are above it by more than
-`epsilon` / sqrt(d) are given up.  Survivors are scored exactly, in double
+`epsilon` / sqrt(d) are given up; they never come back.  Survivors are scored exactly, in double
 precision on the original vectors.
 
 Equal vectors form a class and are scanned once; a class knows its `k` + 1 smallest ids,
@@ -60,28 +60,38 @@ def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.argmin((c * c).sum(axis=1)[None, :] - 2 * (x @ c.T), axis=1)
 
 
-def adaptive_scan(query: np.ndarray, rows: np.ndarray, k: int, block: int, epsilon: float) -> np.ndarray:
-    """Places of rows that may be among the k nearest to the query; both rotated."""
+def adaptive_scan(queries: np.ndarray, rows: np.ndarray, k: int, block: int, epsilon: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, row) that may be among the query's k nearest; both rotated.
+
+    The first rows are measured whole and give each query the distance to beat; after
+    each block of columns, pairs whose partial distance fails the test are given up.
+    """
     n, dims = rows.shape
     if n <= k:
-        return np.arange(n)
-    # the first block of rows is measured whole and gives the distance to beat
-    head = min(n, max(4 * k, 128))
-    whole = ((rows[:head] - query) ** 2).sum(axis=1)
-    limit = np.partition(whole, k - 1)[k - 1]
-    alive, partial = np.arange(head, n), np.zeros(n - head)
+        return np.divmod(np.arange(len(queries) * n), n)
+    head = min(n, max(8 * k, n // 8))
+    whole = (queries**2).sum(axis=1)[:, None] + (rows[:head] ** 2).sum(axis=1)[None, :] - 2 * queries @ rows[:head].T
+    limit = np.partition(whole, k - 1, axis=1)[:, k - 1] + 1e-9
+    found_q, found_r = np.nonzero(whole <= limit[:, None])
+    # all pairs go through the first block; those left are then followed one by one
+    q, r = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    partial = np.zeros(0)
     for lo in range(0, dims, block):
         hi = min(lo + block, dims)
-        partial += ((rows[alive, lo:hi] - query[lo:hi]) ** 2).sum(axis=1)
         bound = limit if hi == dims else limit * (1 + epsilon / np.sqrt(hi)) ** 2 * hi / dims
-        on = partial <= bound
-        alive, partial = alive[on], partial[on]
-        if not len(alive):
-            break
-    return np.concatenate([np.flatnonzero(whole <= limit), alive])
-
-
-def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", lists: int | None = None, probes: int | None = None, sample: int = 20_000, block: int = 16, epsilon: float = 2.1, task_rows: int = 4096) -> DataFrame:
+        if not lo:
+            x, y = queries[:, :hi], rows[head:, :hi]
+            first = (x**2).sum(axis=1)[:, None] + (y**2).sum(axis=1)[None, :] - 2 * x @ y.T
+            q, r = np.nonzero(first <= bound[:, None])
+            partial, r = first[q, r], r + head
+            continue
+        partial = partial + ((queries[q, lo:hi] - rows[r, lo:hi]) ** 2).sum(axis=1)
+        on = partial <= bound[q]
+        q, r, partial = q[on], r[on], partial[on]
+    return np.concatenate([found_q, q]), np.concatenate([found_r, r])
+
+
+def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", lists: int | None = None, probes: int | None = None, sample: int = 20_000, block: int = 16, epsilon: float = 2.5, task_rows: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found for each row for which is_query(id column) holds."""
     raw = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vector_col].cast("array<double>").alias("v"))
     ok = F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
@@ -102,8 +112,8 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
     classes = good.groupBy("class").agg(F.first("v").alias("v"), F.max(is_query(F.col("vec_id"))).alias("asked"))
     classes = written(classes.withColumn("norm", norm), "ann-classes")
     top = classes.agg(F.max("norm").alias("m"), F.count("*").alias("n")).first()
-    lists = lists or max(1, int(2 * top.n**0.5))
-    probes = probes or max(4, int(0.5 * lists))
+    lists = lists or max(16, top.n // task_rows)
+    probes = probes or max(1, int(np.ceil(0.75 * lists)))
     share = min(1.0, sample / top.n)
     fitted = classes.where(F.pmod(F.xxhash64(F.lit("fit"), "class"), F.lit(1 << 20)) < int(share * (1 << 20))).select("v").toPandas()
     if not len(fitted):
@@ -150,15 +160,20 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
             names = right.column("class").to_numpy()
             x = matrix(left.column("v").combine_chunks(), dims)
             q = np.concatenate([x, np.zeros((len(x), 1))], axis=1) @ turn
-            for i, query in enumerate(left.column("class").to_numpy()):
-                at = adaptive_scan(q[i], turned, k + 1, block, epsilon)
-                score = own[at] @ x[i]
-                if len(at) > k + 1:
-                    best = score >= np.partition(score, len(at) - k - 1)[len(at) - k - 1] - 1e-9 * abs(top.m)
-                    at, score = at[best], score[best]
-                out["qclass"].append(np.full(len(at), query))
-                out["class"].append(names[at])
-                out["score"].append(score)
+            asking = left.column("class").to_numpy()
+            for lo in range(0, len(x), 64):
+                i, at = adaptive_scan(q[lo : lo + 64], turned, k + 1, block, epsilon)
+                i = i + lo
+                score = (own[at] * x[i]).sum(axis=1)
+                order = np.lexsort((-score, i))
+                i, at, score = i[order], at[order], score[order]
+                first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+                size = np.diff(np.r_[first, len(i)])
+                edge = np.repeat(score[np.minimum(first + k, first + size - 1)], size)
+                on = score >= edge  # the k + 1 best, and what ties with the last of them
+                out["qclass"].append(asking[i[on]])
+                out["class"].append(names[at[on]])
+                out["score"].append(score[on])
         cat = lambda c, t: pa.array(np.concatenate(out[c]) if out[c] else [], t)
         return pa.table({"qclass": cat("qclass", pa.int64()), "class": cat("class", pa.int64()), "score": cat("score", pa.float64())})
 

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .wordhash import chunks, mix
 
@@ -149,8 +150,9 @@ def fit_prototypes(docs: DataFrame, sample_per_lang: int, n: int, dims: int) ->
 
 
 def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray, n: int, dims: int) -> DataFrame:
-    """(doc_id, lang_pred, score) of every row; score is (1 + cosine) / 2."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    """lang_pred and score of every row, beside its other columns; score is (1 + cosine) / 2."""
+    text_at = docs.columns.index("text")
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast((langs, prototypes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +161,7 @@ def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray, n: int, d
         for whole in batches:
             for batch in chunks(whole, "text"):
                 langs_out, scores = [], []
-                for text in batch.column(1).to_pylist():
+                for text in batch.column(text_at).to_pylist():
                     v = bundler.bundle(text) if names else None
                     if v is None or not (size := np.linalg.norm(v)):
                         langs_out.append("und")
@@ -169,13 +171,17 @@ def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray, n: int, d
                     best = int(np.argmax(cos))
                     langs_out.append(names[best])
                     scores.append(float(min(1.0, max(0.0, (1 + cos[best]) / 2))))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs_out, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs_out, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return docs.mapInArrow(run, schema)
 
 
-def identify_language(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_per_lang: int = 4000, n: int = N, dims: int = DIMENSIONS) -> DataFrame:
-    """Learn from the rows where `train` holds; predict all rows."""
+def identify_language(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None, sample_per_lang: int = 4000, n: int = N, dims: int = DIMENSIONS) -> DataFrame:
+    """Learn from the rows where `train` holds; predict all rows: doc_id (or the columns to keep), lang_pred, score."""
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"), train.alias("train"))
     langs, prototypes = fit_prototypes(rows.where("train"), sample_per_lang, n, dims)
-    return predict(rows, langs, prototypes, n, dims)
+    if keep is not None:
+        own = docs.select(*(docs[c].alias(f"_{i}") for i, c in enumerate(keep)), docs[text_col].cast("string").alias("text"))
+        out = predict(own, langs, prototypes, n, dims)
+        return out.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(keep)), "lang_pred", "score")
+    return predict(rows.select("doc_id", "text"), langs, prototypes, n, dims).select("doc_id", "lang_pred", "score")

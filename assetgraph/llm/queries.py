@@ -12,6 +12,7 @@ from .common import fold, read_table
 from .decontaminate import find_contamination
 from .jaccard_join import jaccard_components
 from .language_id import identify_language
+from .license_scan import scan_licenses
 from .mixing import plan_mix
 from .quality import resample
 from .secret_scan import spans_only
@@ -36,6 +37,11 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans_only(read_table(spark, sf_dir, "documents"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 4 over documents."""
+    return scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 5 over documents: half of them are sampled towards texts labelled good."""
     return resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
@@ -73,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_decontaminate": op2_decontaminate,
     "op3_secrets": op3_secrets,
+    "op4_licenses": op4_licenses,
     "op5_quality": op5_quality,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_substring_dedup": op7_substring_dedup,

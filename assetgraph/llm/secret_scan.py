@@ -28,6 +28,8 @@ import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import map_batches
 
@@ -142,21 +144,24 @@ def redacted(text: str | None, spans: list[tuple[int, int, str]]) -> str | None:
     return "".join([*out, text[at:]])
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:
-    """One row per input row: id, counts per kind, base_sha256, spans, redacted text."""
-    docs = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, window: int = 20) -> DataFrame:
+    """One row per input row: its id (or the columns to keep), counts per kind, base_sha256, spans, redacted text."""
+    kept = [id_col] if keep is None else keep
+    own = docs.select(*(docs[c].alias(f"_{i}") for i, c in enumerate(kept)), docs[text_col].cast("string").alias("text"))
+    added = ["n_assign", "n_access", "n_hex", "n_entropy", "base_sha256", "spans", "redacted"]
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column(1).to_pylist()
+        texts = batch.column(len(kept)).to_pylist()
         found = [scan_text(t, window) for t in texts]
         count = lambda k: pa.array([sum(s[2] == k for s in every) for _, every in found], pa.int64())
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), *(count(k) for k in KINDS), pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b, _ in found], pa.string()), pa.array([joined(e) for _, e in found], pa.string()), pa.array([redacted(t, e) for t, (_, e) in zip(texts, found)], pa.string())],
-            names=["doc_id", "n_assign", "n_access", "n_hex", "n_entropy", "base_sha256", "spans", "redacted"],
+            [*batch.columns[:-1], *(count(k) for k in KINDS), pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b, _ in found], pa.string()), pa.array([joined(e) for _, e in found], pa.string()), pa.array([redacted(t, e) for t, (_, e) in zip(texts, found)], pa.string())],
+            names=[*batch.schema.names[:-1], *added],
         )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_batches(docs, step, f"doc_id {kind}, n_assign bigint, n_access bigint, n_hex bigint, n_entropy bigint, base_sha256 string, spans string, redacted string")
+    schema = T.StructType([*own.schema.fields[:-1], *(T.StructField(c, T.LongType() if c.startswith("n_") else T.StringType()) for c in added)])
+    names = ["doc_id"] if keep is None else kept
+    return map_batches(own, step, schema).select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(names)), *added)
 
 
 def spans_only(docs: DataFrame, window: int = 20) -> DataFrame:
