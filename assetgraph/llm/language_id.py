@@ -31,7 +31,7 @@ from .wordhash import chunks, mix
 
 DIMENSIONS = 512
 N = 3
-_BLOCK = 1 << 20  # letters handled at once
+_BLOCK = 1 << 18  # letters handled at once
 
 
 def letter_vectors(points: np.ndarray, dims: int) -> np.ndarray:
@@ -68,14 +68,15 @@ def _is_letter(points: np.ndarray) -> np.ndarray:
 
 
 class Bundler:
-    """Text vectors; keeps the n-gram vectors that it met, up to a bound."""
+    """Vectors of texts, a block of texts at a time; keeps n-gram vectors that it made, up to a bound."""
 
     def __init__(self, n: int, dims: int, keep: int = 30_000) -> None:
         self.n, self.dims, self.keep = n, dims, keep
-        self.keys = np.zeros(0, np.int64)
-        self.table = np.zeros((0, dims), np.float32)
+        self.keys, self.at = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.table, self.used = np.zeros((1024, dims), np.float32), 0
 
     def vectors(self, keys: np.ndarray) -> np.ndarray:
+        """Bind the rotated letter vectors of each n-gram."""
         out = np.ones((len(keys), self.dims), np.int8)
         for place in range(self.n):
             points = (keys >> (21 * (self.n - 1 - place))) & 0x1FFFFF
@@ -84,38 +85,85 @@ class Bundler:
         return out.astype(np.float32)
 
     def rows(self, keys: np.ndarray) -> np.ndarray:
-        """Places of sorted distinct keys in the table, which gets what it lacks."""
-        at = np.searchsorted(self.keys, keys)
-        at[at == len(self.keys)] = 0
-        missing = keys[self.keys[at] != keys] if len(self.keys) else keys
+        """Vectors of sorted distinct keys."""
+        i = np.searchsorted(self.keys, keys)
+        i[i == len(self.keys)] = 0
+        missing = keys[self.keys[i] != keys] if len(self.keys) else keys
         if len(missing):
-            if len(self.keys) + len(missing) > self.keep:
-                self.keys, self.table, missing = self.keys[:0], self.table[:0], keys
+            if self.used + len(missing) > self.keep:
+                self.keys, self.at, self.used, missing = self.keys[:0], self.at[:0], 0, keys
+            while self.used + len(missing) > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.table[self.used : self.used + len(missing)] = self.vectors(missing)
             every = np.concatenate([self.keys, missing])
             order = np.argsort(every, kind="stable")
-            self.table = np.concatenate([self.table, self.vectors(missing)])[order]
-            self.keys = every[order]
-            at = np.searchsorted(self.keys, keys)
-        return at
-
-    def bundle(self, text: str | None) -> np.ndarray | None:
-        """The text's vector, or None if it has no letter."""
-        letters = letters_of(text).astype(np.int64)
-        if not len(letters):
-            return None
-        if len(letters) < self.n:
-            letters = np.concatenate([letters, np.full(self.n - len(letters), 32)])
-        out = np.zeros(self.dims, np.float64)
-        for lo in range(0, len(letters) - self.n + 1, _BLOCK):
-            part = letters[lo : lo + _BLOCK + self.n - 1]
-            m = len(part) - self.n + 1
-            keys = np.zeros(m, np.int64)
+            self.at = np.concatenate([self.at, np.arange(self.used, self.used + len(missing))])[order]
+            self.keys, self.used = every[order], self.used + len(missing)
+            i = np.searchsorted(self.keys, keys)
+        return self.table[self.at[i]]
+
+    def _add(self, out: np.ndarray, pieces: list[tuple[int, np.ndarray]]) -> None:
+        """Add the n-gram vectors of letter runs to their texts' rows."""
+        letters = np.concatenate([p for _, p in pieces])
+        size = np.array([len(p) for _, p in pieces])
+        row = np.repeat(np.arange(len(pieces)), size)
+        m = len(letters) - self.n + 1
+        whole = row[:m] == row[self.n - 1 :]  # n-grams do not cross texts
+        seen = np.bincount(letters)
+        points = np.flatnonzero(seen)
+        k = len(points)
+        if k**self.n <= 1 << 22:
+            small = np.zeros(len(seen), np.int64)
+            small[points] = np.arange(k)
+            ids = small[letters]
+            code = np.zeros(m, np.int64)
             for place in range(self.n):
-                keys = (keys << 21) | part[place : place + m]
-            keys, counts = np.unique(keys, return_counts=True)
-            for i in range(0, len(keys), self.keep):
-                at = self.rows(keys[i : i + self.keep])
-                out += counts[i : i + self.keep].astype(np.float32) @ self.table[at]
+                code = code * k + ids[place : place + m]
+            code, row = code[whole], row[:m][whole]
+            codes = np.flatnonzero(np.bincount(code, minlength=1))
+            column = np.zeros(int(codes[-1]) + 1, np.int64)
+            column[codes] = np.arange(len(codes))
+            column = column[code]
+            keys = np.zeros(len(codes), np.int64)
+            for place in range(self.n):
+                keys = (keys << 21) | points[codes // k ** (self.n - 1 - place) % k]
+        else:
+            code = np.zeros(m, np.int64)
+            for place in range(self.n):
+                code = (code << 21) | letters[place : place + m]
+            row = row[:m][whole]
+            keys, column = np.unique(code[whole], return_inverse=True)
+        order = np.arange(len(row))
+        texts = np.array([i for i, _ in pieces])
+        for lo in range(0, len(keys), self.keep):
+            hi = min(lo + self.keep, len(keys))
+            if lo or hi < len(keys):
+                order = np.flatnonzero((column >= lo) & (column < hi))
+            vectors = self.rows(keys[lo:hi])
+            step = max(1, (1 << 22) // (hi - lo))
+            for a in range(0, len(pieces), step):
+                b = min(a + step, len(pieces))
+                on = order[np.searchsorted(row[order], a) : np.searchsorted(row[order], b)]
+                counts = np.bincount((row[on] - a) * (hi - lo) + column[on] - lo, minlength=(b - a) * (hi - lo)).reshape(b - a, hi - lo)
+                np.add.at(out, texts[a:b], counts.astype(np.float32) @ vectors)
+
+    def bundle(self, texts: list[str | None]) -> np.ndarray:
+        """One row for each text; all zeros if it has no letter."""
+        out = np.zeros((len(texts), self.dims))
+        pieces: list[tuple[int, np.ndarray]] = []
+        held = 0
+        for i, text in enumerate(texts):
+            letters = letters_of(text).astype(np.int64)
+            if 0 < len(letters) < self.n:
+                letters = np.concatenate([letters, np.full(self.n - len(letters), 32)])
+            for lo in range(0, max(0, len(letters) - self.n + 1), _BLOCK):
+                pieces.append((i, letters[lo : lo + _BLOCK + self.n - 1]))
+                held += len(pieces[-1][1])
+                if held >= _BLOCK:
+                    self._add(out, pieces)
+                    pieces, held = [], 0
+        if pieces:
+            self._add(out, pieces)
         return out
 
 
@@ -132,9 +180,8 @@ def fit_prototypes(docs: DataFrame, sample_per_lang: int, n: int, dims: int) ->
         bundler, sums = Bundler(n, dims), {}
         for whole in batches:
             for batch in chunks(whole, "text"):
-                for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    v = bundler.bundle(text)
-                    if v is not None and (size := np.linalg.norm(v)):
+                for v, lang in zip(bundler.bundle(batch.column(0).to_pylist()), batch.column(1).to_pylist()):
+                    if size := np.linalg.norm(v):
                         sums[lang] = sums.get(lang, 0) + v / size
         # whole numbers, so that the sum does not depend on the order of tasks
         rows = {lang: np.rint(v * 1e6).astype(np.int64) for lang, v in sums.items()}
@@ -160,17 +207,12 @@ def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray, n: int, d
         bundler = Bundler(n, dims)
         for whole in batches:
             for batch in chunks(whole, "text"):
-                langs_out, scores = [], []
-                for text in batch.column(text_at).to_pylist():
-                    v = bundler.bundle(text) if names else None
-                    if v is None or not (size := np.linalg.norm(v)):
-                        langs_out.append("und")
-                        scores.append(0.0)
-                        continue
-                    cos = table @ (v / size)
-                    best = int(np.argmax(cos))
-                    langs_out.append(names[best])
-                    scores.append(float(min(1.0, max(0.0, (1 + cos[best]) / 2))))
+                vectors = bundler.bundle(batch.column(text_at).to_pylist()) if names else np.zeros((batch.num_rows, dims))
+                size = np.linalg.norm(vectors, axis=1)
+                cos = (vectors / np.where(size > 0, size, 1)[:, None]) @ table.T if names else np.zeros((batch.num_rows, 1))
+                best = np.argmax(cos, axis=1)
+                langs_out = [names[b] if n else "und" for b, n in zip(best.tolist(), size.tolist())]
+                scores = np.where(size > 0, np.clip((1 + cos[np.arange(len(best)), best]) / 2, 0, 1), 0.0)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs_out, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
     return docs.mapInArrow(run, schema)
