@@ -97,7 +97,7 @@ def resample(docs: DataFrame, labels: DataFrame, share: float = 0.5, id_col: str
         for whole in batches:
             for b in chunks(whole, "text"):
                 bucket, doc = _features(b.column(1), buckets)
-                weight = np.bincount(doc, weights=shared.value[bucket], minlength=b.num_rows)
+                weight = np.bincount(doc, weights=shared.value[bucket], minlength=b.num_rows).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.bincount(doc, minlength=b.num_rows).astype(np.int64)), pa.array(weight)], names=["doc_id", "n_grams", "log_weight"])
 
     weighed = docs.mapInArrow(run, f"doc_id {kind}, n_grams bigint, log_weight double")
