@@ -1,0 +1,165 @@
+"""Toxicity, secrets, decontamination, licences, language and quality on small fixtures."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import random
+import re
+
+import pytest
+from assetgraph.llm import decontaminate, language_id, license_scan, quality, queries, secret_scan, toxicity
+from pyspark.sql import functions as F
+
+from tests.compare import duck_rows, spark_rows
+
+SF = "/root/testdata/sf0.001"
+ROWS = [(1, None), (2, ""), (3, "   \n\t"), (4, "plain words here"), (4, "plain words here"), (None, "no id"), (5, "ß漢字 \U0001f600 " * 30)]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty texts, repeated rows, an extra column with a clashing name."""
+    return spark.createDataFrame([(i, t, 7, None, None) for i, t in ROWS], "doc_id long, text string, score int, lang string, source string")
+
+
+def test_clauses():
+    t = toxicity
+    plain = t.clause_score([t.OTHER, t.INSULT], [0, 3.0])
+    aimed = t.clause_score([t.TARGET, t.OTHER, t.INSULT], [0, 0, 3.0])
+    denied = t.clause_score([t.NEGATION, t.OTHER, t.INSULT], [0, 0, 3.0])
+    told = t.clause_score([t.REPORT, t.OTHER, t.OTHER, t.OTHER, t.INSULT], [0, 0, 0, 0, 3.0])
+    assert denied < told < plain < aimed
+    assert t.clause_score([t.THREAT, t.TARGET], [3.0, 0]) > t.clause_score([t.THREAT, t.OTHER], [3.0, 0])
+    assert t.clause_score([t.OTHER], [0]) == 0
+
+
+def test_toxicity(spark, odd):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("bcdfg") + rng.choice("aeiou") for _ in range(3))
+    rows, labels = [], []
+    for i in range(600):
+        words = [word() for _ in range(30)]
+        toxic = i % 6 == 0
+        if toxic:
+            words[rng.randrange(30)] = "zzurg" + word()
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame([*labels, (99999, 1), (None, 1), (3, None)], "doc_id long, toxic int")
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    out = toxicity.score_toxicity(docs, known, ~held).collect()
+    assert len(out) == 600
+    assert all((r.score >= 0.5) == (r.doc_id % 6 == 0) for r in out)
+    got = toxicity.score_toxicity(odd, known, ~held).collect()
+    assert len(got) == len(ROWS) and all(0 <= r.score <= 1 for r in got)
+    assert toxicity.score_toxicity(docs.where("false"), known, ~held).count() == 0
+    none = toxicity.score_toxicity(docs, known.where("false"), ~held).agg(F.max("score")).first()[0]
+    assert none == 0
+
+
+def test_fit_scores():
+    p = toxicity.fit_scores({0: (1, 100), 5: (2, 4), 6: (1, 4), 9: (10, 10)})
+    assert len(p) == toxicity.BINS and p == sorted(p) and p[0] < 0.05 < 0.9 < p[-1]
+
+
+def brute_base(text):
+    kinds = [("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 8), ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 16), ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 32)]
+    found = [(m.start(), i, k, m.end()) for i, (k, p, ok) in enumerate(kinds) for m in p.finditer(text or "") if ok(m)]
+    return ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(found))
+
+
+def test_secrets(spark, odd):
+    rng = random.Random(2)
+    bits = ["password", "PASSWD", "Secret", "tokEn", "api_key", "apiKEY", "ſecret", '"', "'", " ", " ", ":", "=", "AKIA", "ABCDEFGHIJKL", "0123456789abcdef", "deadbeef", "x", "é", "漢", "\n", "A1-_", "longvalue8"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(60))) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in secret_scan.scan_secrets(df).collect():
+        base = brute_base(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        assert set(base.split(",")) - {""} <= set(r.spans.split(","))
+        assert r.n_assign == base.count("assign:")
+    got = secret_scan.scan_secrets(odd, keep=odd.columns)
+    assert got.columns[: len(odd.columns)] == odd.columns and got.count() == len(ROWS)
+    assert secret_scan.scan_secrets(odd.where("false")).count() == 0
+
+
+def test_entropy():
+    s = "aB3dE6gH9jK2mN5pQ8sT1vW4xY7z"
+    for window in (5, 20):
+        got = secret_scan.window_entropies(s, window)
+        for i, bits in enumerate(got):
+            part = s[i : i + window]
+            want = -sum(part.count(c) / window * math.log2(part.count(c) / window) for c in set(part))
+            assert abs(bits - want) < 1e-9
+    assert secret_scan.entropy_spans(f"see {s} there") == [(4, 4 + len(s))]
+    assert secret_scan.entropy_spans("id 123e4567-e89b-12d3-a456-426614174000 x") == []
+    assert secret_scan.entropy_spans("abcdefghijklmnopqrstuvwxyzabcdefgh") == []
+    assert secret_scan.redacted("a token=abcdefgh1 b", [(2, 17, "assign")]) == "a [ASSIGN] b"
+
+
+@pytest.mark.parametrize("block", [50_000, 40])
+def test_contamination(spark, odd, block):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    items = spark.read.parquet(f"{SF}/benchmark.parquet").select(F.col("item_id"), "text")
+    short = spark.createDataFrame([(9001, "of"), (9002, "THE, of"), (9003, None), (9004, "..."), (9001, "of")], "item_id long, text string")
+    sql = queries.OP2_SQL.replace("FROM benchmark", "FROM (SELECT * FROM benchmark UNION ALL SELECT * FROM (VALUES (9001, 'of'), (9002, 'THE, of'), (9003, NULL), (9004, '...'), (9001, 'of')) v(item_id, text))")
+    got = decontaminate.find_contamination(docs, items.unionByName(short), block_windows=block).drop("items")
+    assert spark_rows(got) == duck_rows(sql, SF)
+    assert decontaminate.find_contamination(odd, items).where("n_hit > 0").count() == 0
+    assert decontaminate.find_contamination(odd, items, block_windows=block).count() == len(ROWS)
+    assert decontaminate.find_contamination(odd, items.where("false")).where("contaminated").count() == 0
+    assert decontaminate.find_contamination(odd.where("false"), items).count() == 0
+
+
+def brute_dice(text, template):
+    grams = lambda s: set(zip(w := re.sub("[^a-z0-9]+", " ", s.lower()).split(), w[1:]))
+    a, b = grams(text), grams(template)
+    return 2 * len(a & b) / (len(a) + len(b)) if a or b else 0.0
+
+
+def test_licences(spark, odd):
+    mit = license_scan.TEMPLATES["MIT"][2]
+    wrapped = re.sub(r"(.{60}\S*) ", r"\1\n", mit)
+    texts = {1: "hello\nReleased under the MIT license\nbye", 2: f"intro\n\n{wrapped}\n\nrest", 3: "Licensed under the Apache License, Version 2.0.", 4: "licensed to kill", 5: None, 6: "", 7: "Licensed  under\tCC BY-NC 4.0!", 8: mit.replace("merge", "fold").replace("sell", "trade")}
+    got = {r.doc_id: r for r in license_scan.scan_licenses(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    for i, t in texts.items():
+        units = (t or "").split("\n") + [p for p in re.split(r"\n[ \t]*\n", t or "") if "\n" in p]
+        found = {n for n, ts in license_scan.TEMPLATES.items() for x in ts for u in units if brute_dice(u, x) >= 0.8}
+        assert got[i].licences == ",".join(sorted(found)), i
+        assert abs(got[i].best - max([d for ts in license_scan.TEMPLATES.values() for x in ts for u in units if (d := brute_dice(u, x)) >= 0.8], default=0)) < 1e-9
+    assert got[2].licences == "MIT" and got[8].licences == "MIT" and got[7].licences == "CC-BY-NC-4.0"
+    assert license_scan.scan_licenses(odd).count() == 6
+    assert license_scan.scan_licenses(odd.where("false")).count() == 0
+
+
+def test_language(spark, odd):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+    out = language_id.identify_language(docs, ~held).join(docs.select("doc_id", "lang"), "doc_id").where(held).collect()
+    assert sum(r.lang == r.lang_pred for r in out) >= 0.9 * len(out)
+    got = {r.doc_id: r.lang_pred for r in language_id.identify_language(odd, F.lit(True)).collect()}
+    assert set(got.values()) == {"und"}
+    both = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame([(-1, None, "en"), (-2, "123 !!", "en"), (-3, "x", None)], "doc_id long, text string, lang string"))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify_language(both, ~held).where("doc_id < 0").collect()}
+    assert got[-1] == got[-2] == ("und", 0.0) and got[-3][0] != "und"
+
+
+def test_quality(spark, odd):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    out = quality.resample(docs, labels, share=0.3).collect()
+    keys = sorted((r.key for r in out), reverse=True)
+    k = int(len(out) * 0.3)
+    assert {r.doc_id for r in out if r.selected} == {r.doc_id for r in out if r.key >= keys[k - 1]}
+    text = {r.doc_id: r.text for r in docs.collect()}
+    grams = lambda t: (w := re.findall(r"[^\x20\x09-\x0D]+", t.lower())) and len(w) * 2 - 1
+    assert all(r.n_grams == (grams(text[r.doc_id]) or 0) for r in out)
+    got = quality.resample(odd, labels.where("false")).collect()
+    assert len(got) == len(ROWS) and all(r.log_weight == 0 for r in got)
+    assert quality.resample(docs.where("false"), labels).count() == 0
+
+
+@pytest.mark.parametrize("name", ["op2_decontaminate"])
+def test_sql(spark, name):
+    assert spark_rows(queries.QUERIES[name](spark, SF)) == duck_rows(queries.ORACLE_SQL[name], SF)
