@@ -5,8 +5,9 @@ document and each run of lines between empty lines (so a notice that is wrapped
 one unit).  With A and B the sets of word bigrams of unit and template, the
 measure is 2|A n B| / (|A| + |B|).  For it to reach `least`, the sizes must satisfy
 least / (2 - least) <= |A| / |B| <= (2 - least) / least, so each unit is only
-compared with templates within these bounds; units outside all bounds are dropped before
-their bigrams are made.
+compared with templates within these bounds.  A unit that reaches `least` also holds most of
+the template's bigrams, and so one of a few anchor words; documents and units without any are
+dropped before bigrams are made.
 
 All of it is DataFrame functions: units are exploded into bigrams, joined with the
 bigrams of the fixed template list (a broadcast of constant size), and counted by
@@ -19,6 +20,8 @@ its own.  Ties between templates: all are listed.  Only id and text are read.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +70,44 @@ def bigrams_of(words: Column) -> Column:
     return F.array_distinct(pairs)
 
 
+def _plain_bigrams(text: str) -> set[tuple[str, str]]:
+    words = "".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split()
+    return set(zip(words, words[1:]))
+
+
+def anchor_words(least: float) -> list[str]:
+    """Words of which every matching unit holds one.
+
+    A unit that reaches `least` has at least least / (2 - least) of the template's b bigrams,
+    m say.  So if more than b - m of them hold an anchor word, the unit holds one, too.
+    Words are chosen greedily, by how many bigrams they add to templates that need them, long words first.
+    """
+    grams = [_plain_bigrams(t) for texts in TEMPLATES.values() for t in texts]
+    chosen: list[str] = []
+    while True:
+        gain: dict[str, int] = {}
+        for g in grams:
+            need = len(g) - math.ceil(len(g) * least / (2 - least) - 1e-9) + 1
+            open_ = [x for x in g if not set(x) & set(chosen)]
+            short = need - (len(g) - len(open_))
+            for w in {w for x in open_ for w in x} if short > 0 else ():
+                gain[w] = gain.get(w, 0) + min(short, sum(w in x for x in open_))
+        if not gain:
+            return sorted(chosen)
+        chosen.append(max(gain, key=lambda w: (min(len(w), 7), gain[w], w)))
+
+
+def may_match(text: Column, least: float) -> Column:
+    """The lower-cased text holds an anchor word: a substring test for long words, whole words for short ones."""
+    low, words = F.lower(text), anchor_words(least)
+    out = F.lit(False)
+    for w in words:
+        if len(w) >= 7:
+            out = out | low.contains(w)
+    few = [w for w in words if len(w) < 7]
+    return out | low.rlike(f"(?<![a-z0-9])(?:{'|'.join(few)})(?![a-z0-9])") if few else out
+
+
 def template_bigrams(spark: SparkSession) -> DataFrame:
     """(template, name, size, bigram)"""
     rows = [(f"{name}#{i}", name, text) for name, texts in TEMPLATES.items() for i, text in enumerate(texts)]
@@ -81,12 +122,11 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     templates = template_bigrams(docs.sparkSession)
     lines = F.split("text", r"\r?\n")
     paragraphs = F.filter(F.split("text", r"\r?\n[ \t]*\r?\n"), lambda p: p.contains("\n"))
-    units = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.concat(lines, paragraphs)).alias("unit", "line"))
+    units = docs.where(may_match(F.col("text"), least)).select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.concat(lines, paragraphs)).alias("unit", "line"))
     ratio = least / (2 - least)
-    sizes = [len(set(zip(w, w[1:]))) for texts in TEMPLATES.values() for t in texts if (w := "".join(c if c.isascii() and c.isalnum() else " " for c in t.lower()).split())]
+    sizes = [len(_plain_bigrams(t)) for texts in TEMPLATES.values() for t in texts]
     low, high = int(min(sizes) * ratio), int(max(sizes) / ratio) + 1
-    # a unit of s bigrams has more than 2 s characters, and a set of bigrams of at most 64 is no larger than its words
-    units = units.where(F.length("line") >= 2 * low + 1)
+    units = units.where(may_match(F.col("line"), least))
     units = units.withColumn("b", bigrams_of(words_of(F.col("line")))).withColumn("size", F.size("b")).where(F.col("size").between(low, high))
     each = units.select("doc_id", "text_key", "unit", F.col("size").alias("own"), F.explode("b").alias("bigram"))
     met = each.join(F.broadcast(templates), "bigram").where((F.col("own") >= ratio * F.col("size")) & (F.col("own") <= F.col("size") / ratio))
