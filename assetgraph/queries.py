@@ -537,3 +537,6 @@ def review_bundles(spark: SparkSession, d: str) -> DataFrame:
     rows = posture.line_findings(table(spark, d, "documents")).withColumn("source", F.split_part("path", F.lit("/"), F.lit(1)))
     worst = name_at(F.max(rank_of(F.col("severity"), SEVERITIES)), SEVERITIES)
     return rows.groupBy("source").agg(F.count("*").alias("n_findings"), F.count_distinct("rule_id").alias("n_rules"), worst.alias("max_severity"), F.array_join(F.array_sort(F.collect_set("rule_id")), ",").alias("rules"))
+
+
+from . import inventory_queries  # noqa: E402, F401  registers more queries

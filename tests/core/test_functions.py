@@ -3,8 +3,8 @@ from __future__ import annotations
 import datetime
 
 import pytest
-from assetgraph.functions import canonical, predicates, text
-from assetgraph.operators import aggregates, diff, duplicates, joins, policy, sets, windows
+from assetgraph.functions import canonical, commands, predicates, text
+from assetgraph.operators import aggregates, diff, duplicates, inventory, joins, policy, sets, windows
 from pyspark.sql import functions as F
 
 
@@ -100,3 +100,25 @@ def test_windows(spark):
 def test_collapse(spark):
     df = spark.createDataFrame([("a", i) for i in (1, 5, 9, 10, 11, 30)], "label string, at int")
     assert sorted(r["at"] for r in duplicates.collapse_near(df, "label", "at").collect()) == [1, 10, 30]
+
+
+@pytest.mark.parametrize(("selector", "kind"), [("1.2.3", "exact"), ("==1.0", "exact"), ("v1.2.3-rc.1", "exact"), ("^1.2", "range"), (">=1,<2", "range"), ("~=1.4", "range"), ("latest", "floating"), ("1.x", "floating"), ("*", "floating"), ("", "floating"), ("main", "unknown"), (None, "unknown")])
+def test_selectors(spark, selector, kind):
+    assert one(spark, selector, k=commands.selector_kind(F.col("x"))).k == kind
+
+
+@pytest.mark.parametrize(("command", "path"), [("python3 tools/a.py --x", "tools/a.py"), ("bash ./run.sh", "run.sh"), ("node -r ../x.js", None), ("python /abs/a.py", None), ("echo a.py", None), (None, None)])
+def test_helpers(spark, command, path):
+    assert one(spark, command, k=commands.helper_script(F.col("x"))).k == path
+
+
+def test_inventory(spark):
+    lines = spark.createDataFrame([(1, 1, "a \\"), (1, 2, "b"), (1, 3, "c"), (2, 1, "d \\")], "doc long, line int, content string")
+    got = sorted((r.doc, r.first_line, r.n_lines, r.text) for r in inventory.logical_lines(lines, "doc", "\\").collect())
+    assert got == [(1, 1, 2, "a \\ b"), (1, 3, 1, "c"), (2, 1, 1, "d \\")]
+    r = one(spark, None, a=inventory.candidate_outcome(F.lit(0), F.lit(1), F.lit("deep")), b=inventory.candidate_outcome(F.lit(2), F.lit(0), F.lit("deep")), c=inventory.candidate_outcome(F.lit(0), F.lit(0), F.lit("deep")), d=inventory.line_slice(F.lit("a\nb\r\nc"), 2, 9))
+    assert (r.a, r.b, r.c, r.d) == ("deep", "ambiguous", "missing", "b\nc")
+    gaps = inventory.missing_fields(spark.createDataFrame([(1, None, " "), (2, "x", "y")], "k long, a string, b string"), "k", ["a", "b"])
+    assert sorted((r.k, r.field) for r in gaps.collect()) == [(1, "a"), (1, "b")]
+    df = spark.createDataFrame([(None,), ("a" * 65,), ("A",), ("-a",), ("a--b",), ("a-b",)], "n string")
+    assert [r[0] for r in df.select(commands.name_problem(F.col("n"))).collect()] == ["missing", "too_long", "bad_characters", "edge_hyphen", "double_hyphen", None]
