@@ -12,7 +12,7 @@ from .common import fold, read_table
 from .decontaminate import find_contamination
 from .jaccard_join import jaccard_components
 from .language_id import identify_language
-from .license_scan import scan_licenses
+from .license_scan import LEAST, TEMPLATES, scan_licenses
 from .mixing import plan_mix
 from .quality import resample
 from .secret_scan import spans_only
@@ -110,6 +110,24 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM dw LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 """
 
+_LISTED = ", ".join(f"('{name}#{i}', '{name}', '{text.replace(chr(39), chr(39) * 2)}')" for name, texts in TEMPLATES.items() for i, text in enumerate(texts))
+_GRAMS = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+_NORMAL = "list_filter(string_split(trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')"
+OP4_SQL = rf"""
+WITH t AS (SELECT template, name, {_GRAMS} AS g FROM (SELECT template, name, {_NORMAL.format("text")} AS w FROM (VALUES {_LISTED}) v(template, name, text))
+), u AS (
+  SELECT doc_id, r, unnest(range(len(x))) AS unit, unnest(x) AS line FROM (
+    SELECT doc_id, row_number() OVER () AS r, list_concat(string_split_regex(text, '?
+'), list_filter(string_split_regex(text, '?
+[ 	]*?
+'), lambda p: contains(p, chr(10)))) AS x FROM documents WHERE text IS NOT NULL)
+), b AS (SELECT doc_id, r, unit, len(g) AS own, unnest(g) AS gram FROM (SELECT doc_id, r, unit, {_GRAMS} AS g FROM (SELECT doc_id, r, unit, {_NORMAL.format("line")} AS w FROM u))
+), n AS (
+  SELECT doc_id, r, unit, name, 2 * count(*) / (own + size) AS dice FROM b JOIN (SELECT template, name, len(g) AS size, unnest(g) AS gram FROM t) USING (gram) GROUP BY doc_id, r, unit, template, name, own, size
+), f AS (SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS licences, count(DISTINCT r || ':' || unit) AS n_units, max(dice) AS best FROM n WHERE dice >= {LEAST} GROUP BY doc_id)
+SELECT d.doc_id, coalesce(licences, '') AS licences, CAST(coalesce(n_units, 0) AS BIGINT) AS n_units, coalesce(best, 0.0) AS best FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN f ON d.doc_id = f.doc_id
+"""
+
 OP6_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -139,6 +157,7 @@ FROM d LEFT JOIN kept USING (r)
 
 ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate": OP2_SQL,
+    "op4_licenses": OP4_SQL,
     "op6_jaccard_join": OP6_SQL,
     "op7_substring_dedup": OP7_SQL,
 }

@@ -160,6 +160,6 @@ def test_quality(spark, odd):
     assert quality.resample(docs.where("false"), labels).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op2_decontaminate"])
+@pytest.mark.parametrize("name", ["op2_decontaminate", "op4_licenses"])
 def test_sql(spark, name):
     assert spark_rows(queries.QUERIES[name](spark, SF)) == duck_rows(queries.ORACLE_SQL[name], SF)
