@@ -11,7 +11,8 @@ that its integral gives the source's target.  A source's documents lie end to
 end in an order drawn by hash, again and again; the word at cumulative offset x
 is needed at the time t at which the source's integrated weight schedule reaches
 x.  That inverse has a closed form here, and gives each copy of a document its
-training position.  `schedule` is range-sorted by position.
+training position.  `schedule` is range-sorted by position; `scheduled_mix` adds its copies
+up by document.
 
 The running sums need no single task: a source's documents are dealt into buckets
 of bounded size by hash, the buckets' sums are summed up first, and the rows then
@@ -98,7 +99,7 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
 
 def schedule(mix: DataFrame, ramp: float = 0.5, partitions: int | None = None) -> DataFrame:
-    """(position, doc_id, source, copy, words), range-sorted by position.
+    """(position, doc_id, source, copy, words) and the document's other columns, range-sorted by position.
 
     position is the time in [0, 1] at which the source's integrated weight schedule
     asks for the copy's first word: with m = ramp of the source, the share asked for
@@ -110,6 +111,20 @@ def schedule(mix: DataFrame, ramp: float = 0.5, partitions: int | None = None) -
     m = F.lit(ramp) * (F.pmod(F.col("rank"), F.lit(3)) - 1)
     root = (F.sqrt((1 - m) * (1 - m) + 4 * m * share) - (1 - m)) / (2 * F.when(m != 0, m))
     position = F.when(m == 0, share).otherwise(root)
-    out = copies.select(position.alias("position"), "doc_id", "source", F.col("copy").cast("int").alias("copy"), words.cast("long").alias("words"))
+    out = copies.select(position.alias("position"), "doc_id", "source", F.col("copy").cast("int").alias("copy"), words.cast("long").alias("words"), "size", "source_size", "target", "rank", "offset")
     out = out.repartitionByRange(partitions, "position", "doc_id") if partitions else out.repartitionByRange("position", "doc_id")
     return out.sortWithinPartitions("position", "doc_id", "copy")
+
+
+def scheduled_mix(docs: DataFrame, **options) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken (words of its scheduled copies), position (of its first copy).
+
+    Documents of a source that have words start at different offsets, so source and offset tell the
+    rows apart.  A document without a copy has 0 taken and no position.
+    """
+    mix = written(plan_mix(docs, **options), "mix-plan")
+    plan = written(schedule(mix), "mix-schedule")
+    row = ["doc_id", "size", "source_size", "target"]
+    used = plan.groupBy("rank", "offset", *row).agg(F.sum("words").alias("taken"), F.min("position").alias("position"))
+    unused = mix.where("taken = 0").select(*row, F.lit(0).cast("long").alias("taken"), F.lit(None).cast("double").alias("position"))
+    return used.select(*row, "taken", "position").unionByName(unused)

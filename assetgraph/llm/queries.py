@@ -13,7 +13,7 @@ from .decontaminate import find_contamination
 from .jaccard_join import jaccard_components
 from .language_id import identify_language
 from .license_scan import LEAST, TEMPLATES, scan_licenses
-from .mixing import plan_mix
+from .mixing import scheduled_mix
 from .quality import resample
 from .secret_scan import spans_only
 from .substring_dedup import remove_repeats
@@ -71,8 +71,8 @@ def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Operator 10 over documents."""
-    return plan_mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """Operator 10 over documents: words taken by the copies of the training schedule, and the first copy's position."""
+    return scheduled_mix(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -7,7 +7,7 @@ language_id     documents without a language (no letters, no text) go
 near_dups       of each group of near duplicates the document of smallest id stays
 decontaminate   documents contaminated by benchmark passages go
 secret_scan     secrets are replaced by their kind in the text; every document stays
-mix             source mixing: words to take from each document, by target weights
+mix             source mixing: words to take from each document by the training schedule, and its position
 
 SQL cannot express the first stage's model, so ORACLE_SQL is None and the stages are tested
 against brute force.  Every stage takes the columns it needs by name, keeps others as
@@ -25,7 +25,7 @@ from assetgraph.llm.common import fold, read_table, scratch_dir
 from assetgraph.llm.decontaminate import find_contamination
 from assetgraph.llm.jaccard_join import jaccard_components
 from assetgraph.llm.language_id import identify_language
-from assetgraph.llm.mixing import plan_mix
+from assetgraph.llm.mixing import scheduled_mix
 from assetgraph.llm.secret_scan import scan_secrets
 
 ORACLE_SQL = None
@@ -62,8 +62,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words to take from each document."""
-    return plan_mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    """Words to take from each document, and the training position of its first copy."""
+    return scheduled_mix(docs)
 
 
 STAGES = [

@@ -215,6 +215,33 @@ def test_mixing(spark):
     assert sum(r.words for r in plan) == sum(r.taken for r in got) and all(0 <= p <= 1 for p in position)
 
 
+def brute_position(share, m):
+    """The time at which the integral of 1 + m * (2t - 1) reaches share, by bisection."""
+    lo, hi = 0.0, 1.0
+    for _ in range(60):
+        t = (lo + hi) / 2
+        lo, hi = (t, hi) if (1 - m) * t + m * t * t < share else (lo, t)
+    return lo
+
+
+def test_scheduled_mix(spark, tmp_path):
+    rng = random.Random(11)
+    rows = [(i, " ".join(["w"] * rng.randrange(40)), rng.choice(["a"] * 5 + ["b", "c", None])) for i in range(300)] + [(300, None, "a"), (3, "x y", "b"), (3, "x y", "b"), (None, "x", "c")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.op10_mix(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "size", "source_size", "target", "taken", "position"]
+    got = sorted(((r.doc_id, r.size, r.source_size, r.taken, r.position) for r in out.collect()), key=repr)
+    want = []
+    for r in mixing.plan_mix(docs).collect():
+        m = 0.5 * (r["rank"] % 3 - 1)
+        want.append((r.doc_id, r.size, r.source_size, r.taken, brute_position(r.offset / max(round(r.target), 1), m) if r.taken else None))
+    want.sort(key=repr)
+    assert len(got) == len(rows) and [g[:4] for g in got] == [w[:4] for w in want]
+    assert all((g[4] is None) == (w[4] is None) and abs((g[4] or 0) - (w[4] or 0)) < 1e-9 for g, w in zip(got, want))
+    assert dict(corpus_pipeline.STAGES)["mix"](spark, docs, str(tmp_path)).columns == out.columns
+
+
 def test_pipeline(spark):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["language_id", "near_dups", "decontaminate", "secret_scan", "mix"]
