@@ -174,9 +174,11 @@ def _block_hits(docs: DataFrame, windows: list) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, f"doc_id {kind}, text_key bigint, n_words bigint, starts array<bigint>, lengths array<bigint>, items array<string>")
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, block_windows: int = 50_000, min_share: float = 0.05) -> DataFrame:
-    """One row per document: n_words, n_hit, n_items, items_sha256, contaminated, and the items found."""
-    docs = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
+def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, block_windows: int = 50_000, min_share: float = 0.05, keep: list[str] | None = None) -> DataFrame:
+    """One row per document: its id (or the columns to keep), n_words, n_hit, n_items, items_sha256, contaminated, and the items found."""
+    # the columns to keep go through as one value in the place of the id
+    own = docs[id_col] if keep is None else F.struct(*(docs[c].alias(f"_{i}") for i, c in enumerate(keep)))
+    docs = docs.select(own.alias("doc_id"), docs[text_col].cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = item_windows(items, window)
     blocks = max(1, -(-found.count() // block_windows))
@@ -205,4 +207,5 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
                 names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"],
             )
 
-    return hits.mapInArrow(run, f"doc_id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, items array<string>")
+    out = hits.mapInArrow(run, f"doc_id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, items array<string>")
+    return out if keep is None else out.select(*(F.col(f"doc_id._{i}").alias(c) for i, c in enumerate(keep)), *out.columns[1:])

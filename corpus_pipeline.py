@@ -4,14 +4,15 @@ Each stage is written as Parquet and read again before the next.  All but the la
 the columns of documents.
 
 language_id     documents without a language (no letters, no text) go
-near_dups       of each group of near duplicates the document of smallest id stays
+near_dups       of each group of near duplicates one row stays, of smallest id (null last)
 decontaminate   documents contaminated by benchmark passages go
 secret_scan     secrets are replaced by their kind in the text; every document stays
 mix             source mixing: words to take from each document by the training schedule, and its position
 
 SQL cannot express the first stage's model, so ORACLE_SQL is None and the stages are tested
 against brute force.  Every stage takes the columns it needs by name, keeps others as
-they are, and gives an empty table for an empty one.
+they are, and gives an empty table for an empty one.  Stages decide for each row, so ids can
+repeat or be null.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetgraph.llm.common import fold, read_table, scratch_dir
+from assetgraph.llm.common import fold, read_table, scratch_dir, written
 from assetgraph.llm.decontaminate import find_contamination
 from assetgraph.llm.jaccard_join import jaccard_components
 from assetgraph.llm.language_id import identify_language
@@ -39,17 +40,19 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of smallest id of each component; rows that repeat an id are one document."""
-    groups = jaccard_components(docs)
-    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Keep one row of each component, of smallest id (null last)."""
+    # ids can repeat or be null, so rows are told apart by a number; written, since it must not change
+    row = f"row_{uuid.uuid4().hex}"
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "near-dups")
+    member = jaccard_components(rows, id_col=row).select(F.col("doc_id").alias(row), "component_id").join(rows.select(row, "doc_id"), row)
+    least = member.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row)).alias("least"))
+    return rows.join(least.select(f"least.{row}"), row, "left_semi").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop contaminated documents."""
-    found = find_contamination(docs, read_table(spark, sf_dir, "benchmark"))
-    gone = found.where("contaminated").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    found = find_contamination(docs, read_table(spark, sf_dir, "benchmark"), keep=docs.columns)
+    return found.where("not contaminated").select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -269,3 +269,22 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, folder).collect()
     assert {r.doc_id for r in out} == set(range(6))
     assert sum(r.taken for r in out) == 360
+
+
+def test_rows_decide_for_themselves(spark, tmp_path):
+    """Ids that repeat or are null: the stages drop rows by their own text."""
+    stages = dict(corpus_pipeline.STAGES)
+    passage = "zorb flin tark mool grint wask pelt nurb voss kine dral sump hoke bint"
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rng = random.Random(3)
+    one, two, three = (" ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(60)) for _ in range(3))
+    frame = lambda rows: spark.createDataFrame([(i, t, "en", s) for i, t, s in rows], "doc_id long, text string, lang string, source string").repartition(3)
+    rows = [(None, passage, "a"), (None, one, "a"), (7, passage, "a"), (7, two, "b"), (7, three, None), (8, passage + " x", "a"), (8, passage + " x", "a"), (8, None, "c")]
+    left = stages["decontaminate"](spark, frame(rows), str(tmp_path))
+    assert left.columns == ["doc_id", "text", "lang", "source"]
+    want = sorted(((i, t, s) for i, t, s in rows if passage not in (t or "")), key=repr)
+    assert sorted(((r.doc_id, r.text, r.source) for r in left.collect()), key=repr) == want
+    rows = [(4, one, "a"), (4, one, "a"), (4, two, "a"), (5, one + " x", "b"), (None, one, "c"), (None, three, "a"), (None, three, "a"), (3, two, "b")]
+    left = stages["near_dups"](spark, frame(rows), str(tmp_path))
+    assert left.columns == ["doc_id", "text", "lang", "source"]
+    assert sorted(((r.doc_id, r.text, r.source) for r in left.collect()), key=repr) == sorted([(4, one, "a"), (3, two, "b"), (None, three, "a")], key=repr)
