@@ -16,7 +16,7 @@ a clause's score is the sum of factor times word weight over its matches, bounde
 evidence is the sum over its matched clauses.
 
 Word weights: a fixed seed list, and words and word starts learned from labels (log-odds
-of texts with the term; a term must stand in several different contexts, so that
+of different texts with the term; a term must stand in several different contexts, so that
 copies of one text teach nothing).  A monotone table maps evidence to a
 probability; it is fitted to counts of labelled texts by evidence.  Training uses
 the labelled rows outside the held-out fold, at most about `max_labels` of them,
@@ -238,8 +238,9 @@ def learn_terms(train: DataFrame, least_share: float = 0.002, least: int = 5, le
     """Terms far more common in toxic texts, with the log of that ratio (at most 8).
 
     Terms in fewer than `least_share` of the toxic texts are left out, which bounds
-    their number by the terms of a text over that share.
+    their number by the terms of a text over that share.  Copies of a text count once.
     """
+    train = written(train.select("text", "toxic").distinct(), "toxic-texts")
     texts = {r.toxic: r.n for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     bad, good = texts.get(1, 0), texts.get(0, 0)
     if not bad or not good:

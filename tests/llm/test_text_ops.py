@@ -58,6 +58,25 @@ def test_toxicity(spark, odd):
     assert none == 0
 
 
+def test_toxicity_copies(spark):
+    """Copies of a toxic text don't unlearn the terms that it shares with others."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("bcdfg") + rng.choice("aeiou") for _ in range(3))
+    rows, labels = [], []
+    for i in range(400):
+        words = [word() for _ in range(30)]
+        if i % 10 == 0:
+            words[rng.randrange(30)] = "zzurg"
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 10 == 0)))
+    rows += [(1000 + i, rows[0][1]) for i in range(200)]
+    labels += [(1000 + i, 1) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = toxicity.score_toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), F.lit(True)).collect()
+    assert len(out) == 600
+    assert all((r.evidence > 0) == (r.score >= 0.5) == (r.doc_id >= 1000 or r.doc_id % 10 == 0) for r in out)
+
+
 def test_fit_scores():
     p = toxicity.fit_scores({0: (1, 100), 5: (2, 4), 6: (1, 4), 9: (10, 10)})
     assert len(p) == toxicity.BINS and p == sorted(p) and p[0] < 0.05 < 0.9 < p[-1]
