@@ -13,8 +13,8 @@ pass looks at candidate strings (runs of token characters, at least one window
 long).  A window's counts move with it: one character enters, one leaves, and
 the sum of c*log2(c) is updated by those two terms.  The class (hexadecimal or
 base64) decides the threshold.  Windows must mix letters and digits, and hits
-are suppressed by the allow list (UUIDs, documented sample keys) or where a base
-span covers them already.
+are suppressed by the allow list (UUIDs, documented sample keys).  Of a stretch only
+the parts outside base spans are reported.
 
 Null and empty texts have no spans.  Rows with equal ids are scanned each on
 its own; columns other than id and text are not read.
@@ -121,7 +121,12 @@ def scan_text(text: str | None, window: int = 20) -> tuple[list[tuple[int, int,
     base = base_spans(text)
     more = []
     for a, b in entropy_spans(text, window):
-        if not any(s < b and a < e for s, e, _ in base):
+        for s, e, _ in base:
+            if s < b and a < e:
+                if a < s:
+                    more.append((a, s, "entropy"))
+                a = e
+        if a < b:
             more.append((a, b, "entropy"))
     return base, sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2])))
 
