@@ -14,8 +14,8 @@ bigrams of the fixed template list (a broadcast of constant size), and counted b
 unit and template.  A hot source or a frequent line is only many small groups.
 
 Null and empty texts have no match.  Each document comes back once, with the templates it
-matches and the best measure; rows of equal id come together as one.  A null id is an id of
-its own.  Ties between templates: all are listed.  Only id and text are read.
+matches and the best measure; rows of equal id come together as one, and the units of each
+row count, of equal rows too.  A null id is an id of its own.  Ties between templates: all are listed.  Only id and text are read.
 """
 
 from __future__ import annotations
@@ -130,9 +130,11 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     units = units.withColumn("b", bigrams_of(words_of(F.col("line")))).withColumn("size", F.size("b")).where(F.col("size").between(low, high))
     each = units.select("doc_id", "text_key", "unit", F.col("size").alias("own"), F.explode("b").alias("bigram"))
     met = each.join(F.broadcast(templates), "bigram").where((F.col("own") >= ratio * F.col("size")) & (F.col("own") <= F.col("size") / ratio))
-    common = met.groupBy("doc_id", "text_key", "unit", "template", "name", "own", "size").agg(F.count("*").alias("n"))
+    # rows of equal id and text meet here: each common bigram stands once for each of them
+    common = met.groupBy("doc_id", "text_key", "unit", "template", "name", "own", "size").agg(F.size(F.collect_set("bigram")).alias("n"), F.count("*").alias("all"))
     dice = common.withColumn("dice", 2 * F.col("n") / (F.col("own") + F.col("size"))).where(F.col("dice") >= least)
-    found = dice.groupBy("doc_id").agg(F.array_sort(F.collect_set("name")).alias("licences"), F.count_distinct("text_key", "unit").alias("n_units"), F.max("dice").alias("best"))
+    matched = dice.groupBy("doc_id", "text_key", "unit").agg(F.array_sort(F.collect_set("name")).alias("names"), F.max(F.col("all") / F.col("n")).cast("long").alias("rows"), F.max("dice").alias("best"))
+    found = matched.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("names")))).alias("licences"), F.sum("rows").alias("n_units"), F.max("best").alias("best"))
     ids = docs.select("doc_id").distinct()
     out = ids.alias("i").join(found.alias("f"), F.col("i.doc_id").eqNullSafe(F.col("f.doc_id")), "left")
     return out.select("i.doc_id", F.coalesce(F.concat_ws(",", "licences"), F.lit("")).alias("licences"), F.coalesce("n_units", F.lit(0)).cast("long").alias("n_units"), F.coalesce("best", F.lit(0.0)).alias("best"))

@@ -167,6 +167,21 @@ def test_licences(spark, odd):
     assert license_scan.scan_licenses(odd.where("false")).count() == 0
 
 
+def test_licences_of_repeated_rows(spark, tmp_path):
+    half = "Licensed under the MIT licence of the old house"
+    full = "plain words\n\nLicensed under the MIT License.\n\nmore"
+    assert 0.27 < brute_dice(half, license_scan.TEMPLATES["MIT"][1]) < 0.8
+    rows = [(1, half), (1, half), (2, full), (2, full), (2, "plain"), (3, half), (3, half), (3, half), (3, full), (4, None), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    sql = queries.OP4_SQL.replace("FROM documents", f"FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert spark_rows(queries.op4_licenses(spark, str(tmp_path))) == duck_rows(sql, str(tmp_path / "none"))
+    got = {r.doc_id: (r.licences, r.n_units, r.best) for r in license_scan.scan_licenses(docs).collect()}
+    assert got == {1: ("", 0, 0.0), 2: ("MIT", 2, 1.0), 3: ("MIT", 1, 1.0), 4: ("", 0, 0.0)}
+    null = spark.createDataFrame([(None, half)] * 3, "doc_id long, text string")
+    assert [tuple(r) for r in license_scan.scan_licenses(null).collect()] == [(None, "", 0, 0.0)]
+
+
 def test_language(spark, odd):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
