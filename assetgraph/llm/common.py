@@ -12,22 +12,56 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_OWN: list[str] = []  # folders made here, by their full path
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; sets one only where none is set."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder of spark.checkpoint.dir, or of setCheckpointDir.
+
+    Where neither is set, a local session gets a temporary folder of its own; on a cluster that is
+    an error, since executors would not see it.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared scratch folder."""
+    _OWN.append(f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _OWN[-1]
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as Parquet in the shared scratch folder and read it back."""
-    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_by(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """Like written, in `buckets` buckets by key, so that grouping by key needs no shuffle of these rows."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    writer = df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).format("parquet")
+    writer.option("path", scratch_path(spark, name)).saveAsTable(table)
+    return spark.table(table)
+
+
+def clear_scratch(spark: SparkSession, keep: tuple[str, ...] = ()) -> None:
+    """Delete what was written here so far, but for the paths to keep; results that are read lazily from it end."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    for path in [p for p in _OWN if p not in keep]:
+        at = hadoop.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+        _OWN.remove(path)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -5,34 +5,43 @@ start in a document with a smaller id.  A window can only repeat if each shorter
 window in it does.  So every window names one short window in it (the one of
 `first` words with the smallest hash, so equal windows name equal ones), and only
 windows whose short window is repeated go on: to a window of twice that length around
-it, then twice that, until `length` itself.  Each level sees what the last one left.
-
-One level is one exchange of sorted hash arrays.  Documents are dealt into batches of about
-`batch_bytes` by hash.  A batch sends the distinct hashes of a level once, by
-hash range; each range answers every batch with one bit for each hash sent:
-"another batch has it" or, at the last level, "a document with a smaller id has
-it".  A passage that is in a third of all documents is thus one hash for each batch,
-and no group of equal windows is ever gathered.  The batches are shuffled once; all
-levels read that exchange again.
-
-Words are runs of other than space and 0x09-0x0D, unchanged.  Hashes are 64 bits wide.
-Null and empty texts have no words.  Rows with null id are kept whole and remove nothing
-elsewhere.  Rows with equal ids do not remove each other's words.  Only id and text are read.
+it, then twice that, until `length` itself.  Each level sees what the last one left, and
+the levels end when no candidate is left.
+
+Before the first level, whole texts are compared: a row whose text also stands under a smaller
+id loses all of its windows, and takes no part in what follows (the smaller id stands for it).
+
+Rows are dealt into batches of about `batch_bytes` by a number of their own, so equal rows
+spread, and written once, bucketed by batch: no level shuffles texts.  At each level a batch
+asks for its distinct windows, one row for each, so rows grow with the data; a passage
+that a third of all documents hold is one row for each batch.  Spark compares the
+rows of equal windows: "another batch has it" or, at the last level, "a smaller id has it".
+What is true of a window goes back to its batch as one row.  The candidates that are left and the
+answers of every level are written, so nothing is worked out twice and a lost executor costs a level.
+
+Words are runs of other than space and 0x09-0x0D, unchanged.  Windows are compared by 128-bit hashes
+at the last level (no algebraic family of equal ones), by 64 bits before, where a chance match
+only keeps a candidate.  Null and empty texts have no words.  Rows with null id are kept whole and
+remove nothing elsewhere.  Rows with equal ids do not remove each other's words.  Any
+bigint is an id.  Only id and text are read.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .wordhash import hash_words, mix, space_table, window_hashes
+from .common import written, written_by
+from .wordhash import Words, hash_words, space_table, window_hashes
 
 FIRST = 4
+BUCKET_BYTES = 32 << 20
+MOST_BUCKETS = 50_000
 
 
 def level_lengths(length: int, first: int = FIRST) -> list[int]:
@@ -43,179 +52,212 @@ def level_lengths(length: int, first: int = FIRST) -> list[int]:
     return out
 
 
-@dataclass
-class Level:
-    """Distinct hashes of a level's windows in a batch: sorted keys, smallest id, whether two ids have it."""
+def named_places(hashes: np.ndarray, bounds: np.ndarray, length: int, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of all windows of `length` words, and where in each its named short window (of least hash) is."""
+    _, ok = window_hashes(hashes, bounds, length)
+    at = np.flatnonzero(ok)
+    short, _ = window_hashes(hashes, bounds, first)
+    best = short[at]
+    place = np.zeros(len(at), np.uint8 if length < 256 else np.int64)
+    for j in range(1, length - first + 1):
+        other = short[at + j]
+        less = other < best
+        best[less] = other[less]
+        place[less] = j
+    return at, place
 
-    keys: np.ndarray
-    least: np.ndarray
-    several: np.ndarray
-    of: np.ndarray  # for each candidate, the place of its key
 
+def around(place: np.ndarray, m: int, length: int, first: int) -> np.ndarray:
+    """Where in its window the window of m words around the named one starts.
 
-def _level(keys: np.ndarray, ids: np.ndarray) -> Level:
-    order = np.lexsort((ids, keys))
+    It starts or ends with the named one where that fits, so that all windows that share a
+    named one ask for two windows of m words at most.
+    """
+    place = place.astype(np.int64)
+    return np.maximum(0, np.where(place > length - m, place - (m - first), place))
+
+
+class State:
+    """What is left of a batch: candidate starts (of `words` words), their named places, and the numbers of rows that are whole copies."""
+
+    def __init__(self, words: int, at: np.ndarray, place: np.ndarray, copies: np.ndarray) -> None:
+        self.words, self.at, self.place, self.copies = words, at, place, copies
+
+    def keep(self, which: np.ndarray) -> State:
+        return State(self.words, self.at[which], self.place[which], self.copies)
+
+    def packed(self) -> bytes:
+        mask = np.zeros(self.words, bool)
+        mask[self.at] = True
+        head = np.array([self.words, len(self.at), len(self.copies), self.place.itemsize], np.int64)
+        return head.tobytes() + self.copies.astype(np.int64).tobytes() + np.packbits(mask).tobytes() + self.place.tobytes()
+
+    @staticmethod
+    def unpacked(data: bytes) -> State:
+        words, n, copies, item = np.frombuffer(data, np.int64, 4).tolist()
+        bits = -(-words // 8)
+        mask = np.unpackbits(np.frombuffer(data, np.uint8, bits, 32 + 8 * copies), count=words)
+        place = np.frombuffer(data, np.uint8 if item == 1 else np.int64, n, 32 + 8 * copies + bits)
+        return State(words, np.flatnonzero(mask), place, np.frombuffer(data, np.int64, copies, 32))
+
+
+class Batch:
+    """A batch's rows in memory: ids (with a mask for null) and words."""
+
+    def __init__(self, table: pa.Table, lanes: int) -> None:
+        table = table.sort_by("number").combine_chunks()  # the same order at every level
+        ids = table.column("doc_id")
+        self.numbers = table.column("number").to_numpy()
+        self.text = _one(table.column("text"))
+        # filled before they leave Arrow: large ids do not survive as floats
+        self.has_id, self.ids = ids.is_valid().to_numpy().astype(bool), ids.fill_null(0).to_numpy().astype(np.int64)
+        self.words: Words = hash_words(self.text, space_table(), lanes=lanes)
+        self.doc = self.words.doc_of()
+
+    def windows(self, m: int, lane: int) -> np.ndarray:
+        return window_hashes(self.words.lanes[lane], self.words.bounds, m)[0]
+
+
+def _one(column: pa.ChunkedArray) -> pa.Array:
+    return column.chunk(0) if column.num_chunks else pa.array([], column.type)
+
+
+def distinct_least(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of key pairs (n x 2): a row of each distinct one, the least id, whether two ids have it, and the distinct place of each row."""
+    order = np.lexsort((ids, keys[:, 1], keys[:, 0]))
     k, d = keys[order], ids[order]
-    new = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, np.int64)
-    last = np.r_[new[1:], len(k)] - 1 if len(k) else new
+    new = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]).any(axis=1)]) if len(k) else np.zeros(0, np.int64)
+    size = np.diff(np.r_[new, len(k)])
     of = np.zeros(len(k), np.int64)
-    of[order] = np.repeat(np.arange(len(new)), np.diff(np.r_[new, len(k)]))
-    return Level(k[new], d[new], d[new] != d[last], of)
+    of[order] = np.repeat(np.arange(len(new)), size)
+    return k[new], d[new], d[new] != d[new + size - 1], of
 
 
-class Batch:
-    """Windows of one batch of documents that are still candidates."""
-
-    def __init__(self, table: pa.Table, length: int, first: int) -> None:
-        table = table.combine_chunks()
-        self.ids = table.column("doc_id").to_numpy(zero_copy_only=False)
-        column = table.column("text")
-        column = column.chunk(0) if column.num_chunks else pa.array([], column.type)
-        self.text = column
-        w = hash_words(column, space_table())
-        self.hashes, self.bounds, self.length, self.first = w.hashes, w.bounds, length, first
-        n = len(self.hashes)
-        _, ok = window_hashes(self.hashes, self.bounds, length)
-        has_id = ~np.isnan(self.ids) if self.ids.dtype.kind == "f" else np.ones(len(self.ids), bool)
-        ids = np.where(has_id, self.ids, 0).astype(np.int64) if self.ids.dtype.kind == "f" else self.ids.astype(np.int64)
-        doc = np.repeat(np.arange(len(ids)), np.diff(self.bounds))
-        self.at = np.flatnonzero(ok & has_id[doc]) if n else np.zeros(0, np.int64)
-        self.doc = doc
-        self.word_ids = ids[doc] if n else np.zeros(0, np.int64)
-        short, _ = window_hashes(self.hashes, self.bounds, first)
-        best = short[self.at]
-        self.place = np.zeros(len(self.at), np.int64)
-        for j in range(1, length - first + 1):
-            other = short[self.at + j]
-            less = other < best
-            best[less] = other[less]
-            self.place[less] = j
-
-    def level(self, m: int) -> Level:
-        """The candidates' windows of m words around their named short window."""
-        h, _ = window_hashes(self.hashes, self.bounds, m)
-        # mixed again: the smallest of several hashes are not spread evenly over the ranges
-        return _level(mix(h[self.at + np.minimum(self.place, self.length - m)]), self.word_ids[self.at])
-
-    def keep(self, which: np.ndarray) -> None:
-        self.at, self.place = self.at[which], self.place[which]
-
-    def replay(self, lengths: list[int], answers: dict[int, np.ndarray]) -> Level:
-        """Apply the answers so far; the level to ask next, or the last with its answer pending."""
-        for i, m in enumerate(lengths):
-            level = self.level(m)
-            if i not in answers or i == len(lengths) - 1:
-                return level
-            self.keep((answers[i] | level.several)[level.of])
-        raise ValueError("no level")
-
-
-def _slot_of(keys: np.ndarray, slots: int) -> np.ndarray:
-    return ((keys >> np.uint64(32)) * np.uint64(slots) >> np.uint64(32)).astype(np.int64)
-
-
-def _answers(replies: pa.Table) -> dict[int, np.ndarray]:
-    """Bits of each level in order of the keys sent."""
-    rows = sorted(zip(replies.column("level").to_pylist(), replies.column("slot").to_pylist(), replies.column("n").to_pylist(), replies.column("bits").to_pylist()))
-    out: dict[int, list[np.ndarray]] = {}
-    for level, _, n, bits in rows:
-        out.setdefault(level, []).append(np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool))
-    return {k: np.concatenate(v) for k, v in out.items()}
-
-
-_ASK = "slot bigint, batch bigint, hashes binary, ids binary"
-_REPLY = "batch bigint, slot bigint, level int, n int, bits binary"
-
-
-def _ask(level: Level, batch: int, slots: int, last: bool) -> pa.Table:
-    cuts = np.searchsorted(_slot_of(level.keys, slots), np.arange(slots + 1))
-    some = np.flatnonzero(np.diff(cuts))
-    pieces = [level.keys[cuts[s] : cuts[s + 1]].tobytes() for s in some]
-    ids = [level.least[cuts[s] : cuts[s + 1]].tobytes() if last else b"" for s in some]
-    return pa.table({"slot": pa.array(some, pa.int64()), "batch": pa.array(np.full(len(some), batch), pa.int64()), "hashes": pa.array(pieces, pa.binary()), "ids": pa.array(ids, pa.binary())})
-
-
-def _reply(level: int, last: bool):
-    def answer(table: pa.Table) -> pa.Table:
-        pieces = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
-        keys = np.concatenate(pieces)
-        order = np.argsort(keys, kind="stable")
-        k = keys[order]
-        new = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-        n = np.diff(np.r_[new, len(k)])
-        bits = np.zeros(len(k), bool)
-        if last:
-            ids = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("ids").to_pylist()])
-            bits[order] = np.repeat(np.minimum.reduceat(ids[order], new), n) < ids[order]
+def _keys(batch: Batch, state: State, m: int, length: int, first: int, last: bool) -> np.ndarray:
+    """Hashes of the candidates' windows of m words; the second is 0 before the last level."""
+    start = state.at + around(state.place, m, length, first)
+    out = np.zeros((len(start), 2), np.uint64)
+    out[:, 0] = batch.windows(m, 0)[start]
+    if last:
+        out[:, 1] = batch.windows(m, 1)[start]
+    return out
+
+
+_LEVEL = "batch bigint, h1 bigint, h2 bigint, least bigint, state binary"
+_OUT = "doc_id bigint, n_words bigint, n_removed bigint, kept string, spans array<struct<start: bigint, end: bigint>>"
+
+
+def _level_rows(number: int, keys: np.ndarray, least: np.ndarray, state: State) -> pa.Table:
+    """A row for each distinct window asked for; and one with the candidates, whose `least` is their number."""
+    n = len(keys)
+    h1, h2 = (pa.array(np.r_[keys[:, i], np.uint64(0)].view(np.int64)) for i in (0, 1))
+    held = pa.array([None] * n + [state.packed()], pa.binary())
+    return pa.table({"batch": pa.array(np.full(n + 1, number, np.int64)), "h1": h1, "h2": h2, "least": pa.array(np.r_[least, len(state.at)].astype(np.int64)), "state": held})
+
+
+def _told(answers: pa.Table) -> tuple[State | None, np.ndarray]:
+    """The candidates, and the windows (n x 2) of which the answer is yes."""
+    answers = answers.combine_chunks()
+    held = _one(answers.column("state"))
+    at = held.is_valid().to_numpy(zero_copy_only=False).astype(bool)
+    state = State.unpacked(held.drop_null()[0].as_py()) if at.any() else None
+    yes = np.stack([answers.column(c).to_numpy()[~at].astype(np.int64).view(np.uint64) for c in ("h1", "h2")], axis=1)
+    return state, yes
+
+
+def _is_in(keys: np.ndarray, yes: np.ndarray) -> np.ndarray:
+    """Which of the distinct keys are among yes."""
+    every = np.concatenate([keys, yes])
+    order = np.lexsort((every[:, 1], every[:, 0]))  # stable: a key stands before its equal in yes
+    k = every[order]
+    same = np.r_[(k[1:] == k[:-1]).all(axis=1), False] if len(k) else np.zeros(0, bool)
+    out = np.zeros(len(every), bool)
+    out[order] = same
+    return out[: len(keys)]
+
+
+def _copies(rows: DataFrame) -> DataFrame:
+    """(batch, h1): the numbers of the rows whose text also stands under a smaller id."""
+    texts = rows.where("doc_id is not null and text is not null").select("batch", "number", "doc_id", F.sha2("text", 256).alias("key"))
+    least = texts.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("key", "least")
+    return texts.join(least, "key").where("doc_id > least").select("batch", F.col("number").alias("h1"))
+
+
+def _ask(lengths: list[int], i: int) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
+    """Level i of one batch: what the last answer leaves, and the windows to ask for."""
+    first, length, last = lengths[0], lengths[-1], i == len(lengths) - 1
+
+    def run(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
+        batch = Batch(table, 2 if last else 1)
+        state, yes = _told(answers)
+        if i == 0:
+            at, place = named_places(batch.words.hashes, batch.words.bounds, length, first)
+            copies = yes[:, 0].view(np.int64) if len(yes) else np.zeros(0, np.int64)
+            on = (batch.has_id & ~np.isin(batch.numbers, copies))[batch.doc[at]]
+            state = State(len(batch.doc), at[on], place[on], copies)
         else:
-            bits[order] = np.repeat(n, n) > 1
-        cuts = np.cumsum([0] + [len(p) for p in pieces])
-        rows = len(pieces)
-        return pa.table(
-            {
-                "batch": table.column("batch").combine_chunks(), "slot": table.column("slot").combine_chunks(), "level": pa.array([level] * rows, pa.int32()), "n": pa.array([len(p) for p in pieces], pa.int32()),
-                "bits": pa.array([np.packbits(bits[cuts[i] : cuts[i + 1]]).tobytes() for i in range(rows)], pa.binary()),
-            }
-        )
-
-    return answer
-
-
-def _removed(batch: Batch, lengths: list[int], answers: dict[int, np.ndarray]) -> np.ndarray:
-    """Which words are covered by a window that starts in a document of smaller id."""
-    level = batch.replay(lengths, answers)
-    earlier = answers.get(len(lengths) - 1, np.zeros(len(level.keys), bool))
-    gone = earlier[level.of] | (batch.word_ids[batch.at] > level.least[level.of]) if len(batch.at) else np.zeros(0, bool)
-    change = np.zeros(len(batch.hashes) + 1, np.int64)
-    np.add.at(change, batch.at[gone], 1)
-    np.add.at(change, batch.at[gone] + batch.length, -1)
-    return np.cumsum(change)[:-1] > 0
+            keys, _, several, of = distinct_least(_keys(batch, state, lengths[i - 1], length, first, False), batch.ids[batch.doc[state.at]])
+            state = state.keep((several | _is_in(keys, yes))[of])
+        keys, least, _, _ = distinct_least(_keys(batch, state, lengths[i], length, first, last), batch.ids[batch.doc[state.at]])
+        return _level_rows(key[0].as_py(), keys, least, state)
+
+    return run
+
+
+def _finish(lengths: list[int]) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
+    """Remove the words covered by windows that start under a smaller id."""
+    first, length = lengths[0], lengths[-1]
+
+    def run(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
+        batch = Batch(table, 2)
+        state, yes = _told(answers)
+        change = np.zeros(len(batch.doc) + 1, np.int64)
+        if len(state.at):
+            own = batch.ids[batch.doc[state.at]]
+            keys, least, _, of = distinct_least(_keys(batch, state, length, length, first, True), own)
+            start = state.at[_is_in(keys, yes)[of] | (own > least[of])]
+            np.add.at(change, start, 1)
+            np.add.at(change, start + length, -1)
+        gone = np.cumsum(change)[:-1] > 0
+        bounds = batch.words.bounds
+        gone |= (np.isin(batch.numbers, state.copies) & (np.diff(bounds) >= length))[batch.doc]
+        removed, kept, spans = [], [], []
+        for i, text in enumerate(batch.text.to_pylist()):
+            own_words = gone[bounds[i] : bounds[i + 1]]
+            words = (text or "").encode().split()
+            edge = np.flatnonzero(np.diff(np.r_[False, own_words, False].astype(np.int8)))
+            removed.append(int(own_words.sum()))
+            kept.append(b" ".join(compress(words, (~own_words).tolist()) if len(edge) else words).decode())
+            spans.append([{"start": int(a), "end": int(b)} for a, b in edge.reshape(-1, 2)])
+        span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        ids = pa.array(batch.ids, mask=~batch.has_id)
+        return pa.table({"doc_id": ids, "n_words": pa.array(np.diff(bounds)), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.string()), "spans": pa.array(spans, span)})
+
+    return run
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 13, first: int = FIRST, batch_bytes: int = 4 << 20) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept (the kept words, one space between), spans removed (word places, end exclusive)."""
+    spark = docs.sparkSession
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     batches = max(1, -(-size // batch_bytes))
+    buckets = min(MOST_BUCKETS, max(-(-size // BUCKET_BYTES), min(batches, int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    # rows are told apart by a number that is drawn once: the table is written before anything else reads it
+    numbered = docs.withColumn("number", F.monotonically_increasing_id())
+    rows = written_by(numbered.withColumn("batch", F.pmod(F.xxhash64("number"), F.lit(batches))), "repeats", "batch", buckets)
     lengths = level_lengths(length, first)
-    dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).alias("batch"), "doc_id", "text")
-
-    def answered(asked: DataFrame, i: int) -> DataFrame:
-        return asked.groupBy("slot").applyInArrow(_reply(i, i == len(lengths) - 1), _REPLY)
-
-    def asking(i: int):
-        last = i == len(lengths) - 1
-
-        def alone(table: pa.Table) -> pa.Table:
-            return _ask(Batch(table, length, lengths[0]).level(lengths[0]), table.column("batch")[0].as_py(), batches, last)
-
-        def after(table: pa.Table, replies: pa.Table) -> pa.Table:
-            if not table.num_rows:
-                return _ask(_level(np.zeros(0, np.uint64), np.zeros(0, np.int64)), 0, batches, last)
-            return _ask(Batch(table, length, lengths[0]).replay(lengths, _answers(replies)), table.column("batch")[0].as_py(), batches, last)
-
-        return after if i else alone
-
-    def finish(table: pa.Table, replies: pa.Table) -> pa.Table:
-        rows: dict[str, list] = {"doc_id": [], "n_words": [], "n_removed": [], "kept": [], "spans": []}
-        if table.num_rows:
-            batch = Batch(table, length, lengths[0])
-            gone = _removed(batch, lengths, _answers(replies))
-            rows["doc_id"] = table.column("doc_id").to_pylist()
-            for i, text in enumerate(batch.text.to_pylist()):
-                own = gone[batch.bounds[i] : batch.bounds[i + 1]]
-                words = (text or "").encode().split()
-                edge = np.flatnonzero(np.diff(np.r_[False, own, False].astype(np.int8)))
-                rows["n_words"].append(len(words))
-                rows["n_removed"].append(int(own.sum()))
-                rows["kept"].append(b" ".join(compress(words, (~own).tolist()) if len(edge) else words).decode())
-                rows["spans"].append([{"start": int(a), "end": int(b)} for a, b in edge.reshape(-1, 2)])
-        span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        return pa.table({"doc_id": pa.array(rows["doc_id"], pa.int64()), "n_words": pa.array(rows["n_words"], pa.int64()), "n_removed": pa.array(rows["n_removed"], pa.int64()), "kept": pa.array(rows["kept"], pa.string()), "spans": pa.array(rows["spans"], span)})
-
-    replies = answered(dealt.groupBy("batch").applyInArrow(asking(0), _ASK), 0)
-    for i in range(1, len(lengths)):
-        asked = dealt.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(asking(i), _ASK)
-        replies = replies.unionByName(answered(asked, i))
-    out = "doc_id bigint, n_words bigint, n_removed bigint, kept string, spans array<struct<start: bigint, end: bigint>>"
-    return dealt.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(finish, out)
+    held = F.lit(None).cast("binary").alias("state")
+    answers = written(_copies(rows), "copies").select("batch", "h1", F.lit(0).cast("long").alias("h2"), held)
+    for i, m in enumerate(lengths):
+        level = written(rows.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_ask(lengths, i), _LEVEL), f"repeats-{m}")
+        states, asked = level.where("state is not null"), level.where("state is null")
+        same = Window.partitionBy("h1", "h2")
+        if m == length:
+            told = asked.select("batch", "h1", "h2", "least", F.min("least").over(same).alias("first")).where("least > first")
+        else:
+            told = asked.select("batch", "h1", "h2", F.count("*").over(same).alias("n")).where("n > 1")
+        answers = told.select("batch", "h1", "h2", held).unionByName(states.select("batch", "h1", "h2", "state"))
+        if not states.agg(F.sum("least")).first()[0]:
+            break
+    return rows.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_finish(lengths), _OUT)

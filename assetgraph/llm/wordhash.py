@@ -4,12 +4,15 @@ All functions work on the UTF-8 bytes of a whole Arrow batch at once, so a task
 never builds one Python object per word.  Separators are ASCII in every word
 definition used here, hence byte-level scanning of UTF-8 is exact.
 
-A word hash is a polynomial hash of the word's bytes modulo 2**64, mixed with
-the word's length.  Window hashes combine 64-bit word hashes by position.
+A word hash takes the word's bytes eight at a time, each block mixed into the state by a
+full-avalanche finaliser, so there is no algebraic family of equal hashes; words of more than
+`LONG` bytes are hashed by BLAKE2.  Two independent lanes of 64 bits can be had.  A window's
+hash is put together from hashes of windows of one, two, four, ... words, mixed at each step.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,27 +20,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 
-CHUNK = 1 << 16
-_P = np.uint64(0x9E3779B97F4A7C15 | 1)
-_P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
+CHUNK = 1 << 16  # words hashed at once
+LONG = 64  # bytes
+_P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xD6E8FEB86659FD93)
-
-
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-_TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(17, int(n).bit_length())
-    if size not in _TABLES:
-        _TABLES.clear()
-        _TABLES[size] = (_powers(_P, size), _powers(_P_INV, size))
-    return _TABLES[size]
+_LANES = (np.uint64(0), np.uint64(0xA0761D6478BD642F))
+_MASK = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -88,24 +76,21 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Words:
-    """Words of a batch of texts: byte spans and hashes; bounds[i]:bounds[i+1] are text i's."""
+    """Words of a batch of texts: byte spans and hashes (one array for each lane); bounds[i]:bounds[i+1] are text i's."""
 
     raw: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
-    hashes: np.ndarray
+    lanes: list[np.ndarray]
     bounds: np.ndarray
 
+    @property
+    def hashes(self) -> np.ndarray:
+        return self.lanes[0]
+
     def doc_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
 
-    def words_of(self, i: int) -> list[bytes]:
-        a, b = self.bounds[i], self.bounds[i + 1]
-        data = self.raw.tobytes() if len(self.bounds) == 2 else None
-        if data is not None:
-            return [data[s:e] for s, e in zip(self.starts[a:b].tolist(), self.ends[a:b].tolist())]
-        return [self.raw[s:e].tobytes() for s, e in zip(self.starts[a:b].tolist(), self.ends[a:b].tolist())]
-
 
 def _spans(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of all words; no word crosses a text's end."""
@@ -121,29 +106,47 @@ def _spans(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def hash_words(column: pa.Array, table: np.ndarray, fold: np.ndarray = KEEP, with_hashes: bool = True) -> Words:
+def _hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lanes: int) -> list[np.ndarray]:
+    """Hashes of data[starts:ends]; eight bytes follow the last word."""
+    length = ends - starts
+    blocks = np.ndarray((len(data) - 7,), np.dtype("<u8"), data, 0, (1,))
+    out = []
+    for lane in range(lanes):
+        out.append(mix(length.astype(np.uint64) * _Q + _LANES[lane]))
+    left = np.minimum(length, LONG)
+    at, on = starts, slice(None)
+    while True:
+        block = blocks[at] & _MASK[np.minimum(left, 8)]
+        for h in out:
+            h[on] = mix(h[on] ^ block)
+        more = left > 8
+        if not more.any():
+            break
+        on = np.flatnonzero(more) if isinstance(on, slice) else on[more]
+        at, left = at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(length > LONG).tolist():
+        whole = np.frombuffer(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=16).digest(), np.uint64)
+        for h, value in zip(out, whole):
+            h[i] = value
+    return out
+
+
+def hash_words(column: pa.Array, table: np.ndarray, fold: np.ndarray = KEEP, with_hashes: bool = True, lanes: int = 1) -> Words:
     """Words of every text in the column.  fold maps bytes before hashing (LOWER or KEEP)."""
     raw, offsets = string_buffers(column)
     if not len(raw):
         empty = np.zeros(0, np.int64)
-        return Words(raw, empty, empty, np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64))
+        return Words(raw, empty, empty, [np.zeros(0, np.uint64)] * lanes, np.zeros(len(offsets), np.int64))
     starts, ends = _spans(raw, offsets, table)
     bounds = np.searchsorted(starts, offsets)
-    hashes = np.zeros(len(starts) if with_hashes else 0, np.uint64)
-    lo = 0
-    while with_hashes and lo < len(starts):
-        base = starts[lo]
-        hi = max(lo + 1, int(np.searchsorted(ends, base + CHUNK, side="right")))
-        stop = ends[hi - 1]
-        up, down = _tables(int(stop - base) + 1)
-        part = fold[raw[base:stop]].astype(np.uint64)
-        part += np.uint64(1)
-        part *= up[: len(part)]
-        total = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(part, out=total[1:])
-        s, e = starts[lo:hi] - base, ends[lo:hi] - base
-        hashes[lo:hi] = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64) * _Q)
-        lo = hi
+    hashes = [np.zeros(len(starts) if with_hashes else 0, np.uint64) for _ in range(lanes)]
+    if with_hashes and len(starts):
+        data = np.zeros(len(raw) + 8, np.uint8)
+        np.take(fold, raw, out=data[: len(raw)])
+        for lo in range(0, len(starts), CHUNK):
+            part = _hash_spans(data, starts[lo : lo + CHUNK], ends[lo : lo + CHUNK], lanes)
+            for h, p in zip(hashes, part):
+                h[lo : lo + CHUNK] = p
     return Words(raw, starts, ends, hashes, bounds)
 
 
@@ -152,12 +155,16 @@ def window_hashes(hashes: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.nd
     n = len(hashes)
     out = np.zeros(n, np.uint64)
     if n >= k:
-        m = n - k + 1
-        acc = np.zeros(m, np.uint64)
-        with np.errstate(over="ignore"):
-            for j in range(k):
-                acc = acc * _P + hashes[j : j + m]
-        out[:m] = mix(acc)
+        power, size, acc, have = hashes, 1, None, 0  # windows of `size` words; acc: of `have` words
+        while True:
+            if k & size:
+                acc = power if acc is None else mix(power[: n - have - size + 1] * _P + acc[size : n - have + 1])
+                have += size
+            if have == k:
+                break
+            power = mix(power[: n - 2 * size + 1] * _P + power[size : n - size + 1])
+            size *= 2
+        out[: n - k + 1] = acc
     left = np.repeat(bounds[1:], np.diff(bounds)) - np.arange(n)
     return out, left >= k
 

@@ -133,6 +133,39 @@ def test_substrings(spark, length, batch):
     assert sorted(map(tuple, got), key=repr) == brute_removed(rows, length)
 
 
+def test_substrings_large_ids_and_like_words(spark):
+    """Ids beyond 2**53 beside a null id, the ends of bigint, words of equal polynomial hashes, and repeated rows."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    one, other = ("".join(x[b] for b in bits) for x in ("ab", "ba"))
+    twelve = " ".join(f"v{i}" for i in range(12))
+    twenty = " ".join(f"u{i}" for i in range(20))
+    rows = [(2**53, twenty), (2**53 + 1, twenty), (None, twenty), (1, f"{twelve} {one}"), (2, f"{twelve} {other}"), (3, f"x {twelve} {one}")]
+    rows += [(-(2**63), twenty + " " + twelve), (2**63 - 1, twenty), (9, None), (10, ""), *[(77, "r s t " * 9)] * 40, (76, "r s t " * 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = substring_dedup.remove_repeats(docs, batch_bytes=300).select("doc_id", "n_words", "n_removed", "kept").collect()
+    assert sorted(map(tuple, got), key=repr) == brute_removed(rows, 13)
+
+
+def test_substrings_end_early_and_long_text(spark):
+    """No level goes on without candidates; a text of some MB beside its passage."""
+    rng = random.Random(3)
+    long = " ".join(f"w{rng.randrange(10**9)}" for _ in range(300_000))
+    rows = [(1, long), (2, "a " * 3 + " ".join(long.split()[5000:5040])), (3, "b c d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(docs).collect()}
+    assert got == {1: (300_000, 0), 2: (43, 40), 3: (3, 0)}
+
+
+def test_named_windows():
+    """The window around the named one holds it and lies in its window."""
+    for length in (5, 9, 13, 30):
+        lengths = substring_dedup.level_lengths(length)
+        place = np.arange(length - lengths[0] + 1)
+        for m in lengths:
+            start = substring_dedup.around(place, m, length, lengths[0])
+            assert (start >= 0).all() and (start + m <= length).all() and (start <= place).all() and (start + m >= place + lengths[0]).all()
+
+
 def test_levels():
     assert substring_dedup.level_lengths(13) == [4, 8, 13]
     assert substring_dedup.level_lengths(64) == [4, 8, 16, 32, 64]

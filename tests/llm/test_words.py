@@ -36,3 +36,27 @@ def test_windows():
     h, ok = wh.window_hashes(w.hashes, w.bounds, 2)
     assert ok.tolist() == [True, True, True, True, False, True, False]
     assert h[0] == h[2] == h[5] and h[1] == h[3] != h[0]
+
+
+def test_no_algebraic_collisions():
+    """Thue-Morse words and words that differ in a swap of blocks have different hashes in both lanes."""
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    words = ["".join("ab"[b] for b in bits[:n]) for n in (16, 32, 64, 1024, 2048)]
+    words += ["".join("ba"[b] for b in bits[:n]) for n in (16, 32, 64, 1024, 2048)]
+    words += ["abcdefgh12345678", "12345678abcdefgh", "a" * 64, "a" * 65, "a" * 66, "a", "ab", "a\0b"]
+    w = wh.hash_words(pa.array([" ".join(words)]), wh.space_table(), lanes=2)
+    assert len(np.unique(w.lanes[0])) == len(np.unique(w.lanes[1])) == len(words)
+    assert not set(w.lanes[0].tolist()) & set(w.lanes[1].tolist())
+
+
+def test_window_sizes():
+    """Windows of any length: equal words give equal hashes, other words and lengths others."""
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in rng.integers(0, 3, 60)]
+    w = wh.hash_words(pa.array([" ".join(words)]), wh.space_table())
+    seen: dict[int, tuple] = {}
+    for k in range(1, 31):
+        h, ok = wh.window_hashes(w.hashes, w.bounds, k)
+        for p in np.flatnonzero(ok).tolist():
+            assert seen.setdefault(int(h[p]), tuple(words[p : p + k])) == tuple(words[p : p + k])
+        assert len({int(h[p]) for p in np.flatnonzero(ok)}) == len({tuple(words[p : p + k]) for p in np.flatnonzero(ok).tolist()})
