@@ -123,24 +123,46 @@ def _one(column: pa.ChunkedArray) -> pa.Array:
 
 
 def distinct_least(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of key pairs (n x 2): a row of each distinct one, the least id, whether two ids have it, and the distinct place of each row."""
-    order = np.lexsort((ids, keys[:, 1], keys[:, 0]))
+    """Of key pairs (n x 2): the distinct ones in order, their least id, whether two ids have them, and the distinct place of each row."""
+    order = _order(keys)
     k, d = keys[order], ids[order]
     new = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]).any(axis=1)]) if len(k) else np.zeros(0, np.int64)
-    size = np.diff(np.r_[new, len(k)])
     of = np.zeros(len(k), np.int64)
-    of[order] = np.repeat(np.arange(len(new)), size)
-    return k[new], d[new], d[new] != d[new + size - 1], of
-
-
-def _keys(batch: Batch, state: State, m: int, length: int, first: int, last: bool) -> np.ndarray:
-    """Hashes of the candidates' windows of m words; the second is 0 before the last level."""
-    start = state.at + around(state.place, m, length, first)
-    out = np.zeros((len(start), 2), np.uint64)
-    out[:, 0] = batch.windows(m, 0)[start]
-    if last:
-        out[:, 1] = batch.windows(m, 1)[start]
-    return out
+    of[order] = np.repeat(np.arange(len(new)), np.diff(np.r_[new, len(k)]))
+    if not len(k):
+        return k, d, np.zeros(0, bool), of
+    least = np.minimum.reduceat(d, new)
+    return k[new], least, np.maximum.reduceat(d, new) != least, of
+
+
+def _order(keys: np.ndarray) -> np.ndarray:
+    """Sorts pairs; by the first alone, unless pairs that share it differ in the second."""
+    order = np.argsort(keys[:, 0])
+    k = keys[order]
+    same = k[1:, 0] == k[:-1, 0]
+    return np.lexsort((keys[:, 1], keys[:, 0])) if (same & (k[1:, 1] != k[:-1, 1])).any() else order
+
+
+class Asked:
+    """The distinct windows of m words around the candidates' named ones."""
+
+    def __init__(self, batch: Batch, state: State, lengths: list[int], i: int) -> None:
+        first, length, m = lengths[0], lengths[-1], lengths[i]
+        start = state.at + around(state.place, m, length, first)
+        mask = np.zeros(len(batch.doc), bool)
+        mask[start] = True
+        places = np.flatnonzero(mask)  # candidates that share a named window share these
+        keys = np.zeros((len(places), 2), np.uint64)
+        keys[:, 0] = batch.windows(m, 0)[places]
+        if i == len(lengths) - 1:  # the second half is 0 before the last level
+            keys[:, 1] = batch.windows(m, 1)[places]
+        self.ids = batch.ids[batch.doc[places]]
+        self.at_place = (np.cumsum(mask) - 1)[start] if len(start) else start
+        self.keys, self.least, self.several, self.of = distinct_least(keys, self.ids)
+
+    def of_candidates(self, of_keys: np.ndarray) -> np.ndarray:
+        """What is true of the distinct windows, for each candidate."""
+        return of_keys[self.of][self.at_place]
 
 
 _LEVEL = "batch bigint, h1 bigint, h2 bigint, least bigint, state binary"
@@ -166,14 +188,15 @@ def _told(answers: pa.Table) -> tuple[State | None, np.ndarray]:
 
 
 def _is_in(keys: np.ndarray, yes: np.ndarray) -> np.ndarray:
-    """Which of the distinct keys are among yes."""
-    every = np.concatenate([keys, yes])
-    order = np.lexsort((every[:, 1], every[:, 0]))  # stable: a key stands before its equal in yes
-    k = every[order]
-    same = np.r_[(k[1:] == k[:-1]).all(axis=1), False] if len(k) else np.zeros(0, bool)
-    out = np.zeros(len(every), bool)
-    out[order] = same
-    return out[: len(keys)]
+    """Which of the sorted distinct keys are among the distinct yes."""
+    if not len(keys) or not len(yes):
+        return np.zeros(len(keys), bool)
+    yes = yes[_order(yes)]
+    if (yes[1:, 0] == yes[:-1, 0]).any():  # a chance match of the first halves
+        listed = set(map(tuple, yes.tolist()))
+        return np.array([tuple(k) in listed for k in keys.tolist()])
+    at = np.minimum(np.searchsorted(yes[:, 0], keys[:, 0]), len(yes) - 1)
+    return (yes[at] == keys).all(axis=1)
 
 
 def _copies(rows: DataFrame) -> DataFrame:
@@ -196,26 +219,25 @@ def _ask(lengths: list[int], i: int) -> Callable[[tuple, pa.Table, pa.Table], pa
             on = (batch.has_id & ~np.isin(batch.numbers, copies))[batch.doc[at]]
             state = State(len(batch.doc), at[on], place[on], copies)
         else:
-            keys, _, several, of = distinct_least(_keys(batch, state, lengths[i - 1], length, first, False), batch.ids[batch.doc[state.at]])
-            state = state.keep((several | _is_in(keys, yes))[of])
-        keys, least, _, _ = distinct_least(_keys(batch, state, lengths[i], length, first, last), batch.ids[batch.doc[state.at]])
-        return _level_rows(key[0].as_py(), keys, least, state)
+            before = Asked(batch, state, lengths, i - 1)
+            state = state.keep(before.of_candidates(before.several | _is_in(before.keys, yes)))
+        now = Asked(batch, state, lengths, i)
+        return _level_rows(key[0].as_py(), now.keys, now.least, state)
 
     return run
 
 
 def _finish(lengths: list[int]) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
     """Remove the words covered by windows that start under a smaller id."""
-    first, length = lengths[0], lengths[-1]
+    length = lengths[-1]
 
     def run(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         batch = Batch(table, 2)
         state, yes = _told(answers)
         change = np.zeros(len(batch.doc) + 1, np.int64)
         if len(state.at):
-            own = batch.ids[batch.doc[state.at]]
-            keys, least, _, of = distinct_least(_keys(batch, state, length, length, first, True), own)
-            start = state.at[_is_in(keys, yes)[of] | (own > least[of])]
+            asked = Asked(batch, state, lengths, len(lengths) - 1)
+            start = state.at[asked.of_candidates(_is_in(asked.keys, yes)) | (batch.ids[batch.doc[state.at]] > asked.of_candidates(asked.least))]
             np.add.at(change, start, 1)
             np.add.at(change, start + length, -1)
         gone = np.cumsum(change)[:-1] > 0
