@@ -72,7 +72,7 @@ def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 10 over documents: words taken by the copies of the training schedule, and the first copy's position."""
-    return scheduled_mix(read_table(spark, sf_dir, "documents"))
+    return scheduled_mix(read_table(spark, sf_dir, "documents")).withColumn("position", F.round("position", 6))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -117,9 +117,12 @@ OP4_SQL = rf"""
 WITH t AS (SELECT template, name, {_GRAMS} AS g FROM (SELECT template, name, {_NORMAL.format("text")} AS w FROM (VALUES {_LISTED}) v(template, name, text))
 ), u AS (
   SELECT doc_id, r, unnest(range(len(x))) AS unit, unnest(x) AS line FROM (
-    SELECT doc_id, row_number() OVER () AS r, list_concat(string_split_regex(text, '?
-'), list_filter(string_split_regex(text, '?
-[ 	]*?
+    SELECT doc_id, row_number() OVER () AS r, list_concat(string_split_regex(text, '
+?
+'), list_filter(string_split_regex(text, '
+?
+[ 	]*
+?
 '), lambda p: contains(p, chr(10)))) AS x FROM documents WHERE text IS NOT NULL)
 ), b AS (SELECT doc_id, r, unit, len(g) AS own, unnest(g) AS gram FROM (SELECT doc_id, r, unit, {_GRAMS} AS g FROM (SELECT doc_id, r, unit, {_NORMAL.format("line")} AS w FROM u))
 ), n AS (
@@ -155,7 +158,32 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) A
 FROM d LEFT JOIN kept USING (r)
 """
 
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+), s AS (SELECT source, sum(size) AS source_size FROM d GROUP BY source
+), r AS (SELECT source, source_size, row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1 AS rank FROM s
+), w AS (SELECT *, CAST(CASE rank % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS DOUBLE) AS weight FROM r
+), f AS (
+  SELECT *, 2.0 * source_size / weight AS ratio, coalesce(sum(source_size) OVER o, 0) AS held, coalesce(sum(weight) OVER o, 0) AS filled
+  FROM w WINDOW o AS (ORDER BY 2.0 * source_size / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), l AS (
+  SELECT (1.5 * (SELECT sum(source_size) FROM s) - 2.0 * held) / ((SELECT sum(weight) FROM w) - filled) AS level, ratio, rank FROM f
+), t AS (
+  SELECT source, CAST(source_size AS BIGINT) AS source_size, rank, 0.5 * (rank % 3 - 1) AS m,
+    CAST(least(coalesce((SELECT level FROM l WHERE level <= ratio ORDER BY ratio, rank LIMIT 1), 'infinity') * weight, 2.0 * source_size) AS DOUBLE) AS target FROM w
+), x AS (
+  SELECT doc_id, size, source_size, target, m, CAST(round(target) AS BIGINT) AS goal,
+    coalesce(sum(size) OVER (PARTITION BY rank ORDER BY md5(concat_ws(':', CAST(doc_id AS VARCHAR), CAST(size AS VARCHAR))), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begun
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+  CAST(greatest(0, least(size, goal - begun)) + greatest(0, least(size, goal - begun - source_size)) AS BIGINT) AS taken,
+  CASE WHEN size > 0 AND begun < goal THEN round(CASE WHEN m = 0 THEN begun / goal ELSE (sqrt((1 - m) * (1 - m) + 4 * m * (begun / goal)) - (1 - m)) / (2 * m) END, 6) END AS position
+FROM x
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op10_mix": OP10_SQL,
     "op2_decontaminate": OP2_SQL,
     "op4_licenses": OP4_SQL,
     "op6_jaccard_join": OP6_SQL,

@@ -200,10 +200,14 @@ def _is_in(keys: np.ndarray, yes: np.ndarray) -> np.ndarray:
 
 
 def _copies(rows: DataFrame) -> DataFrame:
-    """(batch, h1): the numbers of the rows whose text also stands under a smaller id."""
+    """(batch, h1): the numbers of the rows whose text also stands under a smaller id.
+
+    Rows of one text come together by batch first, which needs no shuffle; so a text of very many rows is one row for each batch.
+    """
     texts = rows.where("doc_id is not null and text is not null").select("batch", "number", "doc_id", F.sha2("text", 256).alias("key"))
-    least = texts.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("key", "least")
-    return texts.join(least, "key").where("doc_id > least").select("batch", F.col("number").alias("h1"))
+    per = texts.groupBy("batch", "key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("most"), F.collect_list(F.struct("doc_id", "number")).alias("held"))
+    per = per.withColumn("least", F.min("first").over(Window.partitionBy("key"))).where("most > least")
+    return per.select("batch", "least", F.inline("held")).where("doc_id > least").select("batch", F.col("number").alias("h1"))
 
 
 def _ask(lengths: list[int], i: int) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:

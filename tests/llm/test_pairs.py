@@ -180,7 +180,7 @@ def test_empty_tables(spark):
     assert ann_search.search(spark.createDataFrame([], "vec_id long, embedding array<float>"), lambda v: v % 20 == 0).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op6_jaccard_join", "op7_substring_dedup"])
+@pytest.mark.parametrize("name", ["op6_jaccard_join", "op7_substring_dedup", "op10_mix"])
 def test_sql(spark, name):
     assert spark_rows(queries.QUERIES[name](spark, SF)) == duck_rows(queries.ORACLE_SQL[name], SF)
 
@@ -228,8 +228,8 @@ def test_mixing(spark):
     rng = random.Random(8)
     rows = [(i, " ".join(["w"] * rng.randrange(60)), rng.choice(["a"] * 6 + ["b", "c", "d", "é", "", None]), 1) for i in range(500)] + [(500, None, "a", 1), (3, "x y", "a", 1), (3, "x y", "a", 1), (None, "x", "z", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, target int").repartition(4)
-    mix = mixing.plan_mix(df, bucket_rows=40)
-    got = mix.collect()
+    mix = mixing.plan_mix(df)
+    got = [{**r.asDict(), "taken": sum(c.words for c in r.copies)} for r in mix.collect()]
     assert len(got) == len(rows)
     sizes: dict = {}
     for _, t, s, _ in rows:
@@ -237,15 +237,25 @@ def test_mixing(spark):
     want = brute_targets(sizes)
     taken: dict = {}
     for r in got:
-        assert r.source_size == sizes[r.source] and abs(r.target - want[r.source]) < 1e-6 and 0 <= r.taken <= 2 * r.size
-        taken[r.source] = taken.get(r.source, 0) + r.taken
+        assert r["source_size"] == sizes[r["source"]] and abs(r["target"] - want[r["source"]]) < 1e-6 and 0 <= r["taken"] <= 2 * r["size"]
+        taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
     assert all(abs(taken[s] - want[s]) <= 1 for s in sizes)
-    again = mixing.plan_mix(df.repartition(7), bucket_rows=40).collect()
-    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.size, r.taken)
-    assert sorted(map(key, got)) == sorted(map(key, again))
-    plan = mixing.schedule(mix, partitions=3).collect()
-    position = [r.position for r in plan]
-    assert sum(r.words for r in plan) == sum(r.taken for r in got) and all(0 <= p <= 1 for p in position)
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.size, r.taken, r.position or -1)
+    assert sorted(map(key, mixing.scheduled_mix(df).collect())) == sorted(map(key, mixing.scheduled_mix(df.repartition(7)).collect()))
+    # the copies lie end to end in each source, and their positions are those of the numeric inversion
+    rings: dict = {}
+    for r in got:
+        rings.setdefault(r["source"], []).append(r)
+        m = 0.5 * (r["rank"] % 3 - 1)
+        for lap, c in enumerate(r["copies"]):
+            assert abs(c.position - brute_position((lap * r["source_size"] + r["offset"]) / round(r["target"]), m)) < 1e-9
+    for ring in rings.values():
+        at = 0
+        for r in sorted(ring, key=lambda r: (r["offset"], r["size"])):
+            assert r["offset"] == at
+            at += r["size"]
+    plan = mixing.schedule(mix).collect()
+    assert sum(r.words for r in plan) == sum(r["taken"] for r in got) and all(0 <= r.position < 1 for r in plan)
 
 
 def brute_position(share, m):
@@ -257,22 +267,26 @@ def brute_position(share, m):
     return lo
 
 
-def test_scheduled_mix(spark, tmp_path):
-    rng = random.Random(11)
-    rows = [(i, " ".join(["w"] * rng.randrange(40)), rng.choice(["a"] * 5 + ["b", "c", None])) for i in range(300)] + [(300, None, "a"), (3, "x y", "b"), (3, "x y", "b"), (None, "x", "c")]
-    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
-    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    out = queries.op10_mix(spark, str(tmp_path))
-    assert out.columns == ["doc_id", "size", "source_size", "target", "taken", "position"]
-    got = sorted(((r.doc_id, r.size, r.source_size, r.taken, r.position) for r in out.collect()), key=repr)
-    want = []
-    for r in mixing.plan_mix(docs).collect():
-        m = 0.5 * (r["rank"] % 3 - 1)
-        want.append((r.doc_id, r.size, r.source_size, r.taken, brute_position(r.offset / max(round(r.target), 1), m) if r.taken else None))
-    want.sort(key=repr)
-    assert len(got) == len(rows) and [g[:4] for g in got] == [w[:4] for w in want]
-    assert all((g[4] is None) == (w[4] is None) and abs((g[4] or 0) - (w[4] or 0)) < 1e-9 for g, w in zip(got, want))
-    assert dict(corpus_pipeline.STAGES)["mix"](spark, docs, str(tmp_path)).columns == out.columns
+def test_running_sums(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice("abc"), rng.randrange(10), i) for i in range(500)] + [("a", 1, 1000 + i) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, v long, row long").repartition(5)
+    at = 0
+    got = {r.row: r.s for r in mixing.running_sums(df, ["k", "v", "row"], {"s": "v"}).collect()}
+    for _, v, i in sorted(rows):
+        assert got[i] == at
+        at += v
+
+
+def test_mix_keeps_columns_and_order(spark):
+    rows = [(i, "w " * (i % 30), f"s{i % 4}", i) for i in range(200)] + [(None, "a b", None, 1)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size int")
+    out = mixing.scheduled_mix(df, keep=df.columns)
+    assert out.columns == ["doc_id", "text", "source", "size", "source_size", "target", "taken", "position"]
+    got = out.collect()
+    assert sorted((r[:4] for r in got), key=repr) == sorted(rows, key=repr)
+    position = [r.position or -1 for r in got]
+    assert position == sorted(position)
 
 
 def test_pipeline(spark):
@@ -300,7 +314,8 @@ def test_pipeline(spark):
     four = {r.doc_id: r.text for r in stages["secret_scan"](spark, docs, folder).collect()}
     assert four[10] == clean[1] + " [ASSIGN]" and four[0] == clean[0] and four[9] is None
     out = corpus_pipeline.run(spark, folder).collect()
-    assert {r.doc_id for r in out} == set(range(6))
+    assert {r.doc_id for r in out} == set(range(6)) and all(r.text == clean[r.doc_id] for r in out)
+    assert [r.position for r in out] == sorted(r.position for r in out)
     assert sum(r.taken for r in out) == 360
 
 
