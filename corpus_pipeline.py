@@ -7,7 +7,7 @@ language_id     documents without a language (no letters, no text) go
 near_dups       of each group of near duplicates one row stays, of smallest id (null last)
 decontaminate   documents contaminated by benchmark passages go
 secret_scan     secrets are replaced by their kind in the text; every document stays
-mix             source mixing: words to take from each document by the training schedule, and its position
+mix             source mixing: every document with the words to take from it by the training schedule, range-sorted by its position
 
 SQL cannot express the first stage's model, so ORACLE_SQL is None and the stages are tested
 against brute force.  Every stage takes the columns it needs by name, keeps others as
@@ -65,8 +65,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words to take from each document, and the training position of its first copy."""
-    return scheduled_mix(docs)
+    """The documents in training order, with the words to take from each and the position of its first copy."""
+    return scheduled_mix(docs, keep=docs.columns)
 
 
 STAGES = [
