@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import written
 from .wordhash import chunks, mix
 
 DIMENSIONS = 512
@@ -64,7 +65,10 @@ def _is_letter(points: np.ndarray) -> np.ndarray:
     global _LETTER
     if not len(_LETTER):
         _LETTER = np.fromiter((chr(i).isalpha() for i in range(0x30000)), bool, 0x30000)
-    return _LETTER[np.minimum(points, 0x2FFFF)]
+    out = _LETTER[np.minimum(points, 0x2FFFF)]
+    for i in np.flatnonzero(points > 0x2FFFF).tolist():  # rare: beyond the table
+        out[i] = chr(points[i]).isalpha()
+    return out
 
 
 class Bundler:
@@ -170,11 +174,9 @@ class Bundler:
 def fit_prototypes(docs: DataFrame, sample_per_lang: int, n: int, dims: int) -> tuple[list[str], np.ndarray]:
     """Languages in code-point order and their prototypes; docs: doc_id, text, lang of training rows."""
     docs = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r.lang: r.n for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
-        return [], np.zeros((0, dims))
-    share = F.create_map([F.lit(x) for lang, c in sizes.items() for x in (lang, min(1.0, sample_per_lang / c))])
-    sampled = docs.where((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)) < F.element_at(share, F.col("lang")))
+    # a written table: its size is known, so it is sent to the tasks only where it is small
+    share = written(docs.groupBy("lang").agg(F.least(F.lit(1.0), sample_per_lang / F.count("*")).alias("share")), "language-shares")
+    sampled = docs.join(share, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20) < F.col("share"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bundler, sums = Bundler(n, dims), {}

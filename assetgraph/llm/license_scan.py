@@ -1,21 +1,22 @@
-"""Licence scan: normalised lines and whole texts against licence templates by Dice over word bigrams.
+"""Licence scan: normalised text against licence templates by Dice over word bigrams.
 
-A text is lower-cased and reduced to words of a-z and 0-9.  Compared are each line of a
-document and each run of lines between empty lines (so a notice that is wrapped over lines is
-one unit).  With A and B the sets of word bigrams of unit and template, the
-measure is 2|A n B| / (|A| + |B|).  For it to reach `least`, the sizes must satisfy
+A text is lower-cased and reduced to words of a-z and 0-9.  Its units are each line, each sentence of a
+line, each run of lines between empty lines (a notice that is wrapped over lines), each two and
+three such runs in a row, and the whole text; equal units of a text count once.  With A
+and B the sets of word bigrams of unit and template, the measure is 2|A n B| / (|A| + |B|).
+For it to reach `least`, the sizes must satisfy
 least / (2 - least) <= |A| / |B| <= (2 - least) / least, so each unit is only
 compared with templates within these bounds.  A unit that reaches `least` also holds most of
 the template's bigrams, and so one of a few anchor words; documents and units without any are
-dropped before bigrams are made.
+dropped before bigrams are made.  A unit goes to the template it is closest to (to all, if several are equally close).
 
 All of it is DataFrame functions: units are exploded into bigrams, joined with the
 bigrams of the fixed template list (a broadcast of constant size), and counted by
 unit and template.  A hot source or a frequent line is only many small groups.
 
-Null and empty texts have no match.  Each document comes back once, with the templates it
+Null and empty texts have no match.  Each document comes back once, with the licences it
 matches and the best measure; rows of equal id come together as one, and the units of each
-row count, of equal rows too.  A null id is an id of its own.  Ties between templates: all are listed.  Only id and text are read.
+row count, of equal rows too.  A null id is an id of its own.  \\r, \\n and \\r\\n end lines.  Only id and text are read.
 """
 
 from __future__ import annotations
@@ -41,6 +42,15 @@ TEMPLATES = {
         "Licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ),
+    "LGPL-3.0": (
+        "Licensed under the GNU Lesser General Public License, version 3.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.",
+    ),
+    "AGPL-3.0": (
+        "Licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    "BSD-2-Clause": ("Licensed under the BSD 2-Clause License.",),
     "BSD-3-Clause": (
         "Licensed under the BSD 3-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
@@ -50,6 +60,18 @@ TEMPLATES = {
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     ),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",),
+    "EPL-2.0": (
+        "Licensed under the Eclipse Public License, version 2.0.",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0",
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ),
+    "CC0-1.0": (
+        "Licensed under CC0 1.0.",
+        "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty.",
+    ),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
@@ -116,24 +138,40 @@ def template_bigrams(spark: SparkSession) -> DataFrame:
     return made.select("template", "name", F.size("b").alias("size"), F.explode("b").alias("bigram"))
 
 
+def units_of(text: Column) -> Column:
+    """Lines, sentences, runs of lines, two and three runs in a row, and the whole text."""
+    text = F.regexp_replace(text, "\r\n?", "\n")
+    sentences = F.split(F.regexp_replace(text, "([.!?])[ \t]+", "$1\n"), "\n")
+    runs = F.split(text, "\n[ \t\n]*\n")
+    n = F.size(runs)
+
+    def after(i: int) -> Column:
+        return F.slice(runs, i + 1, F.greatest(n - i, F.lit(0)))
+
+    two = F.zip_with(F.slice(runs, 1, F.greatest(n - 1, F.lit(0))), after(1), lambda a, b: F.concat(a, F.lit("\n"), b))
+    three = F.zip_with(F.slice(two, 1, F.greatest(n - 2, F.lit(0))), after(2), lambda a, b: F.concat(a, F.lit("\n"), b))
+    return F.array_distinct(F.concat(F.split(text, "\n"), sentences, runs, two, three, F.array(text)))
+
+
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
     """One row per doc_id: licences (sorted names), n_units (units that match), best (largest Dice)."""
     docs = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
     templates = template_bigrams(docs.sparkSession)
-    lines = F.split("text", r"\r?\n")
-    paragraphs = F.filter(F.split("text", r"\r?\n[ \t]*\r?\n"), lambda p: p.contains("\n"))
-    units = docs.where(may_match(F.col("text"), least)).select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.concat(lines, paragraphs)).alias("unit", "line"))
+    units = docs.where(may_match(F.col("text"), least)).select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(units_of(F.col("text"))).alias("unit", "line"))
     ratio = least / (2 - least)
     sizes = [len(_plain_bigrams(t)) for texts in TEMPLATES.values() for t in texts]
-    low, high = int(min(sizes) * ratio), int(max(sizes) / ratio) + 1
+    low, high = int(min(sizes) * ratio), int(max(sizes) / ratio) + 1  # the bounds of all templates, before bigrams are exploded
     units = units.where(may_match(F.col("line"), least))
     units = units.withColumn("b", bigrams_of(words_of(F.col("line")))).withColumn("size", F.size("b")).where(F.col("size").between(low, high))
     each = units.select("doc_id", "text_key", "unit", F.col("size").alias("own"), F.explode("b").alias("bigram"))
-    met = each.join(F.broadcast(templates), "bigram").where((F.col("own") >= ratio * F.col("size")) & (F.col("own") <= F.col("size") / ratio))
+    met = each.join(F.broadcast(templates), "bigram").where((F.col("own") >= ratio * F.col("size") - 1e-6) & (F.col("own") <= F.col("size") / ratio + 1e-6))
     # rows of equal id and text meet here: each common bigram stands once for each of them
     common = met.groupBy("doc_id", "text_key", "unit", "template", "name", "own", "size").agg(F.size(F.collect_set("bigram")).alias("n"), F.count("*").alias("all"))
     dice = common.withColumn("dice", 2 * F.col("n") / (F.col("own") + F.col("size"))).where(F.col("dice") >= least)
-    matched = dice.groupBy("doc_id", "text_key", "unit").agg(F.array_sort(F.collect_set("name")).alias("names"), F.max(F.col("all") / F.col("n")).cast("long").alias("rows"), F.max("dice").alias("best"))
+    near = F.sort_array(F.collect_set(F.struct("dice", "name")), asc=False)
+    matched = dice.groupBy("doc_id", "text_key", "unit").agg(near.alias("near"), F.max(F.col("all") / F.col("n")).cast("long").alias("rows"))
+    matched = matched.withColumn("best", F.col("near")[0]["dice"])
+    matched = matched.withColumn("names", F.transform(F.filter("near", lambda x: x["dice"] == F.col("best")), lambda x: x["name"]))
     found = matched.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("names")))).alias("licences"), F.sum("rows").alias("n_units"), F.max("best").alias("best"))
     ids = docs.select("doc_id").distinct()
     out = ids.alias("i").join(found.alias("f"), F.col("i.doc_id").eqNullSafe(F.col("f.doc_id")), "left")

@@ -60,8 +60,8 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 8 over documents; learns from the rows outside the held-out fold."""
-    held_out = fold("doc_id", 4) == 2
-    out = identify_language(read_table(spark, sf_dir, "documents"), ~F.coalesce(held_out, F.lit(False)))
+    held_out = F.coalesce(fold("doc_id", 4) == 2, F.lit(False))
+    out = identify_language(read_table(spark, sf_dir, "documents"), ~held_out)
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
@@ -115,19 +115,19 @@ _GRAMS = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' |
 _NORMAL = "list_filter(string_split(trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')"
 OP4_SQL = rf"""
 WITH t AS (SELECT template, name, {_GRAMS} AS g FROM (SELECT template, name, {_NORMAL.format("text")} AS w FROM (VALUES {_LISTED}) v(template, name, text))
+), x AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_replace(text, '\r\n?', chr(10), 'g') AS text FROM documents WHERE text IS NOT NULL
+), y AS (
+  SELECT doc_id, r, text, string_split(text, chr(10)) AS lines, string_split(regexp_replace(text, '([.!?])[ \t]+', '\1' || chr(10), 'g'), chr(10)) AS sentences, string_split_regex(text, '\n[ \t\n]*\n') AS runs FROM x
 ), u AS (
   SELECT doc_id, r, unnest(range(len(x))) AS unit, unnest(x) AS line FROM (
-    SELECT doc_id, row_number() OVER () AS r, list_concat(string_split_regex(text, '
-?
-'), list_filter(string_split_regex(text, '
-?
-[ 	]*
-?
-'), lambda p: contains(p, chr(10)))) AS x FROM documents WHERE text IS NOT NULL)
+    SELECT doc_id, r, list_distinct(list_concat(lines, sentences, runs, [text], list_transform(range(1, len(runs)), lambda i: runs[i] || chr(10) || runs[i + 1]),
+      list_transform(range(1, len(runs) - 1), lambda i: runs[i] || chr(10) || runs[i + 1] || chr(10) || runs[i + 2]))) AS x FROM y)
 ), b AS (SELECT doc_id, r, unit, len(g) AS own, unnest(g) AS gram FROM (SELECT doc_id, r, unit, {_GRAMS} AS g FROM (SELECT doc_id, r, unit, {_NORMAL.format("line")} AS w FROM u))
 ), n AS (
   SELECT doc_id, r, unit, name, 2 * count(*) / (own + size) AS dice FROM b JOIN (SELECT template, name, len(g) AS size, unnest(g) AS gram FROM t) USING (gram) GROUP BY doc_id, r, unit, template, name, own, size
-), f AS (SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS licences, count(DISTINCT r || ':' || unit) AS n_units, max(dice) AS best FROM n WHERE dice >= {LEAST} GROUP BY doc_id)
+), m AS (SELECT *, max(dice) OVER (PARTITION BY doc_id, r, unit) AS most FROM n WHERE dice >= {LEAST}
+), f AS (SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS licences, count(DISTINCT r || ':' || unit) AS n_units, max(dice) AS best FROM m WHERE dice = most GROUP BY doc_id)
 SELECT d.doc_id, coalesce(licences, '') AS licences, CAST(coalesce(n_units, 0) AS BIGINT) AS n_units, coalesce(best, 0.0) AS best FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN f ON d.doc_id = f.doc_id
 """
 
