@@ -10,9 +10,11 @@ shingles with prefix shingles; the shingle's place in the window gives the only
 possible start, which must leave room on both sides (positional and length
 bounds), and the window's words are then compared with the document's.
 
-The benchmark is the small side by its size, which is checked: it is handled in
-blocks of at most `block_windows` windows, each sent to the tasks as a
-broadcast of bounded size; the documents are read once per block.
+Equal windows of the benchmark are put together first.  If at most `block_windows` are left, standing in at most ten
+times as many (window, item) pairs, they are sent to the tasks as one broadcast, and documents are read
+twice and never shuffled.  A larger benchmark is joined by shuffles: documents give rows for the shingles that pass a
+bitmap of fixed size, once to count and once to join with the prefixes, with the words around each; so
+documents are read twice whatever the benchmark's size, and nothing of it is collected.
 
 A null or empty document has no words and is not contaminated.  A null or empty
 item has no window; a null item_id reads as an empty string, and items of equal
@@ -30,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
 from .wordhash import LOWER, Words, alnum_table, chunks, hash_words, window_hashes
 
 WINDOW = 13
@@ -84,8 +87,13 @@ def item_windows(items: DataFrame, window: int) -> DataFrame:
     return items.mapInArrow(run, "item_id string, length int, words binary, shingles array<bigint>")
 
 
-def _count_shingles(docs: DataFrame, wanted: dict[int, np.ndarray]) -> dict[tuple[int, int], int]:
-    """Occurrences in all documents of the wanted shingles, by shingle length."""
+def _joined(w: Words, a: int, b: int) -> bytes:
+    """The words from a to b, lower-cased, with one space between."""
+    return b" ".join(LOWER[w.raw[x:y]].tobytes() for x, y in zip(w.starts[a:b], w.ends[a:b]))
+
+
+def _count_shingles(docs: DataFrame, wanted: dict[int, np.ndarray]) -> DataFrame:
+    """(k, shingle, n): occurrences in all documents of the wanted shingles, by shingle length."""
     sizes = sorted(wanted)
     slots = {k: _slots(wanted[k]) for k in sizes}
     shared = docs.sparkSession.sparkContext.broadcast((wanted, slots))
@@ -104,8 +112,7 @@ def _count_shingles(docs: DataFrame, wanted: dict[int, np.ndarray]) -> dict[tupl
             seen = np.flatnonzero(total[k])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seen), k, np.int32)), pa.array(keys[k][seen].astype(np.int64)), pa.array(total[k][seen])], names=["k", "shingle", "n"])
 
-    counted = docs.select("text").mapInArrow(run, "k int, shingle bigint, n bigint").groupBy("k", "shingle").agg(F.sum("n").alias("n"))
-    return {(r.k, r.shingle): r.n for r in counted.collect()}  # at most the shingles of one block of windows
+    return docs.select("text").mapInArrow(run, "k int, shingle bigint, n bigint").groupBy("k", "shingle").agg(F.sum("n").alias("n"))
 
 
 def _merge(starts: np.ndarray, lengths: np.ndarray) -> int:
@@ -118,29 +125,20 @@ def _merge(starts: np.ndarray, lengths: np.ndarray) -> int:
     return int(np.maximum(0, e - np.maximum(s, before)).sum())
 
 
-def _block_hits(docs: DataFrame, windows: list) -> DataFrame:
-    """(doc_id, text_key, n_words, starts, lengths, items) per document for one block of item windows."""
+def _small(docs: DataFrame, windows: list) -> DataFrame:
+    """(doc_id, n_words, starts, lengths, items) per document for windows that are few; windows: rows (length, words, shingles, items)."""
     sizes = sorted({min(SHINGLE, r.length) for r in windows})
     wanted = {k: np.unique(np.array([s for r in windows if min(SHINGLE, r.length) == k for s in r.shingles], np.int64).astype(np.uint64)) for k in sizes}
-    seen = _count_shingles(docs, wanted)
-    # distinct windows: words -> items that hold them; prefix shingle -> (place, length, window)
-    distinct: dict[tuple[int, bytes], int] = {}
-    held: list[list[str]] = []
-    prefixes: dict[int, dict[int, list[tuple[int, int, int]]]] = {k: {} for k in sizes}
-    for r in windows:
-        new = (r.length, bytes(r.words)) not in distinct
-        i = distinct.setdefault((r.length, bytes(r.words)), len(distinct))
-        if new:
-            held.append([])
-            k = min(SHINGLE, r.length)
-            _, place = min((seen.get((k, s), 0), j) for j, s in enumerate(r.shingles))
-            if seen.get((k, r.shingles[place]), 0):  # a window with a shingle that no document has can't occur
-                prefixes[k].setdefault(int(np.int64(r.shingles[place]).astype(np.uint64)), []).append((place, r.length, i))
-        held[i].append(r.item_id)
-    words = [w for _, w in distinct]
+    seen = {(r.k, r.shingle): r.n for r in _count_shingles(docs, wanted).collect()}  # at most the shingles of the windows
+    prefixes: dict[int, dict[int, list[tuple[int, int, int]]]] = {k: {} for k in sizes}  # shingle -> (place, length, window)
+    for i, r in enumerate(windows):
+        k = min(SHINGLE, r.length)
+        least, place = min((seen.get((k, s), 0), j) for j, s in enumerate(r.shingles))
+        if least:  # a window with a shingle that no document has can't occur
+            prefixes[k].setdefault(int(np.int64(r.shingles[place]).astype(np.uint64)), []).append((place, r.length, i))
     keys = {k: np.array(sorted(prefixes[k]), np.uint64) for k in sizes}
     entries = {k: [prefixes[k][int(x)] for x in keys[k]] for k in sizes}
-    shared = docs.sparkSession.sparkContext.broadcast((keys, {k: _slots(keys[k]) for k in sizes}, entries, words, held))
+    shared = docs.sparkSession.sparkContext.broadcast((keys, {k: _slots(keys[k]) for k in sizes}, entries, [bytes(r.words) for r in windows], [r["items"] for r in windows]))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,17 +159,68 @@ def _block_hits(docs: DataFrame, windows: list) -> DataFrame:
                             s = p - place
                             if s < a or s + length > b:
                                 continue
-                            own = b" ".join(LOWER[w.raw[x:y]].tobytes() for x, y in zip(w.starts[s : s + length], w.ends[s : s + length]))
-                            if own == words[i]:
+                            if _joined(w, s, s + length) == words[i]:
                                 starts[d].append(s - a)
                                 lengths[d].append(length)
                                 items[d].update(held[i])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(2), pa.array(np.diff(w.bounds)), pa.array(starts, pa.list_(pa.int64())), pa.array(lengths, pa.list_(pa.int64())), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
-                    names=["doc_id", "text_key", "n_words", "starts", "lengths", "items"],
+                    [batch.column(0), pa.array(np.diff(w.bounds)), pa.array(starts, pa.list_(pa.int64())), pa.array(lengths, pa.list_(pa.int64())), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
+                    names=["doc_id", "n_words", "starts", "lengths", "items"],
                 )
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, f"doc_id {kind}, text_key bigint, n_words bigint, starts array<bigint>, lengths array<bigint>, items array<string>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words bigint, starts array<bigint>, lengths array<bigint>, items array<string>")
+
+
+def _bitmap(shingles: DataFrame) -> np.ndarray:
+    """Bits of fixed number, set for the low bits of column `shingle`."""
+    low = shingles.select(F.col("shingle").bitwiseAND(F.lit((1 << _BITS) - 1)).alias("low")).select((F.col("low") + 1).alias("low"))  # bit positions count from 1
+    rows = low.groupBy(F.bitmap_bucket_number("low").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("low")).alias("bits"))
+    out = np.zeros(1 << _BITS, bool)
+    for r in rows.collect():  # at most 2 ** _BITS / 32768 rows of 4 KB
+        out[(r.b - 1) * 32768 : r.b * 32768] = np.unpackbits(np.frombuffer(r.bits, np.uint8), bitorder="little")
+    return out
+
+
+def _passing(rows: DataFrame, bits: np.ndarray, sizes: list[int], reach: int) -> DataFrame:
+    """(k, shingle, row, at, before, around): the document shingles that pass the bitmap, with the words around."""
+    shared = rows.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in chunks(whole, "text"):
+                w = _words(batch.column(1))
+                doc, row = w.doc_of(), batch.column(0).to_numpy()
+                for k in sizes:
+                    h, ok = window_hashes(w.hashes, w.bounds, k)
+                    at = np.flatnonzero(shared.value[(h & np.uint64((1 << _BITS) - 1)).astype(np.int64)] & ok)
+                    first = np.maximum(w.bounds[doc[at]], at - reach)
+                    end = np.minimum(w.bounds[doc[at] + 1], at + reach + k)
+                    around = [_joined(w, a, b).decode() for a, b in zip(first.tolist(), end.tolist())]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(h[at].astype(np.int64)), pa.array(row[doc[at]]), pa.array(at - w.bounds[doc[at]]), pa.array(at - first), pa.array(around, pa.string())], names=["k", "shingle", "row", "at", "before", "around"])
+
+    return rows.select("row", "text").mapInArrow(run, "k int, shingle bigint, row bigint, at bigint, before bigint, around string")
+
+
+def _large(docs: DataFrame, windows: DataFrame, items: DataFrame, window: int) -> DataFrame:
+    """Like _small, by shuffles; windows: (length, words, shingles), items: (length, words, item_id)."""
+    rows = written(docs.withColumn("row", F.monotonically_increasing_id()), "contamination-rows")
+    sizes = sorted({min(SHINGLE, r.length) for r in windows.select("length").distinct().collect()})
+    k_of = F.least(F.lit(SHINGLE), F.col("length")).alias("k")
+    listed = windows.select("length", F.col("words").cast("string").alias("words"), k_of, F.posexplode("shingles").alias("place", "shingle"))
+    counted = _passing(rows, _bitmap(listed), sizes, 0).groupBy("k", "shingle").agg(F.count("*").alias("n"))
+    # the prefix of a window is its rarest shingle; a window with a shingle that no document has can't occur
+    ranked = listed.join(counted, ["k", "shingle"], "left").groupBy("length", "words", "k").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "place", "shingle")).alias("p")).where("p.n > 0")
+    prefixes = written(ranked.select("length", "words", "k", "p.place", "p.shingle"), "prefixes")
+    met = _passing(rows, _bitmap(prefixes), sizes, window).join(prefixes, ["k", "shingle"])
+    own = F.slice(F.split("around", " "), (F.col("before") - F.col("place") + 1).cast("int"), F.col("length"))
+    hits = met.where("before >= place").where((F.size(own) == F.col("length")) & (F.array_join(own, " ") == F.col("words")))
+    hits = written(hits.select("row", (F.col("at") - F.col("place")).alias("start"), "length", "words"), "window-hits")
+    spans = hits.select("row", F.struct("start", F.col("length").cast("long").alias("length")).alias("s")).groupBy("row").agg(F.collect_set("s").alias("s"))
+    named = hits.select("row", "length", "words").distinct().join(items.withColumn("words", F.col("words").cast("string")), ["length", "words"])
+    named = named.groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    out = rows.withColumn("n_words", F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))).drop("text").join(spans, "row", "left").join(named, "row", "left")
+    some = lambda c, kind: F.coalesce(c, F.array().cast(kind))
+    return out.select("doc_id", F.coalesce("n_words", F.lit(0)).cast("long").alias("n_words"), some(F.col("s.start"), "array<bigint>").alias("starts"), some(F.col("s.length"), "array<bigint>").alias("lengths"), some(F.col("items"), "array<string>").alias("items"))
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, block_windows: int = 50_000, min_share: float = 0.05, keep: list[str] | None = None) -> DataFrame:
@@ -180,21 +229,14 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     own = docs[id_col] if keep is None else F.struct(*(docs[c].alias(f"_{i}") for i, c in enumerate(keep)))
     docs = docs.select(own.alias("doc_id"), docs[text_col].cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = item_windows(items, window)
-    blocks = max(1, -(-found.count() // block_windows))
-    parts = []
-    for i in range(blocks):
-        block = found if blocks == 1 else found.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == i)
-        parts.append(_block_hits(docs, block.collect()))
-    hits = parts[0]
-    if blocks > 1:
-        # the hits of all blocks come together by id and text; equal rows are counted and given back
-        for p in parts[1:]:
-            hits = hits.unionByName(p)
-        lists = [F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "lengths")]
-        hits = hits.groupBy("doc_id", "text_key").agg(F.max("n_words").alias("n_words"), *lists, F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), (F.count("*") / blocks).cast("int").alias("rows"))
-        hits = hits.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows"))))
-    hits = hits.select("doc_id", "n_words", "starts", "lengths", "items")
+    found = written(item_windows(items, window), "item-windows")
+    windows = found.groupBy("length", "words").agg(F.first("shingles").alias("shingles"))
+    pairs = found.select("length", "words", "item_id").distinct()
+    if windows.count() <= block_windows and pairs.count() <= 10 * block_windows:
+        held = pairs.groupBy("length", "words").agg(F.collect_list("item_id").alias("items"))
+        hits = _small(docs, windows.join(held, ["length", "words"]).collect())
+    else:
+        hits = _large(docs, written(windows, "windows"), pairs, window)
     least = round(1 / min_share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -186,6 +186,20 @@ def test_contamination(spark, odd, block):
     assert decontaminate.find_contamination(odd, items, block_windows=block).count() == len(ROWS)
     assert decontaminate.find_contamination(odd, items.where("false")).where("contaminated").count() == 0
     assert decontaminate.find_contamination(odd.where("false"), items).count() == 0
+    clash = items.withColumn("doc_id", F.lit(1)).withColumn("row", F.lit("x"))
+    assert spark_rows(decontaminate.find_contamination(docs, clash.unionByName(short, True), block_windows=block).drop("items")) == duck_rows(sql, SF)
+
+
+@pytest.mark.parametrize("block", [50_000, 1])
+def test_contamination_of_repeated_rows_and_long_texts(spark, block):
+    passage = " ".join(f"q{i}" for i in range(20))
+    other = " ".join(f"z{i}" for i in range(300_000))
+    rows = [(1, passage), (1, passage), (None, passage), (None, passage), (2, f"{other} {passage} {other}"), (3, ""), (4, None), (5, "q0 " * 12)]
+    docs = spark.createDataFrame([(i, t, j) for j, (i, t) in enumerate(rows)], "doc_id long, text string, row int").repartition(3)
+    items = spark.createDataFrame([(f"i{j}", passage) for j in range(30)] + [(None, passage)], "item_id string, text string")
+    got = decontaminate.find_contamination(docs, items, block_windows=block, keep=docs.columns).collect()
+    assert sorted((r.row, r.n_words, r.n_hit, r.n_items, r.contaminated) for r in got) == [
+        (j, len((t or "").split()), 20 if passage in (t or "") else 0, 31 if passage in (t or "") else 0, t == passage) for j, (_, t) in enumerate(rows)]
 
 
 def brute_dice(text, template):
