@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 
@@ -185,27 +186,61 @@ def test_sql(spark, name):
     assert spark_rows(queries.QUERIES[name](spark, SF)) == duck_rows(queries.ORACLE_SQL[name], SF)
 
 
+def brute_neighbours(rows, k=20):
+    """Of each repeated id the least vector; then all inner products among vectors of one length."""
+    least: dict = {}
+    for i, v in rows:
+        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v) and any(v):
+            v = tuple(float(np.float32(x)) for x in v)
+            least[i] = min(least.get(i, v), v)
+    out = {}
+    for q in (i for i in least if i % 20 == 0):
+        found = sorted((-sum(a * b for a, b in zip(least[q], v)), i) for i, v in least.items() if i != q and len(v) == len(least[q]))
+        out[q] = [(round(-s, 6), i) for s, i in found]
+    return out
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((600, 24)).astype(np.float32)
     x[300:420] = x[7]
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(600, None), (620, [0.0] * 24), (640, [1.0] * 23 + [None]), (660, [1.0] * 23 + [float("nan")]), (680, [1.0] * 23 + [float("inf")]), (700, [1.0] * 5), (None, x[0].tolist()), (5, x[5].tolist())]
-    df = spark.createDataFrame([(i, v, 3) for i, v in rows], "vec_id long, embedding array<float>, rank int")
+    short = rng.standard_normal((60, 5)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(600, None), (620, [0.0] * 24), (640, [1.0] * 23 + [None]), (660, [1.0] * 23 + [float("nan")]), (680, [1.0] * 23 + [float("inf")]), (None, x[0].tolist()), (5, x[5].tolist())]
+    rows += [(1000 + i, v.tolist()) for i, v in enumerate(short)] + [(2000, [3.0]), (40, (x[40] + 1).tolist()), (41, (x[41] - 1).tolist()), (20, x[400].tolist())]
+    df = spark.createDataFrame([(i, v, 3) for i, v in rows], "vec_id long, embedding array<float>, rank int").repartition(4)
+    want = brute_neighbours(rows)
     got: dict[int, list] = {}
-    for r in ann_search.search(df, lambda v: F.pmod(v, F.lit(20)) == 0, task_rows=100).orderBy("query_id", "rank").collect():
+    for r in ann_search.search(df, lambda v: F.pmod(v, F.lit(20)) == 0, cell_rows=90).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
-    assert sorted(got) == list(range(0, 600, 20))
+    assert set(got) == {q for q in want if want[q]}
     hit = total = 0
-    x = x.astype(np.float64)
     for q, found in got.items():
-        assert [f[0] for f in found] == list(range(1, 21)) and q not in {f[1] for f in found}
+        score = {i: s for s, i in want[q]}
+        assert [f[0] for f in found] == list(range(1, len(found) + 1)) and len({f[1] for f in found}) == len(found)
         assert [f[1] for f in found] == [i for _, i in sorted((-s, i) for _, i, s in found)]
-        assert all(abs(s - float(x[i] @ x[q])) < 1e-9 for _, i, s in found)
-        order = [i for i in np.lexsort((np.arange(600), -np.round(x @ x[q], 9))) if i != q][:20]
-        hit, total = hit + len(set(order) & {f[1] for f in found}), total + 20
+        assert all(abs(s - score[i]) < 1e-5 for _, i, s in found)
+        hit, total = hit + len({i for _, i in want[q][:20]} & {f[1] for f in found}), total + min(20, len(want[q]))
     assert hit >= 0.9 * total
+    # all lists, no test that can err: exact
+    exact: dict[int, list] = {}
+    for r in ann_search.search(df, lambda v: F.pmod(v, F.lit(20)) == 0, cell_rows=90, lists=20, probes=20, z=1e9).orderBy("query_id", "rank").collect():
+        exact.setdefault(r.query_id, []).append(r.vec_id)
+    assert exact == {q: [i for _, i in w[:20]] for q, w in want.items() if w}
     few = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 1.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in ann_search.search(few, lambda v: v % 20 == 0).collect()] == [(0, 1, 1, 5.0)]
+    assert ann_search.search(few.where("vec_id = 0"), lambda v: v % 20 == 0).count() == 0
+
+
+def test_adaptive_scan():
+    """The tests give up most far candidates and hardly any near one; with limits of infinity all stay."""
+    rng = np.random.default_rng(3)
+    turn = ann_search.rotation(64)
+    q, r = (v / np.linalg.norm(v, axis=1)[:, None] @ turn for v in (rng.standard_normal((50, 64)), rng.standard_normal((3000, 64))))
+    far = ann_search.distances(q, r)
+    limit = np.sort(far, axis=1)[:, 20]
+    i, j, d = ann_search.adaptive_scan(q, r, limit, 16, 2.0)
+    assert np.allclose(d, far[i, j]) and (d <= limit[i] + 1e-6).all() and len(i) >= 0.97 * 50 * 20
+    assert len(ann_search.adaptive_scan(q, r, np.full(50, np.inf), 16, 2.0)[0]) == 150_000
 
 
 def brute_targets(sizes, share=1.5, most=2.0):
