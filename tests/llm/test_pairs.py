@@ -82,9 +82,40 @@ def test_signatures_share():
             if 100 * n < 80 * (len(base) + len(new) - n):
                 break
             other = new
-        shared = np.intersect1d(jaccard_join.signatures(base), jaccard_join.signatures(other))
+        (x, none_x), (y, none_y) = jaccard_join.signatures(base), jaccard_join.signatures(other)
         j = jaccard_join.band_of(max(len(base), len(other)))
-        assert (shared & np.uint64(63) == j).sum() > jaccard_join.surplus(j)
+        low, t = np.uint64(63), jaccard_join.slack(j)
+        assert all((h & low == j).any() for h in (x, y))
+        parts = lambda h: {int(v) >> 6 & (jaccard_join._PARTS - 1) for v in h[h & low == j]}
+        shared = parts(np.intersect1d(x, y)) - {jaccard_join._PREFIX}
+        # parts with a shared subset, empty ones counted, are more than the slack; and with many empty ones a prefix feature is shared
+        assert len(shared | parts(np.intersect1d(none_x, none_y))) > t
+        assert shared or jaccard_join._PREFIX in parts(np.intersect1d(x, y))
+        assert all(len(np.unique(h)) == len(h) for h in (x, y))
+
+
+def test_popular_groups(spark, monkeypatch):
+    """Large groups: near copies of one text, a chain that leaves the head's reach, unrelated texts with much in common."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    rng = random.Random(17)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for _ in range(rng.randrange(3)):
+            words[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+        rows.append((len(rows), " ".join(words)))
+    words = list(base)
+    for i in range(40):
+        words[(i * 3) % 120] = f"c{i}"
+        rows.append((len(rows), " ".join(words)))
+    boiler = [f"b{i}" for i in range(90)]
+    for i in range(60):
+        rows.append((len(rows), " ".join([*boiler, *(f"u{rng.randrange(40)}" for _ in range(30))])))
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = jaccard_join.jaccard_components(docs).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got), key=repr) == brute_components(rows)
 
 
 def test_components(spark):
