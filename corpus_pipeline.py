@@ -22,7 +22,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetgraph.llm.common import fold, read_table, scratch_dir, written
+from assetgraph.llm.common import clear_scratch, fold, read_table, scratch_path, written
 from assetgraph.llm.decontaminate import find_contamination
 from assetgraph.llm.jaccard_join import jaccard_components
 from assetgraph.llm.language_id import identify_language
@@ -44,7 +44,7 @@ def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # ids can repeat or be null, so rows are told apart by a number; written, since it must not change
     row = f"row_{uuid.uuid4().hex}"
     rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "near-dups")
-    member = jaccard_components(rows, id_col=row).select(F.col("doc_id").alias(row), "component_id").join(rows.select(row, "doc_id"), row)
+    member = jaccard_components(rows, id_col=row, row_col=row).select(F.col("doc_id").alias(row), "component_id").join(rows.select(row, "doc_id"), row)
     least = member.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row)).alias("least"))
     return rows.join(least.select(f"least.{row}"), row, "left_semi").select(*docs.columns)
 
@@ -82,7 +82,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each stage's rows are written to the shared scratch folder."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        path = f"{scratch_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
+        path = scratch_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
+        clear_scratch(spark, keep=(path,))  # what the stage before and this one wrote on the way
         docs = spark.read.parquet(path)
     return docs
