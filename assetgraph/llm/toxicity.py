@@ -2,18 +2,19 @@
 
 A clause is the words between two of . ! ? ; : and line ends.  Its words become
 symbols: INSULT, THREAT, TARGET (whom it is said to or of), NEGATION, REPORT (speech of
-others), or OTHER.  Transducers read them in a cascade, each the output of the one
-before; the three that read forward are composed into one table, and the threat
-transducer, which must see what follows, reads from the clause's end:
+others), or OTHER.  Transducers rewrite them in a cascade, each reading what the one
+before wrote:
 
-negation   a NEGATION within three words before weakens an INSULT or THREAT
-reported   after a REPORT word, the rest of the clause counts less
-threat     a THREAT counts in full if a TARGET follows within four words, else little
-insult     an INSULT counts more if a TARGET stands within four words before
+negation   within three words after a NEGATION, INSULT becomes NEGATED_INSULT, and THREAT NEGATED_THREAT
+reported   after a REPORT, INSULT becomes REPORTED_INSULT, and THREAT REPORTED_THREAT
+insult     an INSULT becomes an AIMED_INSULT if a TARGET stands within four words before it, or follows within two
+threat     a THREAT becomes an AIMED_THREAT if a TARGET follows within four words
 
-The composed machine gives every word a factor (by weights that add up as logarithms);
-a clause's score is the sum of factor times word weight over its matches, bounded; a text's
-evidence is the sum over its matched clauses.
+What follows is not known yet when a word is read, so the last two guess: one path writes the aimed symbol and owes a target,
+and ends if none comes in time; another writes the plain one.  The cascade is composed into one
+machine.  A last one, the acceptor, gives each symbol that it reads the word's weight times a factor, a larger one for a further
+aimed match in the same clause.  A clause's score is that of the best path (the largest sum), bounded; a text's
+evidence is the sum over its matched clauses.  So a word counts by the pattern that it completes: alone, negated or quoted it adds little.
 
 Word weights: a fixed seed list, and words and word starts learned from labels (log-odds
 of different texts with the term; a term must stand in several different contexts, so that
@@ -31,8 +32,8 @@ ignored.  Only id and text are read for a score.
 from __future__ import annotations
 
 import math
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,7 @@ from .common import written
 from .wordhash import LOWER, Words, chunks, hash_words, mix
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+NEGATED_INSULT, NEGATED_THREAT, REPORTED_INSULT, REPORTED_THREAT, AIMED_INSULT, AIMED_THREAT = range(6, 12)
 
 # Seed words by symbol.
 SEEDS = {
@@ -56,65 +58,110 @@ SEED_WEIGHT = 3.0
 STARTS = (4, 5, 6)  # bytes of a word's start that can be learned as a term
 
 
-class Transducer:
-    """A machine over symbols: step(state, symbol) -> (state, symbol out, log weight)."""
+Arcs = list[tuple[object, int, float]]  # next state, symbol written, factor of the word's weight
 
-    def __init__(self, states: int, step) -> None:
-        self.states, self.step = states, step
 
-    def then(self, other: Transducer) -> Transducer:
-        """The composition: other reads what this one writes, and the weights add up."""
+class Transducer:
+    """A machine over symbols, which may have several arcs for one: arcs(state, symbol); accepts(state) at the end."""
 
-        def step(state: int, symbol: int) -> tuple[int, int, float]:
-            a, b = divmod(state, other.states)
-            a, out, w = self.step(a, symbol)
-            b, out, v = other.step(b, out)
-            return a * other.states + b, out, w + v
+    def __init__(self, start: object, arcs: Callable[[object, int], Arcs], accepts: Callable[[object], bool] = lambda state: True) -> None:
+        self.start, self.arcs, self.accepts = start, arcs, accepts
 
-        return Transducer(self.states * other.states, step)
+    def then(self, other: Transducer) -> Transducer:
+        """The composition: other reads what this one writes, and factors add up."""
 
-    def table(self) -> tuple[list[list[int]], list[list[float]]]:
-        rows = [[self.step(s, x) for x in range(6)] for s in range(self.states)]
-        return [[r[0] for r in row] for row in rows], [[math.exp(r[2]) for r in row] for row in rows]
+        def arcs(state: tuple, symbol: int) -> Arcs:
+            return [((a, b), out, w + v) for a, mid, w in self.arcs(state[0], symbol) for b, out, v in other.arcs(state[1], mid)]
 
+        return Transducer((self.start, other.start), arcs, lambda state: self.accepts(state[0]) and other.accepts(state[1]))
 
-def _window(opens: int, length: int, on: tuple[int, ...], inside: float, outside: float) -> Transducer:
-    """After `opens`, the next `length` words are inside; symbols in `on` get the weight of where they stand."""
+    def compiled(self, symbols: int = 6) -> tuple[list[list[list[tuple[int, float]]]], list[bool]]:
+        """Arcs by numbered state and symbol of all states that can be reached, and which of them accept."""
+        numbers, todo, table = {self.start: 0}, [self.start], []
+        for state in todo:  # grows while it is read
+            row = []
+            for symbol in range(symbols):
+                best: dict[int, float] = {}
+                for to, _, w in self.arcs(state, symbol):
+                    if to not in numbers:
+                        numbers[to] = len(numbers)
+                        todo.append(to)
+                    best[numbers[to]] = max(w, best.get(numbers[to], w))
+                row.append(list(best.items()))
+            table.append(row)
+        return table, [self.accepts(state) for state in todo]
 
-    def step(state: int, symbol: int) -> tuple[int, int, float]:
-        w = math.log(inside if state else outside) if symbol in on else 0.0
-        return length if symbol == opens else max(0, state - 1), symbol, w
 
-    return Transducer(length + 1, step)
+def after(opens: int, length: int | None, rewrites: dict[int, int]) -> Transducer:
+    """In the `length` words after `opens` (None: in all that follow), symbols are rewritten."""
+    reach = 1 if length is None else length
 
+    def arcs(state: int, symbol: int) -> Arcs:
+        left = reach if symbol == opens else state if length is None else max(0, state - 1)
+        return [(left, rewrites.get(symbol, symbol) if state else symbol, 0.0)]
 
-def threat_grammar() -> Transducer:
-    """A threat looks ahead for its target, so this machine reads a clause from its end."""
-    return _window(TARGET, 4, (THREAT,), 1.0, 0.15)
+    return Transducer(0, arcs)
 
 
-def forward_grammar() -> Transducer:
-    """Negation, reported speech and target, composed."""
-    negation = _window(NEGATION, 3, (INSULT, THREAT), 0.35, 1.0)
-    reported = Transducer(2, lambda s, x: (1 if x == REPORT else s, x, math.log(0.6) if s and x in (INSULT, THREAT) else 0.0))
-    target = _window(TARGET, 4, (INSULT,), 1.4, 1.0)
-    return negation.then(reported).then(target)
+def aimed(what: int, written: int, before: int, following: int) -> Transducer:
+    """`what` is rewritten if a TARGET stands within `before` words before it, or comes within `following` after it.
 
+    A state is (words since which a target still counts, words in which one is owed).
+    """
 
-_FORWARD = forward_grammar().table()
-_BACKWARD = threat_grammar().table()
+    def arcs(state: tuple[int, int], symbol: int) -> Arcs:
+        near, owed = state
+        if symbol == TARGET:
+            return [((before, 0), symbol, 0.0)]
+        if owed == 1:
+            owed = -1  # not in time
+        later = (max(0, near - 1), max(0, owed - 1))
+        if owed < 0:
+            return []
+        if symbol != what:
+            return [(later, symbol, 0.0)]
+        if near:
+            return [(later, written, 0.0)]
+        # plain, or a guess that a target follows (an older debt is due first)
+        return [(later, what, 0.0), ((0, later[1] or following), written, 0.0)]
+
+    return Transducer((0, 0), arcs, lambda state: not state[1])
+
+
+# Factors of a word's weight by the pattern that it completes.
+FACTORS = {AIMED_INSULT: 1.4, AIMED_THREAT: 1.2, INSULT: 0.7, THREAT: 0.15, REPORTED_INSULT: 0.4, REPORTED_THREAT: 0.1, NEGATED_INSULT: 0.2, NEGATED_THREAT: 0.05}
+AGAIN = 0.2  # more for each aimed match after the first
+
+
+def acceptor() -> Transducer:
+    """Matched patterns get factors; the state tells whether an aimed one stood before."""
+    strong = (AIMED_INSULT, AIMED_THREAT)
+    return Transducer(0, lambda state, x: [(int(state or x in strong), x, FACTORS.get(x, 0.0) + (AGAIN if state and x in strong else 0.0))])
+
+
+STAGES = (
+    after(NEGATION, 3, {INSULT: NEGATED_INSULT, THREAT: NEGATED_THREAT}),
+    after(REPORT, None, {INSULT: REPORTED_INSULT, THREAT: REPORTED_THREAT}),
+    aimed(INSULT, AIMED_INSULT, 4, 2),
+    aimed(THREAT, AIMED_THREAT, 0, 4),
+    acceptor(),
+)
+_TABLE, _ACCEPTS = reduce(Transducer.then, STAGES).compiled()
 CLAUSE_MOST = 12.0
 
 
 def clause_score(symbols: list[int], weights: list[float]) -> float:
-    """Run the machines over one clause."""
-    factor = [1.0] * len(symbols)
-    for (go, cost), order in ((_FORWARD, range(len(symbols))), (_BACKWARD, range(len(symbols) - 1, -1, -1))):
-        state = 0
-        for i in order:
-            factor[i] *= cost[state][symbols[i]]
-            state = go[state][symbols[i]]
-    return min(CLAUSE_MOST, sum(f * w for f, w, s in zip(factor, weights, symbols) if s in (INSULT, THREAT)))
+    """The best path of the composed machine over one clause."""
+    paths = {0: 0.0}
+    for symbol, weight in zip(symbols, weights):
+        grown: dict[int, float] = {}
+        for state, total in paths.items():
+            for to, factor in _TABLE[state][symbol]:
+                score = total + factor * weight
+                if grown.get(to, -1.0) < score:
+                    grown[to] = score
+        paths = grown
+    return min(CLAUSE_MOST, max(total for state, total in paths.items() if _ACCEPTS[state]))
 
 
 _BREAK = np.zeros(256, bool)
@@ -197,11 +244,17 @@ class Lexicon:
         return total, clauses
 
 
+def _summed(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of equal terms added up."""
+    terms, at = np.unique(np.concatenate([t for t, _ in counts]), return_inverse=True)
+    return terms, np.bincount(at, weights=np.concatenate([n for _, n in counts]), minlength=len(terms)).astype(np.int64)
+
+
 def _count_terms(train: DataFrame, toxic: bool, wanted: np.ndarray | None) -> DataFrame:
     """(term, n): texts of one label with each term (all terms, or the wanted)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter[int] = Counter()
+        held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
         for whole in batches:
             for b in chunks(whole, "text"):
                 w = _words(b.column(0))
@@ -209,10 +262,11 @@ def _count_terms(train: DataFrame, toxic: bool, wanted: np.ndarray | None) -> Da
                 for keys in _all_keys(w):
                     at = np.flatnonzero(np.isin(keys, wanted)) if wanted is not None else np.flatnonzero(keys)
                     pairs = np.unique(np.stack([keys[at], doc[at].astype(np.uint64)]), axis=1) if len(at) else np.zeros((2, 0), np.uint64)
-                    terms, n = np.unique(pairs[0], return_counts=True)
-                    total.update(dict(zip(terms.tolist(), n.tolist())))
-        keys = np.fromiter(total, np.uint64, len(total))
-        yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(list(total.values()), pa.int64())], names=["term", "n"])
+                    held.append(np.unique(pairs[0], return_counts=True))
+                if len(held) > 64:
+                    held = [_summed(held)]
+        keys, n = _summed(held)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n)], names=["term", "n"])
 
     rows = train.where(F.col("toxic") == int(toxic)).select("text")
     return rows.mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))

@@ -38,6 +38,57 @@ def test_clauses():
     assert t.clause_score([t.OTHER], [0]) == 0
 
 
+def written_by(stage, clause):
+    """All strings that one machine can write for a string, with the factors it gives."""
+    paths = [(stage.start, (), ())]
+    for x in clause:
+        paths = [(to, (*out, y), (*fs, f)) for state, out, fs in paths for to, y, f in stage.arcs(state, x)]
+    return {(out, fs) for state, out, fs in paths if stage.accepts(state)}
+
+
+def test_clause_by_path_enumeration():
+    """The composed machine's best path is the best of all strings that the machines write one after the other."""
+    t = toxicity
+    rng = random.Random(1)
+    clauses = [[rng.choice([t.OTHER, t.INSULT, t.THREAT, t.TARGET, t.NEGATION, t.REPORT, t.OTHER]) for _ in range(rng.randrange(1, 9))] for _ in range(400)]
+    for clause in clauses:
+        weights = [rng.choice([1.0, 2.5, 3.0]) for _ in clause]
+        strings = {tuple(clause)}
+        for stage in t.STAGES[:-1]:
+            strings = {out for x in strings for out, _ in written_by(stage, x)}
+        want = max(sum(f * w for f, w in zip(fs, weights)) for x in strings for _, fs in written_by(t.STAGES[-1], x))
+        assert abs(t.clause_score(clause, weights) - min(t.CLAUSE_MOST, want)) < 1e-9
+
+
+def test_symbols_are_rewritten():
+    t = toxicity
+    best = lambda stage, clause: {out for out, _ in written_by(stage, clause)}
+    negation, reported, insult, threat, _ = t.STAGES
+    assert best(negation, (t.NEGATION, t.OTHER, t.INSULT, t.OTHER, t.THREAT)) == {(t.NEGATION, t.OTHER, t.NEGATED_INSULT, t.OTHER, t.THREAT)}
+    assert best(reported, (t.INSULT, t.REPORT, t.OTHER, t.OTHER, t.OTHER, t.THREAT)) == {(t.INSULT, t.REPORT, t.OTHER, t.OTHER, t.OTHER, t.REPORTED_THREAT)}
+    assert best(insult, (t.TARGET, t.OTHER, t.INSULT)) == {(t.TARGET, t.OTHER, t.AIMED_INSULT)}
+    assert best(insult, (t.INSULT, t.OTHER, t.OTHER, t.TARGET)) == {(t.INSULT, t.OTHER, t.OTHER, t.TARGET)}
+    assert best(threat, (t.THREAT, t.OTHER, t.TARGET)) == {(t.THREAT, t.OTHER, t.TARGET), (t.AIMED_THREAT, t.OTHER, t.TARGET)}
+    assert best(threat, (t.TARGET, t.THREAT, t.OTHER)) == {(t.TARGET, t.THREAT, t.OTHER)}
+
+
+def test_evidence_of_texts():
+    """Clauses and symbols of whole texts, found by plain Python; also of a very long text."""
+    t = toxicity
+    words = {w: s for s, listed in t.SEEDS.items() for w in listed.split()}
+    rng = random.Random(8)
+    some = ["You", "idiot", "KILL", "not", "said", "tree", "a", "Moron", "they", ".", "!", "\n", ",", ";", "stone-idiot", "crétin"]
+    texts = [" ".join(rng.choice(some) for _ in range(rng.randrange(40))) for _ in range(60)] + [None, "", " ".join(rng.choice(some) for _ in range(100_000))]
+    total, clauses = t.Lexicon({}).evidence(pa.array(texts, pa.string()))
+    for text, got, n in zip(texts, total, clauses):
+        want, matched = 0.0, 0
+        for clause in re.split(r"[.!?;:\n\r]", text or ""):
+            symbols = [words.get(w.lower(), t.OTHER) for w in re.findall(r"[A-Za-z\x80-\U0010ffff]+", clause)]
+            if t.INSULT in symbols or t.THREAT in symbols:
+                want, matched = want + t.clause_score(symbols, [t.SEED_WEIGHT if s else 0.0 for s in symbols]), matched + 1
+        assert abs(got - want) < 1e-6 and n == matched
+
+
 def test_toxicity(spark, odd):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("bcdfg") + rng.choice("aeiou") for _ in range(3))
