@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Launchers of helper scripts.
-LAUNCHERS = ("python", "python3", "node", "bash", "sh", "pwsh", "powershell", "ruby", "perl", "deno", "tsx")
+LAUNCHERS = ("node", "bash", "sh", "python", "python3", "pwsh", "pwsh.exe", "powershell", "powershell.exe", "cmd", "cmd.exe")
 
 
 def selector_kind(selector: Column) -> Column:
@@ -20,7 +20,7 @@ def selector_kind(selector: Column) -> Column:
 
 def helper_script(command: Column) -> Column:
     """The script path that a launcher is given first; null if the command is none, or the path is absolute or leaves the tree."""
-    path = F.regexp_extract(command, rf"^\s*(?:{'|'.join(LAUNCHERS)})\s+(?:-[A-Za-z-]+\s+)*(?:\./)?([A-Za-z0-9_][A-Za-z0-9_./-]*\.[A-Za-z0-9]+)(?:\s|$)", 1)
+    path = F.regexp_extract(command, rf"^\s*(?:{'|'.join(x.replace('.', '[.]') for x in LAUNCHERS)})\s+(?:-[A-Za-z-]+\s+)*(?:\./)?([A-Za-z0-9_][A-Za-z0-9_./-]*\.[A-Za-z0-9]+)(?:\s|$)", 1)
     return F.when((path != "") & ~path.contains(".."), path)
 
 

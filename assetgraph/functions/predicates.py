@@ -12,7 +12,7 @@ SEVERITIES = ("low", "medium", "high", "critical")
 ACTIVE = ("experimental", "stable")
 INACTIVE = ("suspended", "deprecated", "archived")
 STATUSES = ("pass", "warn", "fail")
-PLACEHOLDER_BOUNDARY = r"(?i)^\s*(todo|tbd|fixme|n/?a|none|placeholder|to be (decided|defined|determined))\s*[.!]?\s*$"
+PLACEHOLDER_BOUNDARY = r"(?i)^(?:todo|tbd|tba|unknown|n/?a|none|placeholder|to be defined)(?:[\s:-].*)?$"
 
 
 def rank_of(value: Column, order: tuple[str, ...]) -> Column:
@@ -45,7 +45,8 @@ def has_owner(owner: Column) -> Column:
 
 
 def is_placeholder(text: Column) -> Column:
-    return F.coalesce(text.rlike(PLACEHOLDER_BOUNDARY), F.lit(False))
+    """A usage boundary that only stands for one; blanks at the ends do not count."""
+    return F.coalesce(F.trim(text).rlike(PLACEHOLDER_BOUNDARY), F.lit(False))
 
 
 def iso_date(text: Column) -> Column:

@@ -15,17 +15,23 @@ TOKEN = (
 )
 
 # Hidden characters by category.
-HIDDEN = {
-    "bidi_control": r"[\x{061C}\x{200E}\x{200F}\x{202A}-\x{202E}\x{2066}-\x{2069}]",
-    "invisible": r"[\x{00AD}\x{034F}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180E}\x{200B}\x{2060}-\x{2064}\x{3164}\x{FFA0}]",
-    "tag_character": r"[\x{E0000}-\x{E007F}]",
-    "variation_selector_run": r"[\x{FE00}-\x{FE0F}\x{E0100}-\x{E01EF}]{2,}",
-    "control": r"[\x00-\x08\x0E-\x1F\x7F-\x9F]",
-}
-
-# What a line with a literal secret looks like, and what only stands for one.
-SECRET_LINE = r"(?i)\b(password|passwd|secret|token|api[_-]?key)\b\s*[:=]\s*[\"']?[A-Za-z0-9+/_.=-]{12,}"
-PLACEHOLDER = r"(?i)(example|placeholder|changeme|your[_-]|xxxx|<[a-z_ -]+>|\$\{)"
+BIDI = r"[\x{202A}-\x{202E}\x{2066}-\x{2069}]"
+# controls, tags, and named characters
+INVISIBLE = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F\x{E0000}-\x{E007F}\x{00AD}\x{034F}\x{200B}\x{2060}\x{206A}-\x{206F}\x{FEFF}\x{FFF9}-\x{FFFB}]"
+VARIATION_RUN = r"[\x{180B}-\x{180D}\x{180F}\x{FE00}-\x{FE0F}\x{E0100}-\x{E01EF}]{2,}"
+JOINERS = r"[\x{200C}\x{200D}]"  # hidden only between two of:
+ASCII_TOKEN = r"[A-Za-z0-9_.\-/:@%+=]"
+# the three regional flags that are written with tags: gbeng, gbsct, gbwls
+FLAGS = r"\x{1F3F4}\x{E0067}\x{E0062}(?:\x{E0065}\x{E006E}\x{E0067}|\x{E0073}\x{E0063}\x{E0074}|\x{E0077}\x{E006C}\x{E0073})\x{E007F}"
+CATEGORIES = ("bidi_control", "invisible_character")
+
+# Lines with a literal secret, a private key, an unsafe remote command, an environment that is passed on; and what excuses them.
+SECRET_LINE = r"(?i)\b(?:password|passwd|token|api[_-]?key|secret|credential|private[_-]?key)\b\s*[:=]\s*[\"']?([A-Za-z0-9_./+=-]{8,})"
+PLACEHOLDER = r"(?i)(?:example|placeholder|your_|<[^>]+>|\$\{[^}]+})"
+PRIVATE_KEY_LINE = r"-----BEGIN (?:RSA |OPENSSH |EC |DSA )?PRIVATE KEY-----"
+REMOTE_LINE = r"(?i)\b(?:curl|wget)\b.*(?:\|\s*(?:sh|bash)|\b(?:example\.com|prod|production|--insecure|-k)\b)|\b(?:ssh|scp)\b.*\b(?:example\.com|prod|production|root@|--insecure|-k|StrictHostKeyChecking=no|UserKnownHostsFile=/dev/null)\b"
+ENV_COPY_LINE = r"(?i)\b(?:process\.env|env)\b.*\b(?:spawn|exec|execFile|system|subprocess|child_process)\b|\b(?:spawn|exec|execFile|system|subprocess|child_process)\b.*\b(?:process\.env|env)\b"
+IGNORED_LINE = r"tool-ignore\s+[A-Z0-9-]+"
 
 
 def estimate_tokens(text: Column) -> Column:
@@ -33,9 +39,14 @@ def estimate_tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(TOKEN)), F.lit(0)).cast("long")
 
 
+def trim_space(text: Column) -> Column:
+    """Without blanks at the ends; blanks are those of the token estimate, not ASCII ones only."""
+    return F.regexp_replace(text, rf"^[{_BLANK}]+|[{_BLANK}]+$", "")
+
+
 def normalize_space(text: Column) -> Column:
     """Runs of blanks become one space; none at the ends."""
-    return F.trim(F.regexp_replace(text, r"[\s]+", " "))
+    return F.trim(F.regexp_replace(text, rf"[{_BLANK}]+", " "))
 
 
 def text_hash(text: Column) -> Column:
@@ -51,18 +62,53 @@ def utf16_length(text: Column) -> Column:
     return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
 
 
-def snippet(text: Column, most: int = 600) -> Column:
-    """Trimmed and cut."""
-    return F.substring(F.trim(text), 1, most)
+def cut_utf16(text: Column, most: int) -> Column:
+    """The first `most` UTF-16 units; a pair that would be cut in two is left out whole."""
+    units = F.encode(text, "UTF-16BE")
+    last = F.hex(F.substring(units, 2 * most - 1, 1))
+    return F.decode(F.when(last.between("D8", "DB"), F.substring(units, 1, 2 * most - 2)).otherwise(F.substring(units, 1, 2 * most)), "UTF-16BE")
+
+
+def snippet(lines: Column, most: int = 600) -> Column:
+    """An array of lines, joined, trimmed and cut."""
+    return cut_utf16(trim_space(F.array_join(lines, "\n")), most)
+
+
+def _cleaned(text: Column, begins: Column) -> Column:
+    """Without allowed flags, and without a byte order mark where the file begins."""
+    text = F.regexp_replace(text, FLAGS, "")
+    return F.when(begins, F.regexp_replace(text, r"^\x{FEFF}", "")).otherwise(text)
 
 
-def hidden_count(text: Column, category: str) -> Column:
-    return F.regexp_count(text, F.lit(HIDDEN[category]))
+def hidden_count(text: Column, category: str, begins: Column | None = None) -> Column:
+    """Hidden characters of a category; begins: whether the text is where its file begins (by default it is)."""
+    if category == "bidi_control":
+        return F.regexp_count(text, F.lit(BIDI))
+    clean = _cleaned(text, F.lit(True) if begins is None else begins)
+    joiners = F.regexp_count(clean, F.lit(f"(?<={ASCII_TOKEN}){JOINERS}(?={ASCII_TOKEN})"))
+    return F.regexp_count(clean, F.lit(INVISIBLE)) + joiners + F.length(clean) - F.length(F.regexp_replace(clean, VARIATION_RUN, ""))
+
+
+def has_hidden(text: Column, category: str, begins: Column | None = None) -> Column:
+    """Whether there is any; a search that ends at the first."""
+    if category == "bidi_control":
+        return text.rlike(BIDI)
+    clean = _cleaned(text, F.lit(True) if begins is None else begins)
+    return text.rlike(f"{INVISIBLE}|{VARIATION_RUN}|{JOINERS}") & clean.rlike(f"{INVISIBLE}|{VARIATION_RUN}|{ASCII_TOKEN}{JOINERS}{ASCII_TOKEN}")
 
 
 def has_secret(line: Column) -> Column:
-    """A literal secret that is no placeholder."""
-    return line.rlike(SECRET_LINE) & ~line.rlike(PLACEHOLDER)
+    """A literal secret that is no placeholder, on a line without a private key (which is its own finding)."""
+    return line.rlike(SECRET_LINE) & ~line.rlike(PLACEHOLDER) & ~line.rlike(PRIVATE_KEY_LINE)
+
+
+def is_remote_default(line: Column) -> Column:
+    return line.rlike(REMOTE_LINE) & ~line.rlike(IGNORED_LINE)
+
+
+def copies_environment(line: Column) -> Column:
+    """Reported where the line is no unsafe remote command."""
+    return line.rlike(ENV_COPY_LINE) & ~line.rlike(IGNORED_LINE) & ~line.rlike(REMOTE_LINE)
 
 
 def percent(part: Column, whole: Column, digits: int = 2) -> Column:

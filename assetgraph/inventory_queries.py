@@ -142,8 +142,8 @@ def graph_summary_view(spark: SparkSession, d: str) -> DataFrame:
 def graph_focus(spark: SparkSession, d: str) -> DataFrame:
     """P17"""
     edges = part_edges(spark, d)
-    focus = edges.agg(F.min("src")).first()[0]
-    return graph.focus_edges(edges, F.lit(focus)).select("src", "dst").distinct()
+    focus = edges.agg(F.min("src").alias("focus"))  # one row
+    return graph.focus_edges(edges.join(F.broadcast(focus), F.col("focus").isNotNull()), F.col("focus")).select("src", "dst").distinct()
 
 
 @query(f"""

@@ -62,25 +62,60 @@ def reachability(edges: DataFrame, sources: DataFrame, most_rounds: int = 1000)
     raise RuntimeError("reachability did not settle")
 
 
-def cycle_members(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
-    """(node, component): nodes on a cycle (a loop counts) and the smallest node of their strongly connected component.
-
-    Nodes without edges in or out are cut away first, again and again; what is left is small in
-    dependency graphs.  Two nodes are in one component if each reaches the other.
-    """
-    core = written(edges.select("src", "dst").distinct(), "cycle")
+def _trimmed(core: DataFrame) -> DataFrame:
+    """Without nodes that have no edge in or none out, again and again."""
     n = core.count()
-    for _ in range(most_rounds):
+    while n:
         outs, ins = core.select(F.col("src").alias("dst")).distinct(), core.select(F.col("dst").alias("src")).distinct()
         core = written(core.join(ins, "src", "left_semi").join(outs, "dst", "left_semi").select("src", "dst"), "cycle")
         before, n = n, core.count()
         if n == before:
             break
-    nodes = core.select(F.col("src").alias("source")).distinct()
-    far = reachability(core, nodes).where("depth > 0").select("source", "node").unionByName(core.where("src = dst").select(F.col("src").alias("source"), F.col("dst").alias("node"))).distinct()
-    back = far.select(F.col("source").alias("node"), F.col("node").alias("source"))
-    mutual = written(far.join(back, ["source", "node"]), "mutual")
-    return mutual.groupBy(F.col("source").alias("node")).agg(F.least(F.min("node"), F.col("source")).alias("component"))
+    return core
+
+
+def _coloured(core: DataFrame) -> DataFrame:
+    """(node, colour): the smallest node that reaches each node, itself included."""
+    colour = written(core.select(F.explode(F.array("src", "dst")).alias("node")).distinct().select("node", F.col("node").alias("colour")), "colours")
+    while True:
+        come = core.join(colour, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("come"))
+        new = colour.join(come, "node", "left").select("node", F.least("colour", "come").alias("colour"), (F.col("come") < F.col("colour")).alias("fell"))
+        new = written(new, "colours")
+        colour = new.drop("fell")
+        if new.where("fell").isEmpty():
+            return colour
+
+
+def cycle_members(edges: DataFrame) -> DataFrame:
+    """(node, component): nodes on a cycle (a loop counts) and the smallest node of their strongly connected component.
+
+    Forward and backward colouring: every node takes the smallest node that reaches it as its colour; the
+    nodes that reach their colour's own node within the colour are its component.  They are cut out, nodes without edges
+    in or out are trimmed away, and what is left is coloured again.  A round passes one value along each edge, so no pairs of nodes are listed.
+    """
+    core = written(edges.select("src", "dst").distinct(), "cycle")
+    loops = core.where("src = dst").select(F.col("src").alias("node"))
+    out = core.where("false").select(F.col("src").alias("node"), F.col("dst").alias("component"))
+    core = _trimmed(core)
+    while not core.isEmpty():
+        colour = _coloured(core)
+        inside = core.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("a")), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("b")), "dst")
+        inside = written(inside.where("a = b").select("src", "dst", "a"), "inside")
+        found = front = written(colour.where("node = colour"), "component")
+        round_no = 0
+        while not front.isEmpty():
+            round_no += 1
+            step = front.join(inside, (F.col("node") == F.col("dst")) & (F.col("colour") == F.col("a"))).select(F.col("src").alias("node"), "colour").distinct()
+            front = written(step.join(found, "node", "left_anti"), "component")
+            found = _grown(found, front, round_no)
+        found = written(found, "component")
+        several = found.groupBy("colour").agg(F.count("*").alias("n"))
+        named = found.join(several, "colour").join(loops.withColumn("loop", F.lit(True)), "node", "left").where("n > 1 or loop")
+        out = out.unionByName(named.select("node", F.col("colour").alias("component")))
+        gone = found.select("node")
+        core = written(core.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"), "cycle")
+        core = _trimmed(core)
+    return out
 
 
 def structural_roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:

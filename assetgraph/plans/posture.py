@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import HIDDEN, has_secret, hidden_count
+from ..functions.text import CATEGORIES, PRIVATE_KEY_LINE, SECRET_LINE, copies_environment, has_hidden, has_secret, is_remote_default
 from ..operators.aggregates import posture, top_ids
 from ..operators.joins import apply_suppressions
 
-# Line rules as (id, severity, pattern).
+# Further line rules of this engine as (id, severity, pattern).
 LINE_RULES = (
     ("email_address", "medium", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+"),
     ("phone_number", "low", r"\+?[0-9]{1,3} \([0-9]{3}\) [0-9]{3}-[0-9]{4}"),
@@ -25,10 +25,20 @@ def line_findings(docs: DataFrame) -> DataFrame:
 
     All rules are tested in one pass over the lines; only lines with a finding leave it.
     """
-    lines = docs.select("doc_id", F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.posexplode(F.split("text", "\r\n|\n|\r")).alias("pos", "content"))
-    tests = [F.when(has_secret(F.col("content")), F.struct(F.lit("literal_secret").alias("rule_id"), F.lit("critical").alias("severity")))]
-    tests += [F.when(F.col("content").rlike(p), F.struct(F.lit(i).alias("rule_id"), F.lit(s).alias("severity"))) for i, s, p in LINE_RULES]
-    tests += [F.when(hidden_count(F.col("content"), c) > 0, F.struct(F.lit(f"hidden_{c}").alias("rule_id"), F.lit("high").alias("severity"))) for c in HIDDEN if c != "control"]
+    text = F.col("text")
+    may = text.rlike(SECRET_LINE) | text.rlike(PRIVATE_KEY_LINE) | is_remote_default(text) | text.rlike(r"(?i)\benv\b")
+    for _, _, p in LINE_RULES:
+        may = may | text.rlike(p)
+    for c in CATEGORIES:
+        may = may | has_hidden(text, c)
+    path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path")
+    # only texts that can hold a finding are cut into lines
+    lines = docs.where(may | text.rlike("tool-ignore")).select("doc_id", path, F.posexplode(F.split("text", "\r\n|\n|\r")).alias("pos", "content"))
+    content = F.col("content")
+    rules = [("private_key", "critical", content.rlike(PRIVATE_KEY_LINE)), ("literal_secret", "high", has_secret(content)), ("remote_default", "medium", is_remote_default(content)), ("env_copy", "medium", copies_environment(content))]
+    rules += [(i, s, content.rlike(p)) for i, s, p in LINE_RULES]
+    rules += [(f"hidden_{c}", s, has_hidden(content, c, F.col("pos") == 0)) for c, s in zip(CATEGORIES, ("high", "medium"))]
+    tests = [F.when(test, F.struct(F.lit(i).alias("rule_id"), F.lit(s).alias("severity"))) for i, s, test in rules]
     found = lines.select("doc_id", "path", (F.col("pos") + 1).alias("line"), F.explode(F.array_compact(F.array(*tests))).alias("f"))
     return found.select("doc_id", "path", "f.rule_id", "f.severity", "line")
 

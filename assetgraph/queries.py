@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from .functions.canonical import fingerprint
 from .functions.predicates import freshness, is_inactive, is_usable, rank_of
-from .functions.text import HIDDEN, estimate_tokens, has_secret, hidden_count, host_of, normalize_space, path_of, text_hash
+from .functions import text as rules
+from .functions.text import CATEGORIES, estimate_tokens, has_secret, hidden_count, host_of, normalize_space, path_of, text_hash
 from .operators import aggregates, diff, duplicates, graph, joins, policy, sets, windows
 from .plans import posture
 
@@ -62,29 +63,52 @@ def token_budget_tiers(spark: SparkSession, d: str) -> DataFrame:
 
 
 LINES_SQL = r"SELECT doc_id, source, unnest(range(1, len(x) + 1)) AS line, unnest(x) AS content FROM (SELECT doc_id, source, string_split_regex(text, '\r\n|\n|\r') AS x FROM documents)"
-SECRET_SQL = r"""(regexp_matches(content, '(?i)\b(password|passwd|secret|token|api[_-]?key)\b\s*[:=]\s*["'']?[A-Za-z0-9+/_.=-]{12,}') AND NOT regexp_matches(content, '(?i)(example|placeholder|changeme|your[_-]|xxxx|<[a-z_ -]+>|\$\{)'))"""
+_RE = {k: v.replace("'", "''") for k, v in vars(rules).items() if k.isupper() and isinstance(v, str)}
+KEY_SQL = f"regexp_matches(content, '{_RE['PRIVATE_KEY_LINE']}')"
+SECRET_SQL = f"(regexp_matches(content, '{_RE['SECRET_LINE']}') AND NOT regexp_matches(content, '{_RE['PLACEHOLDER']}') AND NOT {KEY_SQL})"
+REMOTE_SQL = f"(regexp_matches(content, '{_RE['REMOTE_LINE']}') AND NOT regexp_matches(content, '{_RE['IGNORED_LINE']}'))"
+ENV_SQL = f"(regexp_matches(content, '{_RE['ENV_COPY_LINE']}') AND NOT regexp_matches(content, '{_RE['IGNORED_LINE']}') AND NOT regexp_matches(content, '{_RE['REMOTE_LINE']}'))"
 
 
-@query(rf"SELECT doc_id, CAST(line AS INTEGER) AS line, sha256(trim(regexp_replace(content, '[\s]+', ' ', 'g'))) AS snippet_hash FROM ({LINES_SQL}) WHERE {SECRET_SQL}")
+def _normal_sql(text: str) -> str:
+    return f"trim(regexp_replace({text}, '[{BLANK}]+', ' ', 'g'))"
+
+
+def _clean_sql(text: str, begins: str) -> str:
+    free = f"regexp_replace({text}, '{_RE['FLAGS']}', '', 'g')"
+    return f"CASE WHEN {begins} THEN regexp_replace({free}, '^\\x{{FEFF}}', '') ELSE {free} END"
+
+
+HIDDEN_SQL = f"regexp_matches({_clean_sql('content', 'line = 1')}, '{_RE['INVISIBLE']}|{_RE['VARIATION_RUN']}|{_RE['ASCII_TOKEN']}{_RE['JOINERS']}{_RE['ASCII_TOKEN']}')"
+
+
+@query(rf"SELECT doc_id, CAST(line AS INTEGER) AS line, sha256({_normal_sql('content')}) AS snippet_hash FROM ({LINES_SQL}) WHERE {SECRET_SQL}")
 def line_secret_scan(spark: SparkSession, d: str) -> DataFrame:
     """F7, F3, F4"""
     lines = duplicates.exploded_lines(table(spark, d, "documents"), "doc_id", "text")
     return lines.where(has_secret(F.col("content"))).select("doc_id", "line", text_hash(normalize_space(F.col("content"))).alias("snippet_hash"))
 
 
-@query("\nUNION ALL\n".join(f"SELECT '{c}' AS category, CAST(coalesce(sum(len(regexp_extract_all(text, '{p}'))), 0) AS BIGINT) AS n FROM documents" for c, p in HIDDEN.items()))
+@query(f"""
+WITH c AS (SELECT text, {_clean_sql('text', 'TRUE')} AS x FROM documents WHERE text IS NOT NULL
+), j AS (SELECT sum(len(list_filter(range(2, length(x)), lambda i: regexp_matches(substr(x, i - 1, 3), '^{_RE['ASCII_TOKEN']}{_RE['JOINERS']}{_RE['ASCII_TOKEN']}$')))) AS n FROM c WHERE regexp_matches(x, '{_RE['JOINERS']}'))
+SELECT 'bidi_control' AS category, CAST(coalesce(sum(len(regexp_extract_all(text, '{_RE['BIDI']}'))), 0) AS BIGINT) AS n FROM c
+UNION ALL
+SELECT 'invisible_character', CAST(coalesce(sum(len(regexp_extract_all(x, '{_RE['INVISIBLE']}')) + length(x) - length(regexp_replace(x, '{_RE['VARIATION_RUN']}', '', 'g'))), 0) + coalesce((SELECT n FROM j), 0) AS BIGINT) FROM c
+""")
 def hidden_unicode_scan(spark: SparkSession, d: str) -> DataFrame:
     """F6, A8"""
-    sums = table(spark, d, "documents").agg(*(F.coalesce(F.sum(hidden_count(F.col("text"), c)), F.lit(0)).alias(c) for c in HIDDEN))
-    return sums.unpivot([], list(HIDDEN), "category", "n")
+    sums = table(spark, d, "documents").agg(*(F.coalesce(F.sum(hidden_count(F.col("text"), c)), F.lit(0)).alias(c) for c in CATEGORIES))
+    return sums.unpivot([], list(CATEGORIES), "category", "n")
 
 
 FINDINGS_SQL = f"""
 SELECT doc_id, path, f.rule_id AS rule_id, f.severity AS severity, line FROM (
   SELECT doc_id, source || '/' || doc_id AS path, line, unnest([
-    CASE WHEN {SECRET_SQL} THEN {{'rule_id': 'literal_secret', 'severity': 'critical'}} END,
+    CASE WHEN {KEY_SQL} THEN {{'rule_id': 'private_key', 'severity': 'critical'}} END, CASE WHEN {SECRET_SQL} THEN {{'rule_id': 'literal_secret', 'severity': 'high'}} END,
+    CASE WHEN {REMOTE_SQL} THEN {{'rule_id': 'remote_default', 'severity': 'medium'}} END, CASE WHEN {ENV_SQL} THEN {{'rule_id': 'env_copy', 'severity': 'medium'}} END,
     {', '.join(f"CASE WHEN regexp_matches(content, '{p}') THEN {{'rule_id': '{i}', 'severity': '{s}'}} END" for i, s, p in posture.LINE_RULES)},
-    {', '.join(f"CASE WHEN regexp_matches(content, '{p}') THEN {{'rule_id': 'hidden_{c}', 'severity': 'high'}} END" for c, p in HIDDEN.items() if c != 'control')}
+    CASE WHEN regexp_matches(content, '{_RE['BIDI']}') THEN {{'rule_id': 'hidden_bidi_control', 'severity': 'high'}} END, CASE WHEN {HIDDEN_SQL} THEN {{'rule_id': 'hidden_invisible_character', 'severity': 'medium'}} END
   ]) AS f FROM ({LINES_SQL})
 ) WHERE f IS NOT NULL
 """
@@ -124,8 +148,8 @@ def guard_lookback(spark: SparkSession, d: str) -> DataFrame:
 # ---- duplicates
 
 
-@query("""
-SELECT sha256(trim(regexp_replace(text, '[\\s]+', ' ', 'g'))) AS key, CAST(count(DISTINCT doc_id) AS BIGINT) AS n_docs, CAST(count(*) AS BIGINT) AS n_rows
+@query(f"""
+SELECT sha256({_normal_sql('text')}) AS key, CAST(count(DISTINCT doc_id) AS BIGINT) AS n_docs, CAST(count(*) AS BIGINT) AS n_rows
 FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(DISTINCT doc_id) >= 2
 """)
 def exact_duplicate_text(spark: SparkSession, d: str) -> DataFrame:
@@ -316,26 +340,23 @@ def first_match(spark: SparkSession, d: str) -> DataFrame:
 EDGES_SQL = """
 e AS (
   SELECT DISTINCT src, dst, req FROM (
-    SELECT l_partkey AS src, lead(l_partkey) OVER w AS dst, l_returnflag = 'R' AS req FROM lineitem
-    WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate)
-  ) WHERE dst IS NOT NULL AND src IN (SELECT p_partkey FROM part WHERE p_size <= 3) AND dst IN (SELECT p_partkey FROM part WHERE p_size <= 3)
+    SELECT p_partkey AS src, p_partkey // 3 AS dst, p_size % 2 = 0 AS req FROM part UNION ALL SELECT p_partkey, p_partkey // 5, FALSE FROM part WHERE p_size % 4 = 0
+  ) WHERE dst <> src AND dst IN (SELECT p_partkey FROM part)
 )"""
 
 
 def part_edges(spark: SparkSession, d: str) -> DataFrame:
-    """(src, dst, required): consecutive parts of an order, both small"""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
-    lines = table(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst"), (F.col("l_returnflag") == "R").alias("required"))
-    small = table(spark, d, "part").where("p_size <= 3").select("p_partkey")
-    out = lines.where("dst is not null").join(small, F.col("src") == F.col("p_partkey"), "left_semi").join(small, F.col("dst") == F.col("p_partkey"), "left_semi")
-    return out.distinct()
+    """(src, dst, required): every part names the part of a third of its key, some also that of a fifth."""
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("src"), "p_size")
+    third = part.select("src", F.floor(F.col("src") / 3).cast("long").alias("dst"), (F.col("p_size") % 2 == 0).alias("required"))
+    fifth = part.where("p_size % 4 = 0").select("src", F.floor(F.col("src") / 5).cast("long").alias("dst"), F.lit(False).alias("required"))
+    known = part.select(F.col("src").alias("dst"))
+    return third.unionByName(fifth).where("dst <> src").join(known, "dst", "left_semi").select("src", "dst", "required").distinct()
 
 
 def _closure_sql(a: str, b: str) -> str:
     return f"""
-WITH RECURSIVE {EDGES_SQL}, roots AS (SELECT DISTINCT {a} AS root FROM e ORDER BY 1 LIMIT 5
+WITH RECURSIVE {EDGES_SQL}, roots AS (SELECT DISTINCT {a} AS root FROM e
 ), reach(root, node, req) AS (SELECT root, root, TRUE FROM roots UNION SELECT r.root, e.{b}, r.req AND e.req FROM reach r JOIN e ON r.node = e.{a})
 SELECT root, node, CASE WHEN bool_or(req) THEN 'required' ELSE 'optional' END AS membership FROM reach WHERE node <> root GROUP BY root, node
 """
@@ -345,7 +366,7 @@ SELECT root, node, CASE WHEN bool_or(req) THEN 'required' ELSE 'optional' END AS
 def composition_closure(spark: SparkSession, d: str) -> DataFrame:
     """G1, G17"""
     edges = part_edges(spark, d)
-    roots = edges.select(F.col("src").alias("root")).distinct().orderBy("root").limit(5)
+    roots = edges.select(F.col("src").alias("root")).distinct()
     return graph.composition_closure(edges, roots)
 
 
@@ -353,36 +374,39 @@ def composition_closure(spark: SparkSession, d: str) -> DataFrame:
 def impact_closure(spark: SparkSession, d: str) -> DataFrame:
     """G2"""
     edges = part_edges(spark, d)
-    focus = edges.select(F.col("dst").alias("root")).distinct().orderBy("root").limit(5)
+    focus = edges.select(F.col("dst").alias("root")).distinct()
     return graph.impact_closure(edges, focus)
 
 
 @query(f"""
-WITH RECURSIVE {EDGES_SQL}, s AS (SELECT DISTINCT src AS source FROM e ORDER BY 1 LIMIT 3
-), reach(source, node, depth) AS (SELECT source, source, 0 FROM s UNION SELECT r.source, e.dst, r.depth + 1 FROM reach r JOIN e ON r.node = e.src WHERE r.depth < 40)
+WITH RECURSIVE {EDGES_SQL}, s AS (SELECT DISTINCT src AS source FROM e
+), reach(source, node, depth) AS (SELECT source, source, 0 FROM s UNION SELECT r.source, e.dst, r.depth + 1 FROM reach r JOIN e ON r.node = e.src)
 SELECT source, node, CAST(min(depth) AS INTEGER) AS depth FROM reach GROUP BY source, node
 """)
 def multi_source_reachability(spark: SparkSession, d: str) -> DataFrame:
     """G5, G7, G8"""
     edges = part_edges(spark, d)
-    return graph.reachability(edges, edges.select(F.col("src").alias("source")).distinct().orderBy("source").limit(3))
+    return graph.reachability(edges, edges.select(F.col("src").alias("source")).distinct())
 
 
 @query(f"""
-WITH RECURSIVE {EDGES_SQL}, reach(a, b) AS (SELECT src, dst FROM e UNION SELECT r.a, e.dst FROM reach r JOIN e ON r.b = e.src)
+WITH RECURSIVE {EDGES_SQL}, c AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e WHERE src % 50 = 7
+), reach(a, b) AS (SELECT src, dst FROM c UNION SELECT r.a, c.dst FROM reach r JOIN c ON r.b = c.src)
 SELECT x.a AS node, least(min(x.b), x.a) AS component FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a
 """)
 def cycle_components(spark: SparkSession, d: str) -> DataFrame:
-    """G3, G4, G9"""
-    return graph.cycle_members(part_edges(spark, d))
+    """The edges of some parts also lead back"""
+    edges = part_edges(spark, d)
+    back = edges.where("src % 50 = 7").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "required")
+    return graph.cycle_members(edges.unionByName(back))
 
 
 @query(f"""
-WITH {EDGES_SQL} SELECT p_partkey AS node, CASE WHEN p_partkey IN (SELECT dst FROM e) THEN 'inner' WHEN p_partkey IN (SELECT src FROM e) THEN 'root' ELSE 'standalone' END AS shape FROM part WHERE p_size <= 3
+WITH {EDGES_SQL} SELECT p_partkey AS node, CASE WHEN p_partkey IN (SELECT dst FROM e) THEN 'inner' WHEN p_partkey IN (SELECT src FROM e) THEN 'root' ELSE 'standalone' END AS shape FROM part
 """)
 def structural_roots(spark: SparkSession, d: str) -> DataFrame:
     """G6"""
-    return graph.structural_roots(table(spark, d, "part").where("p_size <= 3").select(F.col("p_partkey").alias("node")), part_edges(spark, d))
+    return graph.structural_roots(table(spark, d, "part").select(F.col("p_partkey").alias("node")), part_edges(spark, d))
 
 
 # ---- snapshots, sets, policies, gates

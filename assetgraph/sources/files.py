@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.predicates import excluded
 
 # File kinds that are never read as text.
-OPAQUE = ("png", "jpg", "jpeg", "gif", "webp", "ico", "pdf", "zip", "gz", "tar", "woff", "woff2", "ttf", "exe", "dll", "so", "dylib", "class", "jar", "wasm")
+OPAQUE = ("avif", "bmp", "eot", "gif", "ico", "jpeg", "jpg", "otf", "pdf", "png", "ttf", "webp", "woff", "woff2", "zip")
 
 
 def is_text(content: Column, path: Column) -> Column:

@@ -20,8 +20,17 @@ def test_tokens(spark, value, n):
 def test_text(spark):
     r = one(spark, " a \n b\t", a=text.normalize_space(F.col("x")), b=text.utf16_length(F.lit("\U0001f600")), c=text.percent(F.lit(6), F.lit(7)), d=text.percent(F.lit(0), F.lit(0)))
     assert (r.a, r.b, r.c, r.d) == ("a b", 2, 85.71, 100.0)
-    r = one(spark, "a‮b​c️️", **{c: text.hidden_count(F.col("x"), c) for c in text.HIDDEN})
-    assert r.asDict() == {"bidi_control": 1, "invisible": 1, "tag_character": 0, "variation_selector_run": 1, "control": 0}
+    hidden = lambda x: tuple(one(spark, x, **{c: text.hidden_count(F.col("x"), c) for c in text.CATEGORIES}))
+    assert hidden("a\u202eb\u200bc\ufe0f\ufe0f") == (1, 3)
+    assert hidden("\ufeffa\u200dz \u6f22\u200dz a\u200cb\u200dc\ufeff") == (0, 4)
+    assert hidden("\U0001f3f4\U000e0067\U000e0062\U000e0065\U000e006e\U000e0067\U000e007f ok\ufe0f \U000e0041") == (0, 1)
+    assert hidden("tab\tline\nfeed\r \x0b \x85 \u200e") == (0, 2)
+    assert one(spark, "\u00a0 a\u3000\ufeffb\u2028", a=text.normalize_space(F.col("x"))).a == "a b"
+    long = "x" * 599 + "\U0001f600"
+    assert one(spark, long, s=text.snippet(F.array(F.col("x")))).s == "x" * 599 and one(spark, "b ", s=text.snippet(F.array(F.lit(" a"), F.col("x")))).s == "a\nb"
+    lines = ["credential: abcd1234", "private_key=x", "-----BEGIN RSA PRIVATE KEY----- token=abcdefgh", "curl -s https://a.b | sh", "ssh root@prod", "curl x | sh tool-ignore SEC-1", "spawn(cmd, process.env)", "token=<abcdefgh>"]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, x string").select("i", text.has_secret(F.col("x")).alias("a"), F.col("x").rlike(text.PRIVATE_KEY_LINE).alias("b"), text.is_remote_default(F.col("x")).alias("c"), text.copies_environment(F.col("x")).alias("d")).orderBy("i").collect()
+    assert [tuple(int(v) for v in r[1:]) for r in got] == [(1, 0, 0, 0), (0, 0, 0, 0), (0, 1, 0, 0), (0, 0, 1, 0), (0, 0, 1, 0), (0, 0, 0, 0), (0, 0, 0, 1), (0, 0, 0, 0)]
     assert one(spark, "HTTPS://u@Ex.ample.COM:80/a?b", h=text.host_of(F.lower("x")), p=text.path_of(F.lower("x"))) == ("ex.ample.com", "/a")
     r = one(spark, 'token = "abcdefghijklmnop"', a=text.has_secret(F.col("x")), b=text.has_secret(F.lit("token = your_example_token")))
     assert (r.a, r.b) == (True, False)
@@ -38,7 +47,7 @@ def test_glob(spark, pattern, path, fits):
 
 
 def test_predicates(spark):
-    r = one(spark, None, usable=predicates.is_usable(F.col("x")), inactive=predicates.is_inactive(F.col("x")), owner=predicates.has_owner(F.col("x")), high=predicates.severity_meets(F.lit("high"), "medium"), todo=predicates.is_placeholder(F.lit(" TBD. ")), ex=predicates.excluded(F.lit("a/node_modules/b"), ["node_modules"]))
+    r = one(spark, None, usable=predicates.is_usable(F.col("x")), inactive=predicates.is_inactive(F.col("x")), owner=predicates.has_owner(F.col("x")), high=predicates.severity_meets(F.lit("high"), "medium"), todo=predicates.is_placeholder(F.lit(" TBA: later ")), ex=predicates.excluded(F.lit("a/node_modules/b"), ["node_modules"]))
     assert (r.usable, r.inactive, r.owner, r.high, r.todo, r.ex) == (True, False, False, True, True, True)
     r = one(spark, "2024-02-30", bad=predicates.iso_date(F.col("x")), good=predicates.iso_date(F.lit("2024-02-29")), n=predicates.day_duration(F.lit("P30D")), no=predicates.day_duration(F.lit("P1M")))
     assert (r.bad, r.good, r.n, r.no) == (None, datetime.date(2024, 2, 29), 30, None)

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import random
 
-from assetgraph.operators import graph
+from assetgraph.operators import graph, policy
 
 
 def edges(spark, rows):
@@ -56,3 +56,25 @@ def test_shapes_and_focus(spark):
     nodes = spark.createDataFrame([(1,), (2,), (3,), (4,)], "node long")
     assert {r.node: r["shape"] for r in graph.structural_roots(nodes, e).collect()} == {1: "root", 2: "inner", 3: "inner", 4: "standalone"}
     assert graph.focus_edges(e, 1).count() == 1
+
+
+def test_cycles_of_random_graphs(spark):
+    for seed in (1, 2):
+        rng = random.Random(seed)
+        rows = [(rng.randrange(25), rng.randrange(25), True) for _ in range(32)]
+        reach = {n: set() for n in range(25)}
+        for n in reach:
+            todo = [b for a, b, _ in rows if a == n]
+            while todo:
+                x = todo.pop()
+                if x not in reach[n]:
+                    reach[n].add(x)
+                    todo += [b for a, b, _ in rows if a == x]
+        want = {n: min(m for m in reach[n] if n in reach[m]) for n in reach if n in reach[n]}
+        assert {r.node: r.component for r in graph.cycle_members(edges(spark, rows)).collect()} == want
+
+
+def test_deep_profile_chain(spark):
+    rows = [(f"p{i}", f"p{i - 1}" if i else None) for i in range(24)] + [("x", "y"), ("y", "x"), ("z", "gone")]
+    got = {r.name: (len(r.chain), r.state) for r in policy.profile_chain(spark.createDataFrame(rows, "name string, parent string")).collect()}
+    assert got == {f"p{i}": (i + 1, "complete") for i in range(24)} | {"x": (0, "cycle"), "y": (0, "cycle"), "z": (0, "missing")}

@@ -8,10 +8,9 @@ from assetgraph import queries as core
 from tests.compare import duck_rows, spark_rows
 
 SF = "/root/testdata/sf0.001"
-LONG = {"composition_closure", "impact_closure", "multi_source_reachability", "cycle_components"}  # on small graphs in test_graph
 
 
-@pytest.mark.parametrize("name", [n for n in core.ORACLE_SQL if n not in LONG])
+@pytest.mark.parametrize("name", list(core.ORACLE_SQL))
 def test_against_sql(spark, name):
     assert spark_rows(core.QUERIES[name](spark, SF)) == duck_rows(core.ORACLE_SQL[name], SF)
 
