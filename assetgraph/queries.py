@@ -168,27 +168,40 @@ def repeated_lines(spark: SparkSession, d: str) -> DataFrame:
     return duplicates.duplicate_groups(lines, text_hash(F.col("content")), "doc_id", 3)
 
 
-SHINGLES_SQL = r"""
-WITH t AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}_]+'), lambda w: w <> '') AS w FROM documents
-), s AS (SELECT DISTINCT doc_id, sha256(array_to_string(w[p : p + 39], ' ')) AS key FROM (SELECT doc_id, w, unnest(range(1, len(w) - 38)) AS p FROM t WHERE len(w) >= 40)
+_COMMON = ", ".join(f"'{w}'" for w in duplicates.COMMON_TOKENS)
+SHINGLES_SQL = rf"""
+WITH l AS (SELECT doc_id, line, regexp_extract_all(lower(content), '[{CJK}]{{1,2}}|[\p{{L}}\p{{N}}_][\p{{L}}\p{{N}}_./:+\-=]*|[^{BLANK}\p{{L}}\p{{N}}_]{{1,3}}') AS u FROM ({LINES_SQL})
+), t AS (SELECT doc_id, flatten(list(u ORDER BY line)) AS w, flatten(list(list_transform(u, lambda x: line) ORDER BY line)) AS ln FROM l GROUP BY doc_id
+), p AS (SELECT doc_id, w, ln, unnest(range(1, len(w) - 38)) AS i FROM t WHERE len(w) >= 40
+), s AS (
+  SELECT doc_id, min(i) AS i, any_value(ln) AS ln, k FROM (SELECT doc_id, i, ln, array_to_string(w[i : i + 39], ' ') AS k FROM p
+    WHERE len(list_distinct(w[i : i + 39])) >= 12 AND len(list_filter(w[i : i + 39], lambda x: x NOT IN ({_COMMON}))) >= 14) WHERE length(k) >= 140 GROUP BY doc_id, k
+), g AS (
+  SELECT k, count(*) AS n_docs, list({{'path': doc_id, 'start_line': ln[i], 'end_line': ln[i + 39]}} ORDER BY doc_id, ln[i]) AS p FROM s GROUP BY k HAVING count(*) >= 3
 )"""
 
 
-@query(f"{SHINGLES_SQL} SELECT key, CAST(count(*) AS BIGINT) AS n_docs, min(doc_id) AS first_doc FROM s GROUP BY key HAVING count(*) >= 3")
+@query(f"{SHINGLES_SQL} SELECT sha256(k) AS key, CAST(n_docs AS BIGINT) AS n_docs, p[1].path AS first_doc, CAST(p[1].start_line AS INTEGER) AS start_line, CAST(p[1].end_line AS INTEGER) AS end_line FROM g")
 def token_shingles(spark: SparkSession, d: str) -> DataFrame:
     """A10"""
-    s = duplicates.token_shingles(table(spark, d, "documents"), "doc_id", "text")
-    return s.groupBy("key").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc")).where("n_docs >= 3")
+    groups = duplicates.shingle_groups(duplicates.token_windows(table(spark, d, "documents"), "doc_id", "text"), "doc_id")
+    return groups.select(text_hash(F.col("key")).alias("key"), "n_docs", F.col("path").alias("first_doc"), "start_line", "end_line")
+
+
+def collapsed(spark: SparkSession, d: str) -> DataFrame:
+    return duplicates.collapse_shingles(duplicates.shingle_groups(duplicates.token_windows(table(spark, d, "documents"), "doc_id", "text"), "doc_id"))
 
 
 @query()
 def near_dup_collapse(spark: SparkSession, d: str) -> DataFrame:
-    """Repeated lines of a document within eight lines of one kept collapse; ten documents of most such groups"""
-    lines = duplicates.exploded_lines(table(spark, d, "documents"), "doc_id", "text").where(F.length("content") >= 24)
-    repeated = duplicates.duplicate_groups(lines, text_hash(F.col("content")), "doc_id", 3).select("key")
-    at = lines.withColumn("key", text_hash(F.col("content"))).join(repeated, "key", "left_semi").select("doc_id", "line")
-    kept = duplicates.collapse_near(at, "doc_id", "line")
-    return kept.groupBy("doc_id").agg(F.count("*").alias("groups")).orderBy(F.desc("groups"), "doc_id").limit(10)
+    """The groups of repeated token windows that are left after the collapse, all of them"""
+    return collapsed(spark, d).select(text_hash(F.col("key")).alias("key"), F.col("path").alias("first_doc"), "start_line", "end_line", "n_docs")
+
+
+@query()
+def repeated_context_report(spark: SparkSession, d: str) -> DataFrame:
+    """The ten groups that a report lists"""
+    return duplicates.ranked_groups(collapsed(spark, d)).select(text_hash(F.col("key")).alias("key"), "n_docs", "n", F.col("path").alias("first_doc"), "start_line")
 
 
 @query("SELECT p_partkey, p_name, members FROM (SELECT p_partkey, p_name, CAST(count(*) OVER (PARTITION BY p_name) AS BIGINT) AS members FROM part WHERE p_name IS NOT NULL) WHERE members > 1")

@@ -106,11 +106,6 @@ def test_windows(spark):
     assert (r.g.risky, r.g.guarded) == (2, 1)
 
 
-def test_collapse(spark):
-    df = spark.createDataFrame([("a", i) for i in (1, 5, 9, 10, 11, 30)], "label string, at int")
-    assert sorted(r["at"] for r in duplicates.collapse_near(df, "label", "at").collect()) == [1, 10, 30]
-
-
 @pytest.mark.parametrize(("selector", "kind"), [("1.2.3", "exact"), ("==1.0", "exact"), ("v1.2.3-rc.1", "exact"), ("^1.2", "range"), (">=1,<2", "range"), ("~=1.4", "range"), ("latest", "floating"), ("1.x", "floating"), ("*", "floating"), ("", "floating"), ("main", "unknown"), (None, "unknown")])
 def test_selectors(spark, selector, kind):
     assert one(spark, selector, k=commands.selector_kind(F.col("x"))).k == kind

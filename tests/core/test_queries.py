@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from assetgraph import queries as core
+from assetgraph.operators import duplicates
+from pyspark.sql import functions as F
 
 from tests.compare import duck_rows, spark_rows
 
@@ -15,8 +19,26 @@ def test_against_sql(spark, name):
     assert spark_rows(core.QUERIES[name](spark, SF)) == duck_rows(core.ORACLE_SQL[name], SF)
 
 
-def test_rows_only(spark):
-    assert core.QUERIES["near_dup_collapse"](spark, SF).count() <= 10
+def test_collapse(spark):
+    """Greedy collapse against plain Python on shingle groups with near starts and equal other places."""
+    rng = random.Random(4)
+    rows = [(f"k{i:03d}", rng.randrange(3, 6), rng.randrange(3, 9), rng.randrange(4), rng.randrange(1, 60), rng.randrange(60, 70), f"o{rng.randrange(40)}" + f"-{i % 4}") for i in range(120)]
+    rows = [(k, n, m, p, a, b, f"{o}-{p}") for k, n, m, p, a, b, o in rows]  # other places differ between first documents
+    groups = spark.createDataFrame(rows, "key string, n_docs long, n long, path long, start_line int, end_line int, others string")
+    kept: list = []
+    for r in sorted(rows, key=lambda r: (r[3], r[4], r[5], r[0])):
+        if not any((x[3] == r[3] and abs(x[4] - r[4]) <= 8) or x[6] == r[6] for x in kept):
+            kept.append(r)
+    out = duplicates.collapse_shingles(groups)
+    assert {r.key for r in out.collect()} == {r[0] for r in kept}
+    best = sorted(kept, key=lambda r: (-r[1], -r[2], r[0]))[:10]
+    assert [r.key for r in duplicates.ranked_groups(out).collect()] == [r[0] for r in best]
+
+
+def test_fences(spark):
+    lines = ["a", "```py", "b", "~~~", "```", "c", "~~~~", "d"]
+    got = spark.createDataFrame([(lines,), (["x", "y"],)], "l array<string>").select(duplicates.outside_fences(F.col("l")).alias("k")).collect()
+    assert [[(r.line, r.content) for r in row.k] for row in got] == [[(1, "a"), (6, "c")], [(1, "x"), (2, "y")]]
 
 
 def test_entry(spark):
@@ -24,3 +46,12 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_window_hashes(spark):
+    rng = random.Random(1)
+    words = [rng.choice("abc") for _ in range(60)]
+    for length in (1, 3, 8, 40):
+        got = duplicates.window_hashes(spark.createDataFrame([(words,), (["a"],)], "w array<string>"), "w", length).collect()
+        windows = [tuple(words[i : i + length]) for i in range(61 - length)]
+        assert len(got[0].h) == len(windows) and len(set(zip(windows, got[0].h))) == len(set(windows)) == len(set(got[0].h)) and len(got[1].h) == (length == 1)
