@@ -53,10 +53,15 @@ def written_by(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
     return spark.table(table)
 
 
-def clear_scratch(spark: SparkSession, keep: tuple[str, ...] = ()) -> None:
-    """Delete what was written here so far, but for the paths to keep; results that are read lazily from it end."""
+def scratch_paths() -> list[str]:
+    """The folders written here so far."""
+    return list(_OWN)
+
+
+def clear_scratch(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders written here; results that are read lazily from them end."""
     hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
-    for path in [p for p in _OWN if p not in keep]:
+    for path in [p for p in _OWN if p in set(paths)]:
         at = hadoop.Path(path)
         at.getFileSystem(conf).delete(at, True)
         _OWN.remove(path)
