@@ -17,12 +17,13 @@ repeat or be null.
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetgraph.llm.common import clear_scratch, fold, read_table, scratch_path, written
+from assetgraph.llm.common import clear_scratch, fold, read_table, scratch_path, scratch_paths, written
 from assetgraph.llm.decontaminate import find_contamination
 from assetgraph.llm.jaccard_join import jaccard_components
 from assetgraph.llm.language_id import identify_language
@@ -30,8 +31,24 @@ from assetgraph.llm.mixing import scheduled_mix
 from assetgraph.llm.secret_scan import scan_secrets
 
 ORACLE_SQL = None
+_LEFT: list[str] = []  # what the last stage wrote on the way to its result
 
 
+def stage(make):
+    """A stage: its documents are written and read again, so what the stage before it wrote on the way is not needed any more."""
+
+    @functools.wraps(make)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        clear_scratch(spark, _LEFT)
+        before = set(scratch_paths())
+        out = make(spark, docs, sf_dir)
+        _LEFT[:] = [p for p in scratch_paths() if p not in before]
+        return out
+
+    return run_stage
+
+
+@stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Reject documents in which no language is found."""
     held_out = F.coalesce(fold("doc_id", 4) == 2, F.lit(False))
@@ -39,6 +56,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where("lang_pred <> 'und'").select(*docs.columns)
 
 
+@stage
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each component, of smallest id (null last)."""
     # ids can repeat or be null, so rows are told apart by a number; written, since it must not change
@@ -49,12 +67,14 @@ def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.join(least.select(f"least.{row}"), row, "left_semi").select(*docs.columns)
 
 
+@stage
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop contaminated documents."""
     found = find_contamination(docs, read_table(spark, sf_dir, "benchmark"), keep=docs.columns)
     return found.where("not contaminated").select(*docs.columns)
 
 
+@stage
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace secrets in the texts; n_chars follows the text."""
     clean = scan_secrets(docs, keep=docs.columns)
@@ -64,6 +84,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return clean.withColumns(changed).select(*docs.columns)
 
 
+@stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents in training order, with the words to take from each and the position of its first copy."""
     return scheduled_mix(docs, keep=docs.columns)
@@ -81,9 +102,11 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each stage's rows are written to the shared scratch folder."""
     docs = read_table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    before: list[str] = []
+    for name, make in STAGES:
         path = scratch_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        clear_scratch(spark, keep=(path,))  # what the stage before and this one wrote on the way
-        docs = spark.read.parquet(path)
+        make(spark, docs, sf_dir).write.parquet(path)
+        clear_scratch(spark, before)  # the documents of the stage before
+        before, docs = [path], spark.read.parquet(path)
+    clear_scratch(spark, _LEFT)
     return docs
