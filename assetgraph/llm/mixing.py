@@ -111,7 +111,7 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     src = src.select(key[0].alias("k1"), key[1].alias("k2"), "source_size", "rank", "before", target.alias("target"))
     order = F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("size").cast("string")))
     rows = sizes.withColumns({"k1": key[0], "k2": key[1], "order": order}).join(src, ["k1", "k2"]).drop("k1", "k2")
-    rows = running_sums(rows, ["rank", "order", "doc_id", "size", "row"], {"start": "size"})
+    rows = running_sums(rows.drop("kept"), ["rank", "order", "doc_id", "size", "row"], {"start": "size"})
     rows = rows.withColumn("offset", F.col("start") - F.col("before")).withColumn("goal", F.round("target").cast("long"))
     m = F.lit(ramp) * (F.pmod(F.col("rank"), F.lit(3)) - 1)
 
@@ -122,7 +122,8 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     starts = F.transform(F.sequence(F.lit(0), F.lit(int(np.ceil(most)) - 1)), lambda lap: lap * F.col("source_size") + F.col("offset"))
     starts = F.when(F.col("size") > 0, F.filter(starts, lambda x: x < F.col("goal"))).otherwise(F.array().cast("array<bigint>"))
     copies = F.transform(starts, lambda x: F.struct(position(x).alias("position"), F.least("size", F.col("goal") - x).alias("words")))
-    return rows.select("doc_id", "source", "size", "source_size", "target", "rank", "row", "offset", copies.alias("copies"), *(["kept"] if kept else []))
+    out = rows.select("doc_id", "source", "size", "source_size", "target", "rank", "row", "offset", copies.alias("copies"))
+    return out.join(sizes.select("row", "kept"), "row") if kept else out  # kept columns hold texts, so they take no part in the sums
 
 
 def schedule(mix: DataFrame) -> DataFrame:
