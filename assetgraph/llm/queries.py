@@ -8,16 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ann_search import search
+from .bpe import decode_bpe, encode_bpe
 from .common import fold, read_table
 from .decontaminate import find_contamination
 from .jaccard_join import jaccard_components
 from .language_id import identify_language
+from .lexical_search import lexical_search
 from .license_scan import LEAST, TEMPLATES, scan_licenses
 from .mixing import scheduled_mix
 from .quality import resample
 from .secret_scan import spans_only
 from .substring_dedup import remove_repeats
 from .toxicity import score_toxicity
+from .whitening import whiten
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +78,26 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scheduled_mix(read_table(spark, sf_dir, "documents")).withColumn("position", F.round("position", 6))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 11 over documents, with a public vocabulary file."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    coded = decode_bpe(encode_bpe(read_table(spark, sf_dir, "documents"), path), path, keep_ids=True)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 12 over embeddings."""
+    return whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 13: the ten best documents for each benchmark item."""
+    return lexical_search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_decontaminate": op2_decontaminate,
@@ -86,6 +109,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_ann": op9_ann,
     "op10_mix": op10_mix,
+    "op11_bpe": op11_bpe,
+    "op12_whiten": op12_whiten,
+    "op13_search": op13_search,
 }
 
 OP2_SQL = r"""
@@ -182,8 +208,26 @@ SELECT doc_id, size, source_size, target,
 FROM x
 """
 
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents
+), dw AS (SELECT r, doc_id, regexp_extract_all(regexp_replace(x, '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]', ' ', 'g'), '[^ ]+') AS w FROM d
+), i AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]', ' ', 'g'), '[^ ]+')) AS term FROM benchmark
+), c AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_words FROM dw WHERE len(w) > 0
+), m AS (SELECT r, doc_id, w, 100 - 90 + ((90 * len(w) * n_docs) // n_words) AS m FROM dw, c WHERE len(w) > 0
+), p AS (SELECT r, doc_id, m, term, count(*) AS tf FROM (SELECT r, doc_id, m, unnest(w) AS term FROM m) GROUP BY ALL
+), f AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM p, c WHERE term IN (SELECT term FROM i) GROUP BY term
+), s AS (
+  SELECT item_id, r, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM i JOIN f USING (term) JOIN p USING (term) GROUP BY item_id, r, doc_id
+), o AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM o WHERE rank <= 10
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op10_mix": OP10_SQL,
+    "op13_search": OP13_SQL,
     "op2_decontaminate": OP2_SQL,
     "op4_licenses": OP4_SQL,
     "op6_jaccard_join": OP6_SQL,
