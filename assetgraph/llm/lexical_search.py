@@ -6,10 +6,10 @@ list is divided into blocks whose ends dynamic programming chooses: of all divis
 it takes one with the least sum of bound errors (the block's largest score less the posting's, over all postings) plus
 `COST` list maxima for each block.
 
-A search walks over the shard's documents for one query.  The lists are sorted by their next document and their largest scores added until
-the sum can reach the tenth best score so far; the document where that happens is the pivot, and documents before it
-are skipped.  If the maxima of the blocks that hold the pivot cannot reach that score, everything up to the next block end (or the
-next list's document) is skipped, else the documents in that range are scored, all of them at once.  Skipped documents have scores below the
+A search first adds the largest scores of the query's lists; if they cannot reach the tenth best score so far, the limit, the shard is
+left at once.  Else the maxima of the blocks that hold a document add up to its bound.  Documents with bounds at the limit or above are the pivots; all
+between them are skipped, and blocks without a pivot are never opened.  The pivots with the largest bounds are scored first, which raises the limit, then the rest
+in order of documents, in growing steps; after each step pivots below the new limit are given up.  Skipped documents have scores below the
 tenth best of the same task, so the result is exact.  The best results and their limit go on from shard to shard of a task, and the
 tasks' results (k for each query and task) are merged by a ranking window that cuts to k rows before its shuffle.
 
@@ -40,7 +40,6 @@ from .wordhash import LOWER, alnum_table, chunks, hash_words
 SHARD = 16 << 20  # bytes of text
 LONGEST = 64  # postings in a block
 COST = 0.5  # bound error, in list maxima, that a further block must save
-_LAST = np.iinfo(np.int64).max
 
 
 def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -152,63 +151,63 @@ def block_ends(scores: np.ndarray, bounds: np.ndarray, longest: int = LONGEST, c
 class Shard:
     """Posting lists of some documents, divided into blocks."""
 
-    def __init__(self, term: np.ndarray, doc: np.ndarray, score: np.ndarray, n_terms: int):
-        self.doc, self.score = doc, score
+    def __init__(self, term: np.ndarray, doc: np.ndarray, score: np.ndarray, n_terms: int, n_docs: int):
+        self.doc, self.score, self.n_docs = doc, score, n_docs
         self.bounds = np.searchsorted(term, np.arange(n_terms + 1))
         ends = block_ends(score, self.bounds)
         self.block_of_list = np.searchsorted(ends, self.bounds)
-        starts = np.r_[0, ends[:-1] + 1] if len(ends) else ends
-        self.block_last = doc[ends]
-        self.block_max = np.maximum.reduceat(score, starts) if len(ends) else np.zeros(0, np.int64)
+        self.block_start = np.r_[0, ends[:-1] + 1] if len(ends) else ends
+        self.block_size = ends + 1 - self.block_start
+        self.block_first, self.block_last = doc[self.block_start], doc[ends]
+        self.block_max = np.maximum.reduceat(score, self.block_start) if len(ends) else np.zeros(0, np.int64)
         lists = np.flatnonzero(np.diff(self.bounds))
         self.list_max = np.zeros(n_terms, np.int64)
         if len(lists):
             self.list_max[lists] = np.maximum.reduceat(score, self.bounds[:-1][lists])
 
-    def search(self, terms: np.ndarray, limit: int, k: int, best: list[int]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    def scores_of(self, docs: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """Whole scores of documents (sorted), from those of the blocks that hold one of them."""
+        seen = np.zeros(self.n_docs + 1, np.int64)
+        seen[docs + 1] = 1
+        seen = np.cumsum(seen)
+        blocks = blocks[seen[self.block_last[blocks] + 1] > seen[self.block_first[blocks]]]
+        size = self.block_size[blocks]
+        first = np.cumsum(size) - size
+        at = np.repeat(self.block_start[blocks] - first, size) + np.arange(int(size.sum()))
+        return np.bincount(self.doc[at], self.score[at].astype(np.float64), self.n_docs)[docs].astype(np.int64)  # sums below 2**53
+
+    def search(self, terms: np.ndarray, limit: int, k: int, best: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """(documents, scores) of all documents that can be among the k best; `best` holds the k largest scores so far, sorted."""
-        terms = terms[self.bounds[terms] < self.bounds[terms + 1]]
-        docs, scores = [], []
-        at, end = self.bounds[terms].copy(), self.bounds[terms + 1]
-        block, peak = self.block_of_list[terms].copy(), self.list_max[terms]
-        block_end = self.block_of_list[terms + 1]
-        following = self.doc[at]
-        lists = [self.doc[a:b] for a, b in zip(at, end)]
-        begin = self.bounds[terms]
-        while len(terms):
-            order = np.argsort(following, kind="stable")
-            sums = np.cumsum(peak[order])
-            p = int(np.searchsorted(sums, limit))
-            if p >= len(order) or following[order[p]] == _LAST:
-                break
-            pivot = int(following[order[p]])
-            while p + 1 < len(order) and following[order[p + 1]] == pivot:
-                p += 1
-            here = order[: p + 1]
-            for t in here:  # the block that holds the pivot or what follows it
-                while block[t] < block_end[t] and self.block_last[block[t]] < pivot:
-                    block[t] += 1
-            held = here[block[here] < block_end[here]]
-            until = int(self.block_last[block[held]].min()) if len(held) else pivot
-            if p + 1 < len(order):
-                until = min(until, int(following[order[p + 1]]) - 1)
-            if int(self.block_max[block[held]].sum()) >= limit:
-                total = np.zeros(until - pivot + 1, np.int64)
-                for t in held:
-                    lo, hi = np.searchsorted(lists[t], [pivot, until + 1])
-                    total[lists[t][lo:hi] - pivot] += self.score[begin[t] + lo : begin[t] + hi]
-                good = np.flatnonzero(total >= max(limit, 1))
-                if len(good):
-                    docs.append(good + pivot)
-                    scores.append(total[good])
-                    best += total[good].tolist()
-                    best.sort(reverse=True)
-                    del best[k:]
-                    limit = max(best[-1], 1) if len(best) == k else limit
-            for t in here:
-                at[t] = begin[t] + np.searchsorted(lists[t], until + 1)
-                following[t] = self.doc[at[t]] if at[t] < end[t] else _LAST
-        return docs, scores
+        none = np.zeros(0, np.int64)
+        if not len(terms) or int(self.list_max[terms].sum()) < limit:
+            return none, none
+        first, last = self.block_of_list[terms], self.block_of_list[terms + 1]
+        size = last - first
+        blocks = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        most = self.block_max[blocks].astype(np.float64)
+        rise = np.bincount(self.block_first[blocks], most, self.n_docs + 1) - np.bincount(self.block_last[blocks] + 1, most, self.n_docs + 1)
+        bound = np.cumsum(rise)[:-1]
+        pivots = np.flatnonzero(bound >= limit)
+        docs, scores, step = [], [], 2 * k
+        while len(pivots):
+            if step == 2 * k and len(pivots) > step:  # those with the largest bounds
+                chosen = np.zeros(len(pivots), bool)
+                chosen[np.argpartition(bound[pivots], len(pivots) - step)[len(pivots) - step :]] = True
+                now, pivots = pivots[chosen], pivots[~chosen]
+            else:
+                now, pivots = pivots[:step], pivots[step:]
+            total = self.scores_of(now, blocks)
+            good = total >= limit
+            docs.append(now[good])
+            scores.append(total[good])
+            best += total[good].tolist()
+            best.sort(reverse=True)
+            del best[k:]
+            if len(best) == k and best[-1] > limit:
+                limit = best[-1]
+                pivots = pivots[bound[pivots] >= limit]
+            step *= 4
+        return (np.concatenate(docs), np.concatenate(scores)) if docs else (none, none)
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -246,12 +245,12 @@ def search_shards(docs: DataFrame, terms: Terms, counts: dict[int, int], items:
             score = weights[term] * (1_000_000_000 * tf // (1000 * tf + 8 * m[doc]))
             doc = place[doc]
             by = np.lexsort((doc, term))
-            shard = Shard(term[by], doc[by], score[by], len(terms.high))
+            shard = Shard(term[by], doc[by], score[by], len(terms.high), len(order))
             for i, (_, own) in enumerate(items):
                 limit = max(best[i][-1], 1) if len(best[i]) == k else 1
                 at, scores = shard.search(own, limit, k, best[i])
-                if at:
-                    found[i] += zip(np.concatenate(scores).tolist(), (ids[order[d]] for d in np.concatenate(at)))
+                if len(at):
+                    found[i] += zip(scores.tolist(), (ids[order[d]] for d in at))
                     found[i].sort(key=lambda r: (-r[0], r[1] is None, r[1] or 0))
                     del found[i][k:]
         rows = [(items[i][0], d, s) for i, rows in enumerate(found) for s, d in rows]

@@ -247,6 +247,9 @@ def test_search_skips():
     term = np.r_[np.zeros(n, np.int64), np.ones(20, np.int64)]
     doc = np.r_[np.arange(n), np.arange(20) * 37]
     score = np.r_[np.full(n, 10), np.full(20, 1000)]
-    shard = lexical_search.Shard(term, doc, score, 2)
+    shard = lexical_search.Shard(term, doc, score, 2, n)
+    opened = []
+    whole, shard.scores_of = shard.scores_of, lambda docs, blocks: (opened.append(len(docs)), whole(docs, blocks))[1]
     at, scores = shard.search(np.array([0, 1]), 1, 10, [])
-    assert sum(map(len, at)) < 500 and sorted(np.concatenate(scores))[-20:] == [1010] * 20
+    assert sorted(scores)[-20:] == [1010] * 20 and len(set(at)) == len(at) and sum(opened) < 1500
+    assert not len(shard.search(np.array([0]), 11, 10, [11] * 10)[0])
