@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-_OWN: list[str] = []  # folders made here, by their full path
+_OWN: dict[str, str | None] = {}  # folders made here, by their full path, and their catalogue table
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -31,10 +34,24 @@ def scratch_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+@contextmanager
+def scratch_scope() -> Iterator[list[str]]:
+    """A list that is given the folders made by this thread's work inside the block, and by none other."""
+    made: list[str] = []
+    token = _SCOPES.set((*_SCOPES.get(), made))
+    try:
+        yield made
+    finally:
+        _SCOPES.reset(token)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder's path in the shared scratch folder."""
-    _OWN.append(f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}")
-    return _OWN[-1]
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _OWN[path] = None
+    for made in _SCOPES.get():
+        made.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -46,10 +63,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def written_by(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
     """Like written, in `buckets` buckets by key, so that grouping by key needs no shuffle of these rows."""
-    spark = df.sparkSession
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
     table = f"{name}_{uuid.uuid4().hex}"
     writer = df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).format("parquet")
-    writer.option("path", scratch_path(spark, name)).saveAsTable(table)
+    writer.option("path", path).saveAsTable(table)
+    _OWN[path] = table
     return spark.table(table)
 
 
@@ -58,13 +76,20 @@ def scratch_paths() -> list[str]:
     return list(_OWN)
 
 
-def clear_scratch(spark: SparkSession, paths: list[str]) -> None:
-    """Delete folders written here; results that are read lazily from them end."""
+def clear_scratch(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete folders written here, and their tables; results that are read lazily from them end."""
     hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
-    for path in [p for p in _OWN if p in set(paths)]:
+    for path in [p for p in dict.fromkeys(paths) if p in _OWN]:
+        if table := _OWN.pop(path):
+            spark.sql(f"DROP TABLE IF EXISTS `{table}`")
         at = hadoop.Path(path)
         at.getFileSystem(conf).delete(at, True)
-        _OWN.remove(path)
+
+
+def refuse_clash(keep: list[str] | None, results: Iterable[str]) -> None:
+    """Columns to keep may not have the name of a result."""
+    if clash := {c.lower() for c in keep or ()} & {c.lower() for c in results}:
+        raise ValueError(f"columns to keep have names of results: {', '.join(sorted(clash))}")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

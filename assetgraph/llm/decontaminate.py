@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import refuse_clash, written
 from .wordhash import LOWER, Words, alnum_table, chunks, hash_words, window_hashes
 
 WINDOW = 13
@@ -225,6 +225,7 @@ def _large(docs: DataFrame, windows: DataFrame, items: DataFrame, window: int) -
 
 def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, block_windows: int = 50_000, min_share: float = 0.05, keep: list[str] | None = None) -> DataFrame:
     """One row per document: its id (or the columns to keep), n_words, n_hit, n_items, items_sha256, contaminated, and the items found."""
+    refuse_clash(keep, ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"))
     # the columns to keep go through as one value in the place of the id
     own = docs[id_col] if keep is None else F.struct(*(docs[c].alias(f"_{i}") for i, c in enumerate(keep)))
     docs = docs.select(own.alias("doc_id"), docs[text_col].cast("string").alias("text"))

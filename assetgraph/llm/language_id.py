@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import refuse_clash, written
 from .wordhash import chunks, mix
 
 DIMENSIONS = 512
@@ -222,6 +222,7 @@ def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray, n: int, d
 
 def identify_language(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None, sample_per_lang: int = 4000, n: int = N, dims: int = DIMENSIONS) -> DataFrame:
     """Learn from the rows where `train` holds; predict all rows: doc_id (or the columns to keep), lang_pred, score."""
+    refuse_clash(keep, ("lang_pred", "score"))
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"), train.alias("train"))
     langs, prototypes = fit_prototypes(rows.where("train"), sample_per_lang, n, dims)
     if keep is not None:

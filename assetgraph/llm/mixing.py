@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import refuse_clash, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 # The weights of sources in their order, repeating.
@@ -138,10 +138,11 @@ def scheduled_mix(docs: DataFrame, keep: list[str] | None = None, **options) ->
 
     Range-sorted by position.  A document without a copy has 0 taken and no position, and comes first.
     """
+    results = ("size", "source_size", "target", "taken", "position")
+    refuse_clash(keep, results)
     mix = plan_mix(docs, keep=keep, **options)
     taken = F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + c.words)
     out = mix.withColumn("taken", taken).withColumn("position", F.try_element_at("copies", F.lit(1))["position"])
     out = out.repartitionByRange("position", "row").sortWithinPartitions("position", "row")
     own = ["doc_id"] if keep is None else [F.col(f"kept._{i}").alias(c) for i, c in enumerate(keep)]
-    names = ["doc_id"] if keep is None else keep
-    return out.select(*own, *(c for c in ("size", "source_size", "target", "taken", "position") if c not in names))
+    return out.select(*own, *results)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches
+from .common import map_batches, refuse_clash
 
 KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -180,6 +180,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kept = [id_col] if keep is None else keep
     own = docs.select(*(docs[c].alias(f"_{i}") for i, c in enumerate(kept)), docs[text_col].cast("string").alias("text"))
     added = ["n_assign", "n_access", "n_hex", "n_entropy", "base_sha256", "spans", "redacted"]
+    refuse_clash(keep, added)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(len(kept)).to_pylist()

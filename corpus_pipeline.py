@@ -11,19 +11,21 @@ mix             source mixing: every document with the words to take from it by
 
 SQL cannot express the first stage's model, so ORACLE_SQL is None and the stages are tested
 against brute force.  Every stage takes the columns it needs by name, keeps others as
-they are, and gives an empty table for an empty one.  Stages decide for each row, so ids can
-repeat or be null.
+they are, whatever their names, and gives an empty table for an empty one.  The last adds size, source_size, target, taken and position;
+a document's column of such a name is called document_<name> there.  Stages decide for each row, so ids can
+repeat or be null.  Stages can be chained without writing what lies between: a stage leaves the tables that its result is read from,
+and `run` deletes them once the result is written.
 """
 
 from __future__ import annotations
 
-import functools
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetgraph.llm.common import clear_scratch, fold, read_table, scratch_path, scratch_paths, written
+from assetgraph.llm.common import clear_scratch, fold, read_table, scratch_path, scratch_scope, written
 from assetgraph.llm.decontaminate import find_contamination
 from assetgraph.llm.jaccard_join import jaccard_components
 from assetgraph.llm.language_id import identify_language
@@ -31,63 +33,63 @@ from assetgraph.llm.mixing import scheduled_mix
 from assetgraph.llm.secret_scan import scan_secrets
 
 ORACLE_SQL = None
-_LEFT: list[str] = []  # what the last stage wrote on the way to its result
 
 
-def stage(make):
-    """A stage: its documents are written and read again, so what the stage before it wrote on the way is not needed any more."""
+def apart(docs: DataFrame) -> tuple[DataFrame, dict[str, str], Callable[..., DataFrame]]:
+    """docs under names that clash with no result, the new name of each column, and a function that selects the columns under their old names."""
+    new = {c: f"document_column_{i}" for i, c in enumerate(docs.columns)}
 
-    @functools.wraps(make)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        clear_scratch(spark, _LEFT)
-        before = set(scratch_paths())
-        out = make(spark, docs, sf_dir)
-        _LEFT[:] = [p for p in scratch_paths() if p not in before]
-        return out
+    def back(df: DataFrame, **changed) -> DataFrame:
+        return df.select(*(changed.get(c, F.col(n)).alias(c) for c, n in new.items()))
 
-    return run_stage
+    return docs.toDF(*new.values()), new, back
 
 
-@stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Reject documents in which no language is found."""
-    held_out = F.coalesce(fold("doc_id", 4) == 2, F.lit(False))
-    found = identify_language(docs, ~held_out, keep=docs.columns)
-    return found.where("lang_pred <> 'und'").select(*docs.columns)
+    rows, name, back = apart(docs)
+    held_out = F.coalesce(fold(name["doc_id"], 4) == 2, F.lit(False))
+    found = identify_language(rows, ~held_out, name["doc_id"], name["text"], name["lang"], keep=rows.columns)
+    return back(found.where("lang_pred <> 'und'"))
 
 
-@stage
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each component, of smallest id (null last)."""
     # ids can repeat or be null, so rows are told apart by a number; written, since it must not change
     row = f"row_{uuid.uuid4().hex}"
     rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "near-dups")
-    member = jaccard_components(rows, id_col=row, row_col=row).select(F.col("doc_id").alias(row), "component_id").join(rows.select(row, "doc_id"), row)
-    least = member.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row)).alias("least"))
-    return rows.join(least.select(f"least.{row}"), row, "left_semi").select(*docs.columns)
+    kept = scratch_path(spark, "near-dups-kept")
+    with scratch_scope() as made:
+        member = jaccard_components(rows, id_col=row, row_col=row).select(F.col("doc_id").alias(row), "component_id").join(rows.select(row, "doc_id"), row)
+        least = member.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row)).alias("least"))
+        least.select(f"least.{row}").write.parquet(kept)
+    clear_scratch(spark, made)
+    return rows.join(spark.read.schema(f"{row} bigint").parquet(kept), row, "left_semi").select(*docs.columns)
 
 
-@stage
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop contaminated documents."""
-    found = find_contamination(docs, read_table(spark, sf_dir, "benchmark"), keep=docs.columns)
-    return found.where("not contaminated").select(*docs.columns)
+    rows, name, back = apart(docs)
+    found = find_contamination(rows, read_table(spark, sf_dir, "benchmark"), name["doc_id"], name["text"], keep=rows.columns)
+    return back(found.where("not contaminated"))
 
 
-@stage
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace secrets in the texts; n_chars follows the text."""
-    clean = scan_secrets(docs, keep=docs.columns)
+    rows, name, back = apart(docs)
+    clean = scan_secrets(rows, name["doc_id"], name["text"], keep=rows.columns)
     changed = {"text": F.col("redacted")}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("spans") == "", F.col("n_chars")).otherwise(F.length("redacted")).cast(docs.schema["n_chars"].dataType)
-    return clean.withColumns(changed).select(*docs.columns)
+        changed["n_chars"] = F.when(F.col("spans") == "", F.col(name["n_chars"])).otherwise(F.length("redacted")).cast(docs.schema["n_chars"].dataType)
+    return back(clean, **changed)
 
 
-@stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents in training order, with the words to take from each and the position of its first copy."""
-    return scheduled_mix(docs, keep=docs.columns)
+    rows, name, _ = apart(docs)
+    out = scheduled_mix(rows, keep=rows.columns, id_col=name["doc_id"], text_col=name["text"], source_col=name["source"])
+    results = [c for c in out.columns if c not in rows.columns]
+    return out.select(*(F.col(n).alias(f"document_{c}" if c.lower() in results else c) for c, n in name.items()), *results)
 
 
 STAGES = [
@@ -105,8 +107,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     before: list[str] = []
     for name, make in STAGES:
         path = scratch_path(spark, f"pipeline-{name}")
-        make(spark, docs, sf_dir).write.parquet(path)
-        clear_scratch(spark, before)  # the documents of the stage before
+        with scratch_scope() as made:
+            make(spark, docs, sf_dir).write.parquet(path)
+        clear_scratch(spark, [*made, *before])  # what the stage wrote on the way, and the documents of the one before
         before, docs = [path], spark.read.parquet(path)
-    clear_scratch(spark, _LEFT)
     return docs

@@ -346,9 +346,11 @@ def test_running_sums(spark):
 
 def test_mix_keeps_columns_and_order(spark):
     rows = [(i, "w " * (i % 30), f"s{i % 4}", i) for i in range(200)] + [(None, "a b", None, 1)] * 3
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size int")
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, extra int")
+    with pytest.raises(ValueError):
+        mixing.scheduled_mix(df.withColumnRenamed("extra", "Position"), keep=["doc_id", "Position"])
     out = mixing.scheduled_mix(df, keep=df.columns)
-    assert out.columns == ["doc_id", "text", "source", "size", "source_size", "target", "taken", "position"]
+    assert out.columns == ["doc_id", "text", "source", "extra", "size", "source_size", "target", "taken", "position"]
     got = out.collect()
     assert sorted((r[:4] for r in got), key=repr) == sorted(rows, key=repr)
     position = [r.position or -1 for r in got]
@@ -385,6 +387,100 @@ def test_pipeline(spark):
     assert sum(r.taken for r in out) == 360
 
 
+CLASHES = "lang_pred score contaminated n_words items spans redacted n_hit component_id row kept position taken size source_size target n_assign doc_id_2".split()
+
+
+def test_pipeline_keeps_any_column(spark, tmp_path):
+    """Columns with the names of results go through every stage, chained without writing; two chains do not disturb each other; nothing stays behind."""
+    from assetgraph.llm import common
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    passage = " ".join(word() for _ in range(20))
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = [" ".join(word() for _ in range(40)) for _ in range(6)]
+    texts = [*clean, clean[0], passage, "1234", clean[1] + " token=abcdefgh12"]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    docs = docs.withColumns({c: F.concat(F.lit(f"{c} of "), "doc_id") for c in CLASHES})
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+
+    def chain():
+        out = docs
+        for _, make in corpus_pipeline.STAGES:
+            out = make(spark, out, str(tmp_path))
+        return out
+
+    before = set(common.scratch_paths())
+    with common.scratch_scope() as made:
+        one, two = chain(), chain()
+        for out in (one, two, corpus_pipeline.run(spark, str(tmp_path))):
+            assert out.columns == [f"document_{c}" if c in ("position", "taken", "size", "source_size", "target") else c for c in docs.columns] + ["size", "source_size", "target", "taken", "position"]
+            rows = out.collect()
+            assert {r.doc_id for r in rows} == set(range(6))
+            for r in rows:
+                assert all(r[f"document_{c}" if c in ("position", "taken", "size", "source_size", "target") else c] == f"{c} of {r.doc_id}" for c in CLASHES)
+                assert r.size == 40 and r.source_size == 240 and r.text == clean[r.doc_id]
+    assert len(made) == len(set(made)) and set(common.scratch_paths()) - before <= set(made)
+    substring_dedup.remove_repeats(docs.select("doc_id", "text")).count()
+    common.clear_scratch(spark, common.scratch_paths())
+    assert not [t for t in spark.catalog.listTables() if "repeats" in t.name] and not common.scratch_paths()
+
+
+def test_pipeline_empty_and_long(spark, tmp_path):
+    """Empty tables give empty tables of the same columns; a text of 200,000 words goes through."""
+    spark.createDataFrame([(1, "a b c d e f g h i j k l m n")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    empty = spark.createDataFrame([], schema)
+    for name, make in corpus_pipeline.STAGES:
+        out = make(spark, empty, str(tmp_path))
+        assert out.count() == 0 and out.columns[:5] == empty.columns and (name == "mix") == (len(out.columns) > 5)
+    rng = random.Random(6)
+    long = " ".join(f"{rng.randrange(10**6):x}q" for _ in range(200_000))
+    out = spark.createDataFrame([(1, long, "en", "s", len(long)), (2, long + " more", "en", "s", 3), (3, "short text here", "en", "t", 4)], schema)
+    for _, make in corpus_pipeline.STAGES:
+        out = make(spark, out, str(tmp_path))
+    assert {(r.doc_id, r.size) for r in out.collect()} == {(1, 200_000), (3, 3)}
+
+
+def test_hot_nodes_and_cells(spark, monkeypatch):
+    """Nodes of high degree are joined apart; cells are bounded by bytes; the results stay the same."""
+    monkeypatch.setattr(graph, "HOT_NODES", 3)
+    rng = random.Random(4)
+    edges = [(10_000, i) for i in range(2000)] + [(0, 5000 + i) for i in range(1500)] + [(rng.randrange(6000, 6400), rng.randrange(6000, 6400)) for _ in range(300)] + [(7000 + i, 7001 + i) for i in range(40)]
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        up[max(root(a), root(b))] = min(root(a), root(b))
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: root(x) for a, b in edges if a != b for x in (a, b)}
+    monkeypatch.setattr(jaccard_join, "CELL_BYTES", 600)
+    rows = near_texts(7, 160)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard_join.jaccard_components(docs).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got), key=repr) == brute_components(rows)
+
+
+def test_compare_does_not_copy():
+    """A cell of sets of 20,000 features holds little more than its bytes."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    base = np.unique(rng.integers(0, 1 << 62, 20_000).astype(np.uint64))
+    sets = [base.copy() for _ in range(17)]
+    table = pa.table({"kind": pa.array([0] * 17, pa.int32()), "side": pa.array([0] + [1] * 16, pa.int32()), "row": pa.array(range(17)), "features": pa.array([s.tobytes() for s in sets], pa.binary())})
+    tracemalloc.start()
+    out = jaccard_join._compare(table)
+    assert out.num_rows == 16 and tracemalloc.get_traced_memory()[1] < 8 << 20
+    tracemalloc.stop()
+
+
 def test_rows_decide_for_themselves(spark, tmp_path):
     """Ids that repeat or are null: the stages drop rows by their own text."""
     stages = dict(corpus_pipeline.STAGES)
