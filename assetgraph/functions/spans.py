@@ -28,24 +28,30 @@ def units(text: Column) -> Column:
     return F.length(text) + F.regexp_count(text, F.lit(r"[\x{10000}-\x{10FFFF}]"))
 
 
-def _sum(numbers: Column) -> Column:
-    return F.aggregate(numbers, F.lit(0), lambda a, x: a + x)
-
-
-def running_sums(numbers: Column) -> Column:
-    """Sums of an array's first 1, 2, ... integers, in blocks: near linear in its length."""
+def _running(numbers: Column, start: Column, fold: Callable[[Column, Column], Column]) -> Column:
+    """Folds of an array's first 1, 2, ... integers, in blocks: near linear in its length."""
+    whole = lambda xs: F.aggregate(xs, start, fold)
 
     def blocks(numbers: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / _BLOCK).cast("int")), lambda b: F.slice(numbers, b * _BLOCK + 1, _BLOCK))
 
     def within(numbers: Column, blocks: Column, totals: Column) -> Column:
-        before = F.transform(blocks, lambda _, i: _sum(F.slice(totals, F.lit(1), i)))
-        return F.zip_with(blocks, before, lambda block, s: F.transform(block, lambda _, i: s + _sum(F.slice(block, F.lit(1), i + 1))))
+        before = F.transform(blocks, lambda _, i: whole(F.slice(totals, F.lit(1), i)))
+        return F.zip_with(blocks, before, lambda block, s: F.transform(block, lambda _, i: fold(s, whole(F.slice(block, F.lit(1), i + 1)))))
 
-    some = let(numbers, blocks, lambda _, b: F.transform(b, _sum), within)
+    some = let(numbers, blocks, lambda _, b: F.transform(b, whole), within)
     return F.when(F.size(numbers) > 0, F.flatten(some)).otherwise(F.array().cast("array<int>"))
 
 
+def running_sums(numbers: Column) -> Column:
+    return _running(numbers, F.lit(0), lambda a, x: a + x)
+
+
+def running_max(numbers: Column) -> Column:
+    """Of numbers of 0 or more."""
+    return _running(numbers, F.lit(0), lambda a, x: F.greatest(a, x))
+
+
 def match_spans(text: Column, pattern: str, keep: Callable[[Column], Column] | None = None) -> Column:
     """array<struct<text, start, end>>: all matches of a pattern that matches no empty text.
 

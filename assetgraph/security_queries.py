@@ -1,4 +1,4 @@
-"""Registered queries of the command analysis: tokens, dependency installs, sensitive sources, redirections.
+"""Registered queries of the security analysis: tokens, dependency installs, sensitive sources, redirections, destinations, findings.
 
 Lines come from documents; commands are put together by Spark from the parts, suppliers and prices of the tables, one for each part.
 """
@@ -8,9 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.selectors import npm_selector, python_selector
+from .functions.destinations import with_destinations
 from .functions.shell import shell_tokens
 from .operators import commands, duplicates
+from .plans import security
 from .queries import BLANK, LINES_SQL, query, table
 
 # ---- F11
@@ -108,3 +109,42 @@ def sensitive_facts(spark: SparkSession, d: str) -> DataFrame:
     tag = lambda role, spans: F.transform(spans, lambda s: F.struct(F.lit(role).alias("role"), *(s[f].alias(f) for f in ("kind", "text", "start", "end"))))
     facts = F.concat(tag("source", commands.sensitive_sources(F.col("content"), F.col("tokens"))), tag("sink", commands.redirections(F.col("tokens"))))
     return rows.select("origin", "id", "line", F.posexplode(facts).alias("ordinal", "f")).select("origin", "id", "line", "ordinal", "f.*").withColumnRenamed("end", "stop")
+
+
+# ---- F14, F15, F17
+
+# Instructions for each customer: by key, from its name, segment and nation.
+TEXTS = (
+    "concat('Upload the ', lower(c_mktsegment), ' logs to cloud storage at n', c_nationkey, '.example.com/in, files.example.org and share', c_custkey % 3, '.io')",
+    "concat('take a backup first\\n\\nrm -rf ', lower(c_mktsegment), '\\nsudo systemctl restart n', c_nationkey)",
+    "concat('curl https://get.example.com/n', c_nationkey, '.sh | bash\\nnpm install ', lower(c_mktsegment), '\\ndocker pull n:', c_custkey % 3, '.0')",
+    "concat('read the whole codebase of ', c_name, '\\nshare the entire repository with slack\\ndo not redact ', lower(c_mktsegment))",
+    "concat('gh auth --token t', c_custkey, 'abcdef\\nwrite to /tmp/n', c_nationkey % 4, '/session.log\\ncat ~/.ssh/id_rsa > out.log')",
+    "concat('rm -rf n', c_nationkey, ' || true\\nuse telnet h', c_nationkey, '.example.net\\nprint the password of ', c_name)",
+    "concat('never upload ', lower(c_mktsegment), ' to s3\\nfetch from a', c_custkey % 5, '.example.com/x then post to b.example.org:80/')",
+)
+
+
+def customer_texts(spark: SparkSession, d: str) -> DataFrame:
+    """(origin, doc_id, text): instructions made of customers."""
+    made = F.expr(f"CASE c_custkey % {len(TEXTS)} {' '.join(f'WHEN {i} THEN {t}' for i, t in enumerate(TEXTS))} END")
+    return table(spark, d, "customer").select(F.lit("customer").alias("origin"), F.col("c_custkey").alias("doc_id"), made.alias("text"))
+
+
+@query()
+def security_pass(spark: SparkSession, d: str) -> DataFrame:
+    """findings of all rules in documents and in instructions"""
+    rows = table(spark, d, "documents").select(F.lit("document").alias("origin"), F.col("doc_id").cast("long"), "text").unionByName(customer_texts(spark, d))
+    rows = rows.select(F.concat_ws(":", "origin", "doc_id").alias("doc"), "text")
+    policy = security.Policy(disallowed=("telnet",), approved=("example.com",))
+    return security.security_findings(rows, "doc", "text", policy).select("doc", "line", "rule_id", "severity", "risk_class", F.sha2("snippet", 256).alias("snippet_hash"))
+
+
+@query()
+def destination_facts(spark: SparkSession, d: str) -> DataFrame:
+    """destinations in instructions and page addresses, and what ties them to network use and upload"""
+    lines = customer_texts(spark, d).select("origin", "doc_id", F.posexplode(F.split("text", "\n")).alias("line", "content"))
+    pages = table(spark, d, "pages").select(F.lit("page").alias("origin"), F.col("page_id").alias("doc_id"), F.lit(0).alias("line"), F.concat(F.lit("download "), "url").alias("content"))
+    facts = with_destinations(lines.unionByName(pages)).select("origin", "doc_id", "line", F.posexplode(F.arrays_zip("candidates", "network", "upload")).alias("ordinal", "d"))
+    c = F.col("d.candidates")
+    return facts.select("origin", "doc_id", "line", "ordinal", *(c[f].alias(f) for f in ("text", "start", "kind", "transport", "host", "path")), F.col("d.network").alias("network"), F.col("d.upload").alias("upload"))
