@@ -25,6 +25,7 @@ from __future__ import annotations
 import heapq
 import itertools
 import json
+import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,8 +39,10 @@ from pyspark.sql import functions as F
 from .wordhash import chunks
 
 MOST_MERGES = 1_000_000
-KEPT = 200_000  # words whose ids a task remembers
+KEPT = 100_000  # words whose ids a task remembers
+WORDS = 1 << 17  # words that wait for their ids at most (one piece of a text at least)
 PORTION = 1 << 20  # bytes of new words that are encoded together (one word at least)
+MANY = 48  # positions that are merged together; fewer are merged one by one
 PIECE = 1 << 20  # characters of a text that are cut into words together
 
 # Letters and numbers that the pattern's engine does not know yet (assigned after Unicode 16.0).
@@ -55,7 +58,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?{L}+| ?{N}+| ?[^\s{L}{N}]+|\s+(?!\S)|\s+"
 _PLAIN = regex.compile(PATTERN.replace("{L}", r"\p{L}").replace("{N}", r"\p{N}"))
 _L, _N = rf"[\p{{L}}--[{LATER_LETTERS}]]", rf"[\p{{N}}--[{LATER_NUMBERS}]]"
 _EXACT = regex.compile("(?V1)" + PATTERN.replace(r"[^\s{L}{N}]", rf"[^\s[{_L}][{_N}]]").replace("{L}", _L).replace("{N}", _N))
-_LATER = regex.compile(f"[{LATER_LETTERS}{LATER_NUMBERS}]")
+_LATER = re.compile(f"[{LATER_LETTERS}{LATER_NUMBERS}]")
 _CUT = regex.compile(r"\S(?=\s)")
 
 
@@ -70,8 +73,12 @@ def byte_letters() -> list[str]:
 class Vocabulary:
     """What encoding and decoding need of a vocabulary file."""
 
-    first: list[int]  # id of each byte
-    merges: dict[int, tuple[int, int]]  # left id << 32 | right id -> (rank, new id)
+    first: np.ndarray  # id of each byte
+    ranks: dict[int, int]  # left id << 32 | right id -> rank
+    merges: list[tuple[int, int, int]]  # by rank: left id, right id, new id
+    byte_ranks: np.ndarray  # rank of each pair of bytes, or -1
+    keys: np.ndarray  # the keys of `ranks`, sorted, and their ranks
+    key_ranks: np.ndarray
     special: dict[str, int]
     data: bytes  # bytes of all tokens
     starts: np.ndarray  # of each id in data, and the end; ids without a token are empty
@@ -88,13 +95,10 @@ def read_vocabulary(path: str) -> Vocabulary:
     ids, pairs = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
     if len(pairs) > MOST_MERGES:
         raise ValueError(f"more than {MOST_MERGES} merges")
-    merges: dict[int, tuple[int, int]] = {}
-    made: dict[int, int] = {}
-    for rank, (a, b) in enumerate(pairs):
-        new = ids[a + b]
-        merges[ids[a] << 32 | ids[b]] = (rank, new)
-        made.setdefault(new, rank)
-    if len(merges) != len(pairs) or any(max(made.get(k >> 32, -1), made.get(k & 0xFFFFFFFF, -1)) >= rank for k, (rank, _) in merges.items()) or len(made) != len(pairs):
+    merges = [(ids[a], ids[b], ids[a + b]) for a, b in pairs]
+    ranks = {a << 32 | b: rank for rank, (a, b, _) in enumerate(merges)}
+    made = {new: rank for rank, (_, _, new) in enumerate(merges)}
+    if len(ranks) != len(pairs) or len(made) != len(pairs) or any(max(made.get(a, -1), made.get(b, -1)) >= rank for rank, (a, b, _) in enumerate(merges)):
         raise ValueError("a merge uses a token that a later or another merge makes")
     letters = byte_letters()
     byte_of = {c: b for b, c in enumerate(letters)}
@@ -105,66 +109,108 @@ def read_vocabulary(path: str) -> Vocabulary:
     tokens = [b""] * size
     for token, i in itertools.chain(ids.items(), special.items()):
         tokens[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
-    return Vocabulary([ids[c] for c in letters], merges, special, b"".join(tokens), np.cumsum([0, *map(len, tokens)]))
+    first = np.array([ids[c] for c in letters], np.int32)
+    byte_ranks = np.array([ranks.get(a << 32 | b, -1) for a in first.tolist() for b in first.tolist()], np.int32)
+    keys = np.array(sorted(ranks), np.int64)
+    return Vocabulary(first, ranks, merges, byte_ranks, keys, np.array([ranks[k] for k in keys.tolist()], np.int32), special, b"".join(tokens), np.cumsum([0, *map(len, tokens)]))
+
+
+class _Index:
+    """The pair occurrence index: for each active rank, the positions of its pair."""
+
+    def __init__(self) -> None:
+        self.where: dict[int, array] = {}
+        self.active: list[int] = []
+
+    def add(self, rank: int, i: int) -> None:
+        at = self.where.get(rank)
+        if at is None:
+            at = self.where[rank] = array("i")
+            heapq.heappush(self.active, rank)
+        at.append(i)
+
+    def add_all(self, ranks: np.ndarray, places: np.ndarray) -> None:
+        order = np.argsort(ranks, kind="stable")
+        ranks, places = ranks[order], places[order].astype(np.int32)
+        cuts = np.flatnonzero(np.r_[True, ranks[1:] != ranks[:-1]]) if len(ranks) else ranks
+        for rank, lo, hi in zip(ranks[cuts].tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(ranks)]):
+            at = self.where.get(rank)
+            if at is None:
+                at = self.where[rank] = array("i")
+                heapq.heappush(self.active, rank)
+            at.frombytes(places[lo:hi].tobytes())
+
+    def pop(self) -> tuple[int, array]:
+        rank = heapq.heappop(self.active)
+        return rank, self.where.pop(rank)
 
 
-def merge_words(words: list[bytes], v: Vocabulary) -> list[array]:
-    """The ids of each word."""
-    symbol = array("i", map(v.first.__getitem__, b"".join(words)))
-    n = len(symbol)
+def merge_words(words: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all words, the end of each word's)."""
+    raw = np.frombuffer(b"".join(words), np.uint8)
+    n, ends = len(raw), np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+    symbol = array("i", v.first[raw].tobytes())
     after, before = array("i", range(1, n + 1)), array("i", range(-1, n - 1))
-    ends = list(itertools.accumulate(map(len, words)))
-    for e in ends:
-        after[e - 1] = -1
-        if e < n:
-            before[e] = -1
-    merges, where, active = v.merges, {}, []
-    for i, (a, b) in enumerate(zip(symbol, symbol[1:])):  # the pair occurrence index
-        key = a << 32 | b
-        if key in merges and after[i] >= 0:
-            at = where.get(key)
-            if at is None:
-                at = where[key] = array("i")
-                active.append((merges[key][0], key))
-            at.append(i)
-    heapq.heapify(active)
-    while active:
-        _, key = heapq.heappop(active)
-        left, right, new = key >> 32, key & 0xFFFFFFFF, merges[key][1]
-        places = where.pop(key)
+    S, A, B = (np.frombuffer(x, np.int32) for x in (symbol, after, before))  # the same memory
+    A[ends - 1] = -1
+    B[ends[:-1]] = -1
+    index, ranks = _Index(), v.ranks
+    pairs = v.byte_ranks[raw[:-1].astype(np.int32) * 256 + raw[1:]]
+    at = np.flatnonzero((pairs >= 0) & (A[:-1] >= 0))
+    index.add_all(pairs[at], at)
+    while index.active:
+        rank, places = index.pop()
+        left, right, new = v.merges[rank]
+        if len(places) >= MANY and left != right:
+            _merge_many(S, A, B, np.frombuffer(places, np.int32), left, right, new, index, v)
+            continue
         for i in sorted(places) if left == right else places:
             j = after[i]
             if symbol[i] != left or j < 0 or symbol[j] != right:
                 continue  # used up by an earlier merge
-            symbol[i], symbol[j] = new, -1
-            k, h = after[j], before[i]
-            after[i], after[j] = k, -1
+            k = after[j]
+            symbol[i], symbol[j], after[i], after[j] = new, -1, k, -1
             if k >= 0:
                 before[k] = i
-                made = new << 32 | symbol[k]
-                if made in merges:
-                    at = where.get(made)
-                    if at is None:
-                        at = where[made] = array("i")
-                        heapq.heappush(active, (merges[made][0], made))
-                    at.append(i)
+                made = ranks.get(new << 32 | symbol[k])
+                if made is not None:
+                    index.add(made, i)
+            h = before[i]
             if h >= 0:
-                made = symbol[h] << 32 | new
-                if made in merges:
-                    at = where.get(made)
-                    if at is None:
-                        at = where[made] = array("i")
-                        heapq.heappush(active, (merges[made][0], made))
-                    at.append(h)
-    out, begin = [], 0
-    for e in ends:
-        ids = array("i")
-        while begin >= 0 and e > 0:
-            ids.append(symbol[begin])
-            begin = after[begin]
-        out.append(ids)
-        begin = e
-    return out
+                made = ranks.get(symbol[h] << 32 | new)
+                if made is not None:
+                    index.add(made, h)
+    left = np.flatnonzero(S >= 0)
+    return S[left], np.searchsorted(left, ends)
+
+
+def _merge_many(S: np.ndarray, A: np.ndarray, B: np.ndarray, i: np.ndarray, left: int, right: int, new: int, index: _Index, v: Vocabulary) -> None:
+    """Merge a pair of two different symbols at all its positions; no two of them share a symbol."""
+    i = i[S[i] == left]
+    j = A[i]
+    i, j = i[j >= 0], j[j >= 0]
+    on = S[j] == right
+    i, j = i[on], j[on]
+    k = A[j]
+    S[i], S[j], A[i], A[j] = new, -1, k, -1
+    goes = k >= 0
+    B[k[goes]] = i[goes]
+    h = B[i]
+    comes = h >= 0
+    comes[comes] = S[h[comes]] != new  # else it is the pair after h, which is there already
+    key = np.concatenate([(np.int64(new) << 32) + S[k[goes]], (S[h[comes]].astype(np.int64) << 32) + new])
+    at = np.minimum(np.searchsorted(v.keys, key), len(v.keys) - 1)
+    known = v.keys[at] == key
+    index.add_all(v.key_ranks[at[known]], np.concatenate([i[goes], h[comes]])[known])
+
+
+def _may_be_later(text: str) -> bool:
+    """False for Latin texts, at the price of a copy."""
+    try:
+        text.encode("latin-1")
+        return False
+    except UnicodeEncodeError:
+        return True
 
 
 def words_of(text: str) -> Iterator[list[str]]:
@@ -174,7 +220,7 @@ def words_of(text: str) -> Iterator[list[str]]:
         cut = _CUT.search(text, lo + PIECE) if len(text) - lo > PIECE else None
         hi = cut.end() if cut else len(text)
         piece = text[lo:hi] if hi - lo < len(text) else text
-        yield (_EXACT if not piece.isascii() and _LATER.search(piece) else _PLAIN).findall(piece)
+        yield (_EXACT if _may_be_later(piece) and _LATER.search(piece) else _PLAIN).findall(piece)
         lo = hi
 
 
@@ -196,10 +242,10 @@ class Encoder:
             while hi < len(data) and (hi == lo or size + len(data[hi]) <= PORTION):
                 size += len(data[hi])
                 hi += 1
-            for word, ids in zip(words[lo:hi], merge_words(data[lo:hi], self.v)):
-                self.known[word] = len(self.starts) - 1
-                self.ids.extend(ids)
-                self.starts.append(len(self.ids))
+            ids, ends = merge_words(data[lo:hi], self.v)
+            self.known.update(zip(words[lo:hi], range(len(self.starts) - 1, len(self.starts) + hi - lo - 1)))
+            self.starts.frombytes((ends + len(self.ids)).astype(np.int64).tobytes())
+            self.ids.frombytes(ids.tobytes())
             lo = hi
 
     def _ids(self, words: list[str]) -> np.ndarray:
@@ -214,7 +260,7 @@ class Encoder:
         """The ids of each text; new words of all of them are encoded together."""
         out: list[list] = [[] for _ in texts]
         waiting: list[tuple[int, list[str]]] = []
-        new: dict[str, None] = {}
+        new: set[str] = set()
 
         def settle() -> None:
             self._learn(list(new))
@@ -231,9 +277,9 @@ class Encoder:
             for m in itertools.chain(self.cut.finditer(text) if self.cut else (), (None,)):
                 for words in words_of(text[lo : m.start()] if m else text[lo:] if lo else text):
                     waiting.append((i, words))
-                    new.update(dict.fromkeys(w for w in words if w not in self.known))
+                    new.update(set(words).difference(self.known))
                     size += len(words)
-                    if size > 1 << 20:
+                    if size > WORDS:
                         settle()
                         size = 0
                 if m:
@@ -258,34 +304,37 @@ def decode_ids(ids: np.ndarray, v: Vocabulary) -> bytes:
         return raw.decode("utf-8", "replace").encode()
 
 
-def encode_bpe(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids): the ids of each text."""
+def encode_bpe(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = False) -> DataFrame:
+    """(doc_id, ids): the ids of each text; with decode also `decoded`, the text that the ids stand for."""
     v = read_vocabulary(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(v)
         for whole in batches:
-            for b in chunks(whole, "text"):
+            for b in chunks(whole, "text", 2 << 20):
                 ids = encoder.encode([t or "" for t in b.column(1).to_pylist()])
                 offsets = np.cumsum([0, *map(len, ids)])
                 flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)], names=["doc_id", "ids"])
+                columns = [b.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)]
+                if decode:
+                    columns.append(pa.array([decode_ids(x, v) for x in ids], pa.binary()).cast(pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"][: len(columns)])
+            pa.default_memory_pool().release_unused()  # workers are used again, and their memory adds up
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    rows = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+    return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>{', decoded string' if decode else ''}")
 
 
-def decode_bpe(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids", keep_ids: bool = False) -> DataFrame:
-    """(doc_id, decoded), with keep_ids also the ids."""
+def decode_bpe(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """(doc_id, decoded): the text that each row's ids stand for."""
     v = read_vocabulary(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(1)
-            rows = [np.zeros(0, np.int64) if not s.is_valid else s.values.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) for s in ids]
-            texts = pa.array([decode_ids(r, v) for r in rows], pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), *([ids] if keep_ids else []), texts], names=["doc_id", *(["ids"] if keep_ids else []), "decoded"])
+            rows = (np.zeros(0, np.int64) if not s.is_valid else s.values.fill_null(-1).to_numpy(zero_copy_only=False) for s in b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([decode_ids(r, v) for r in rows], pa.binary()).cast(pa.string())], names=["doc_id", "decoded"])
 
     kind = encoded.schema[id_col].dataType.simpleString()
     rows = encoded.select(encoded[id_col].alias("doc_id"), encoded[ids_col].cast("array<int>").alias("ids"))
-    return rows.mapInArrow(run, f"doc_id {kind}, {'ids array<int>, ' if keep_ids else ''}decoded string")
+    return rows.mapInArrow(run, f"doc_id {kind}, decoded string")

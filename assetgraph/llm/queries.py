@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ann_search import search
-from .bpe import decode_bpe, encode_bpe
+from .bpe import encode_bpe
 from .common import fold, read_table
 from .decontaminate import find_contamination
 from .jaccard_join import jaccard_components
 from .language_id import identify_language
 from .lexical_search import lexical_search
-from .license_scan import LEAST, TEMPLATES, scan_licenses
+from .license_scan import LEAST, NEAR, TEMPLATES, scan_licenses
 from .mixing import scheduled_mix
 from .quality import resample
 from .secret_scan import spans_only
@@ -83,7 +83,7 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    coded = decode_bpe(encode_bpe(read_table(spark, sf_dir, "documents"), path), path, keep_ids=True)
+    coded = encode_bpe(read_table(spark, sf_dir, "documents"), path, decode=True)
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
@@ -145,14 +145,22 @@ WITH t AS (SELECT template, name, {_GRAMS} AS g FROM (SELECT template, name, {_N
   SELECT doc_id, row_number() OVER () AS r, regexp_replace(text, '\r\n?', chr(10), 'g') AS text FROM documents WHERE text IS NOT NULL
 ), y AS (
   SELECT doc_id, r, text, string_split(text, chr(10)) AS lines, string_split(regexp_replace(text, '([.!?])[ \t]+', '\1' || chr(10), 'g'), chr(10)) AS sentences, string_split_regex(text, '\n[ \t\n]*\n') AS runs FROM x
+), k AS (
+  SELECT p.template, o.template AS other, list_filter(p.g, lambda x: NOT list_contains(o.g, x)) AS d FROM t p JOIN t o ON p.name <> o.name
+  WHERE 2 * len(list_intersect(p.g, o.g)) >= {NEAR} * (len(p.g) + len(o.g))
+), c AS (
+  SELECT p.template, o.template AS holder FROM t p JOIN t o ON p.name <> o.name WHERE 10 * len(list_intersect(p.g, o.g)) >= 9 * len(p.g) AND 10 * len(o.g) >= 11 * len(p.g)
 ), u AS (
   SELECT doc_id, r, unnest(range(len(x))) AS unit, unnest(x) AS line FROM (
     SELECT doc_id, r, list_distinct(list_concat(lines, sentences, runs, [text], list_transform(range(1, len(runs)), lambda i: runs[i] || chr(10) || runs[i + 1]),
       list_transform(range(1, len(runs) - 1), lambda i: runs[i] || chr(10) || runs[i + 1] || chr(10) || runs[i + 2]))) AS x FROM y)
-), b AS (SELECT doc_id, r, unit, len(g) AS own, unnest(g) AS gram FROM (SELECT doc_id, r, unit, {_GRAMS} AS g FROM (SELECT doc_id, r, unit, {_NORMAL.format("line")} AS w FROM u))
-), n AS (
-  SELECT doc_id, r, unit, name, 2 * count(*) / (own + size) AS dice FROM b JOIN (SELECT template, name, len(g) AS size, unnest(g) AS gram FROM t) USING (gram) GROUP BY doc_id, r, unit, template, name, own, size
-), m AS (SELECT *, max(dice) OVER (PARTITION BY doc_id, r, unit) AS most FROM n WHERE dice >= {LEAST}
+), b AS (SELECT doc_id, r, unit, len(g) AS own, unnest(g) AS gram FROM (SELECT doc_id, r, unit, {_GRAMS} AS g FROM (SELECT doc_id, r, unit, {_NORMAL.format("line")} AS w FROM u)
+    WHERE NOT regexp_matches(array_to_string(w, ' '), '\b(not|never|no longer) ([a-z0-9]+ ){{0,2}}(licensed|released|available)\b'))
+), h AS (
+  SELECT doc_id, r, unit, template, name, 2 * count(*) / (own + size) AS dice, list(gram) AS held FROM b JOIN (SELECT template, name, len(g) AS size, unnest(g) AS gram FROM t) USING (gram) GROUP BY doc_id, r, unit, template, name, own, size
+), q AS (SELECT * FROM h WHERE dice >= {LEAST} AND NOT EXISTS (SELECT 1 FROM k WHERE k.template = h.template AND 2 * len(list_intersect(h.held, k.d)) <= len(k.d))
+), n AS (SELECT * FROM q WHERE NOT EXISTS (SELECT 1 FROM c JOIN q x ON x.template = c.holder WHERE c.template = q.template AND x.r = q.r)
+), m AS (SELECT * EXCLUDE (held), max(dice) OVER (PARTITION BY doc_id, r, unit) AS most FROM n WHERE dice >= {LEAST}
 ), f AS (SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS licences, count(DISTINCT r || ':' || unit) AS n_units, max(dice) AS best FROM m WHERE dice = most GROUP BY doc_id)
 SELECT d.doc_id, coalesce(licences, '') AS licences, CAST(coalesce(n_units, 0) AS BIGINT) AS n_units, coalesce(best, 0.0) AS best FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN f ON d.doc_id = f.doc_id
 """
