@@ -158,7 +158,7 @@ WITH t AS (SELECT template, name, {_GRAMS} AS g FROM (SELECT template, name, {_N
     WHERE NOT regexp_matches(array_to_string(w, ' '), '\b(not|never|no longer) ([a-z0-9]+ ){{0,2}}(licensed|released|available)\b'))
 ), h AS (
   SELECT doc_id, r, unit, template, name, 2 * count(*) / (own + size) AS dice, list(gram) AS held FROM b JOIN (SELECT template, name, len(g) AS size, unnest(g) AS gram FROM t) USING (gram) GROUP BY doc_id, r, unit, template, name, own, size
-), q AS (SELECT * FROM h WHERE dice >= {LEAST} AND NOT EXISTS (SELECT 1 FROM k WHERE k.template = h.template AND 2 * len(list_intersect(h.held, k.d)) <= len(k.d))
+), q AS (SELECT * FROM h WHERE dice >= {LEAST} AND NOT EXISTS (SELECT 1 FROM k WHERE k.template = h.template AND len(k.d) > 0 AND 2 * len(list_intersect(h.held, k.d)) <= len(k.d))
 ), n AS (SELECT * FROM q WHERE NOT EXISTS (SELECT 1 FROM c JOIN q x ON x.template = c.holder WHERE c.template = q.template AND x.r = q.r)
 ), m AS (SELECT * EXCLUDE (held), max(dice) OVER (PARTITION BY doc_id, r, unit) AS most FROM n WHERE dice >= {LEAST}
 ), f AS (SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS licences, count(DISTINCT r || ':' || unit) AS n_units, max(dice) AS best FROM m WHERE dice = most GROUP BY doc_id)

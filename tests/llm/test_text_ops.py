@@ -284,6 +284,40 @@ def test_licences(spark, odd):
     assert license_scan.scan_licenses(odd.where("false")).count() == 0
 
 
+def test_neighbouring_licences(spark, tmp_path):
+    """Each listed text gives its own licence and no neighbour's, by the operator and by its SQL; versions that are not listed, and denials, give none."""
+    listed = [(name, text) for name, texts in license_scan.TEMPLATES.items() for text in texts]
+    bsd = f"Copyright x\n\n{license_scan._BSD_2}\n\n{license_scan._BSD_3}\n\n{license_scan._BSD_WARRANTY}"
+    spread = bsd.replace(" 2. ", "\n\n 2. ").replace(" 1. ", "\n\n 1. ")
+    gnu = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    cases = listed + [
+        ("BSD-2-Clause", f"Copyright x\n\n{license_scan._BSD_2}\n\n{license_scan._BSD_WARRANTY}"),
+        ("BSD-3-Clause", bsd),
+        ("BSD-3-Clause", spread),
+        ("GPL-2.0", gnu.format("2")),
+        ("GPL-3.0", gnu.format("3")),
+        ("LGPL-2.1", gnu.format("2.1").replace("program", "library").replace("GNU General", "GNU Lesser General")),
+        ("", gnu.format("4")),
+        ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
+        ("", "This work is licensed under the GNU General Public License, version 1"),
+        ("", "Not licensed under the MIT License."),
+        ("", "It is no longer released under the MIT License."),
+        ("", "Licensed under CC BY 2.5."),
+        ("CC-BY-3.0", "Licensed under CC BY 3.0."),
+        ("", "Licensed under the Apache License, Version 1.0."),
+        ("GPL-3.0,MIT", "Licensed under the MIT License.\nLicensed under the GNU General Public License, version 3."),
+        ("MIT", f"MIT License\n\nCopyright (c) 2020 Some Body\n\n{license_scan._MIT}\n\n{license_scan._MIT_WARRANTY}\n"),
+        ("MIT", "word " * 200_000 + "\nReleased under the MIT License.\n" + "word " * 200_000),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string").repartition(4)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.licences for r in license_scan.scan_licenses(docs).collect()}
+    for i, (want, text) in enumerate(cases):
+        assert got[i] == want, text[:90]
+    sql = queries.ORACLE_SQL["op4_licenses"].replace("FROM documents", f"FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert spark_rows(queries.op4_licenses(spark, str(tmp_path))) == duck_rows(sql, str(tmp_path / "none"))
+
+
 def test_licences_of_repeated_rows(spark, tmp_path):
     half = "Licensed under the MIT licence of the old house"
     full = "plain words\n\nLicensed under the MIT License.\n\nmore"
