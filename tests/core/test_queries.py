@@ -19,20 +19,22 @@ def test_against_sql(spark, name):
     assert spark_rows(core.QUERIES[name](spark, SF)) == duck_rows(core.ORACLE_SQL[name], SF)
 
 
-def test_collapse(spark):
-    """Greedy collapse against plain Python on shingle groups with near starts and equal other places."""
-    rng = random.Random(4)
-    rows = [(f"k{i:03d}", rng.randrange(3, 6), rng.randrange(3, 9), rng.randrange(4), rng.randrange(1, 60), rng.randrange(60, 70), f"o{rng.randrange(40)}" + f"-{i % 4}") for i in range(120)]
-    rows = [(k, n, m, p, a, b, f"{o}-{p}") for k, n, m, p, a, b, o in rows]  # other places differ between first documents
+@pytest.mark.parametrize(("seed", "paths", "others"), [(4, 4, 40), (5, 30, 12), (6, 3, 200), (7, 60, 25)])
+def test_collapse(spark, seed, paths, others):
+    """Greedy collapse against plain Python on groups with near starts and with equal other places in different first documents."""
+    rng = random.Random(seed)
+    rows = [(f"k{i:03d}é😀"[: rng.choice([4, 5, 6])] + str(i), rng.randrange(3, 6), rng.randrange(3, 9), rng.randrange(paths), rng.randrange(1, 120), rng.randrange(120, 130), f"o{rng.randrange(others)}") for i in range(300)]
     groups = spark.createDataFrame(rows, "key string, n_docs long, n long, path long, start_line int, end_line int, others string")
+    units = lambda s: s.encode("utf-16-be")
     kept: list = []
-    for r in sorted(rows, key=lambda r: (r[3], r[4], r[5], r[0])):
+    for r in sorted(rows, key=lambda r: (units(str(r[3])), r[4], r[5], units(r[0]))):
         if not any((x[3] == r[3] and abs(x[4] - r[4]) <= 8) or x[6] == r[6] for x in kept):
             kept.append(r)
     out = duplicates.collapse_shingles(groups)
     assert {r.key for r in out.collect()} == {r[0] for r in kept}
-    best = sorted(kept, key=lambda r: (-r[1], -r[2], r[0]))[:10]
+    best = sorted(kept, key=lambda r: (-r[1], -r[2], units(r[0])))[:10]
     assert [r.key for r in duplicates.ranked_groups(out).collect()] == [r[0] for r in best]
+    assert duplicates.collapse_shingles(groups.limit(0)).count() == 0
 
 
 def test_fences(spark):
