@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Character classes of the token estimate.
@@ -75,8 +75,11 @@ def snippet(lines: Column, most: int = 600) -> Column:
 
 
 def _cleaned(text: Column, begins: Column) -> Column:
-    """Without allowed flags, and without a byte order mark where the file begins."""
-    text = F.regexp_replace(text, FLAGS, "")
+    """With allowed flags as their first character alone, and without a byte order mark where the file begins.
+
+    A flag is allowed unless it stands between two characters of one token.
+    """
+    text = F.regexp_replace(text, f"(?<!{ASCII_TOKEN}){FLAGS}|{FLAGS}(?!{ASCII_TOKEN})", "\U0001f3f4")
     return F.when(begins, F.regexp_replace(text, r"^\x{FEFF}", "")).otherwise(text)
 
 
@@ -89,6 +92,23 @@ def hidden_count(text: Column, category: str, begins: Column | None = None) -> C
     return F.regexp_count(clean, F.lit(INVISIBLE)) + joiners + F.length(clean) - F.length(F.regexp_replace(clean, VARIATION_RUN, ""))
 
 
+def hidden_places(lines: DataFrame) -> DataFrame:
+    """lines with `content`, exploded to start (UTF-16), category and code_point of each hidden character; `line` tells whether a file begins there."""
+    from .spans import match_spans, units
+
+    pattern = f"(?<!{ASCII_TOKEN}){FLAGS}|{FLAGS}(?!{ASCII_TOKEN})|{BIDI}|{INVISIBLE}|{VARIATION_RUN}|(?<={ASCII_TOKEN}){JOINERS}(?={ASCII_TOKEN})"
+    found = lines.where(F.col("content").rlike(pattern)).withColumn("m", F.explode(match_spans(F.col("content"), pattern, keep=lambda t: ~t.startswith("\U0001f3f4"))))
+    found = found.where(~((F.col("line") == 1) & (F.col("m.start") == 0) & (F.col("m.text") == "\ufeff")))
+    chars = found.select("*", F.posexplode(F.split("m.text", "")).alias("p", "x"))
+    before = F.substring("m.text", F.lit(1), F.col("p"))
+    return chars.select(
+        *(c for c in lines.columns if c != "content"),
+        (F.col("m.start") + units(before)).cast("int").alias("start"),
+        F.when(F.col("x").rlike(BIDI), "bidi_control").otherwise("invisible_character").alias("category"),
+        F.conv(F.hex(F.encode("x", "UTF-32")), 16, 10).cast("int").alias("code_point"),
+    )
+
+
 def has_hidden(text: Column, category: str, begins: Column | None = None) -> Column:
     """Whether there is any; a search that ends at the first."""
     if category == "bidi_control":

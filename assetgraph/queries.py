@@ -5,6 +5,7 @@ Each binds an operator to the tables of the driver.  The id in a docstring is th
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from .functions.canonical import fingerprint
 from .functions.predicates import freshness, is_inactive, is_usable, rank_of
 from .functions import text as rules
-from .functions.text import CATEGORIES, estimate_tokens, has_secret, hidden_count, host_of, normalize_space, path_of, text_hash
+from .functions.text import CATEGORIES, estimate_tokens, has_secret, hidden_count, hidden_places, host_of, normalize_space, path_of, text_hash
 from .operators import aggregates, diff, duplicates, graph, joins, policy, sets, windows
 from .plans import posture
 
@@ -74,12 +75,22 @@ def _normal_sql(text: str) -> str:
     return f"trim(regexp_replace({text}, '[{BLANK}]+', ' ', 'g'))"
 
 
+# A flag written with tags counts, with its six tags, only between two characters of one token.  These patterns are written apart from the engine's.
+_FLAG = r"\x{1F3F4}\x{E0067}\x{E0062}(?:\x{E0065}\x{E006E}\x{E0067}|\x{E0073}\x{E0063}\x{E0074}|\x{E0077}\x{E006C}\x{E0073})\x{E007F}"
+_TOK = r"[-A-Za-z0-9_./:@%+=]"
+
+
 def _clean_sql(text: str, begins: str) -> str:
-    free = f"regexp_replace({text}, '{_RE['FLAGS']}', '', 'g')"
+    free = f"regexp_replace({text}, '{_FLAG}', '\U0001f3f4', 'g')"
     return f"CASE WHEN {begins} THEN regexp_replace({free}, '^\\x{{FEFF}}', '') ELSE {free} END"
 
 
-HIDDEN_SQL = f"regexp_matches({_clean_sql('content', 'line = 1')}, '{_RE['INVISIBLE']}|{_RE['VARIATION_RUN']}|{_RE['ASCII_TOKEN']}{_RE['JOINERS']}{_RE['ASCII_TOKEN']}')"
+def _embedded_sql(text: str) -> str:
+    parts = f"string_split_regex({text}, '{_FLAG}')"
+    return f"(CASE WHEN contains({text}, '\U0001f3f4') THEN len(list_filter(range(1, len({parts})), lambda fi: regexp_matches({parts}[fi], '{_TOK}$') AND regexp_matches({parts}[fi + 1], '^{_TOK}'))) ELSE 0 END)"
+
+
+HIDDEN_SQL = f"(regexp_matches({_clean_sql('content', 'line = 1')}, '{_RE['INVISIBLE']}|{_RE['VARIATION_RUN']}|{_RE['ASCII_TOKEN']}{_RE['JOINERS']}{_RE['ASCII_TOKEN']}') OR {_embedded_sql('content')} > 0)"
 
 
 @query(rf"SELECT doc_id, CAST(line AS INTEGER) AS line, sha256({_normal_sql('content')}) AS snippet_hash FROM ({LINES_SQL}) WHERE {SECRET_SQL}")
@@ -94,7 +105,7 @@ WITH c AS (SELECT text, {_clean_sql('text', 'TRUE')} AS x FROM documents WHERE t
 ), j AS (SELECT sum(len(list_filter(range(2, length(x)), lambda i: regexp_matches(substr(x, i - 1, 3), '^{_RE['ASCII_TOKEN']}{_RE['JOINERS']}{_RE['ASCII_TOKEN']}$')))) AS n FROM c WHERE regexp_matches(x, '{_RE['JOINERS']}'))
 SELECT 'bidi_control' AS category, CAST(coalesce(sum(len(regexp_extract_all(text, '{_RE['BIDI']}'))), 0) AS BIGINT) AS n FROM c
 UNION ALL
-SELECT 'invisible_character', CAST(coalesce(sum(len(regexp_extract_all(x, '{_RE['INVISIBLE']}')) + length(x) - length(regexp_replace(x, '{_RE['VARIATION_RUN']}', '', 'g'))), 0) + coalesce((SELECT n FROM j), 0) AS BIGINT) FROM c
+SELECT 'invisible_character', CAST(coalesce(sum(len(regexp_extract_all(x, '{_RE['INVISIBLE']}')) + 6 * {_embedded_sql('text')} + length(x) - length(regexp_replace(x, '{_RE['VARIATION_RUN']}', '', 'g'))), 0) + coalesce((SELECT n FROM j), 0) AS BIGINT) FROM c
 """)
 def hidden_unicode_scan(spark: SparkSession, d: str) -> DataFrame:
     """F6, A8"""
@@ -102,6 +113,39 @@ def hidden_unicode_scan(spark: SparkSession, d: str) -> DataFrame:
     return sums.unpivot([], list(CATEGORIES), "category", "n")
 
 
+# Lines made of customers, with hidden characters between and inside words.
+HIDDEN_PARTS = (
+    "concat(c_name, chr(8203), c_mktsegment, chr(8238))",
+    "concat('a', chr(8205), 'b', chr(8205), ' ', c_name, chr(65279))",
+    "concat(chr(65279), c_mktsegment, chr(127988), chr(917607), chr(917602), chr(917605), chr(917614), chr(917607), chr(917631), ' ')",
+    "concat('x', chr(127988), chr(917607), chr(917602), chr(917619), chr(917603), chr(917620), chr(917631), 'y', chr(65039), chr(65038))",
+    "concat(c_name, chr(128512), chr(8204), 'z', chr(173))",
+    "c_name",
+)
+_HIDDEN_LINES = f"SELECT c_custkey AS id, CASE c_custkey % {len(HIDDEN_PARTS)} {' '.join(f'WHEN {i} THEN {p}' for i, p in enumerate(HIDDEN_PARTS))} END AS content"
+
+
+@query(rf"""
+WITH l AS (SELECT 'document' AS origin, doc_id AS id, CAST(line AS INTEGER) AS line, content FROM ({LINES_SQL}) UNION ALL SELECT 'customer', id, 1, content FROM ({_HIDDEN_LINES} FROM customer)
+), c AS (SELECT *, unnest(range(1, length(content) + 1)) AS i FROM l WHERE regexp_matches(content, '[^\x09\x20-\x7E]')
+), p AS (SELECT *, content[i] AS x, CASE WHEN i > 1 THEN content[i - 1] ELSE '' END AS before, content[i + 1] AS after,
+    len(list_filter(range(greatest(1, i - 6), i), lambda k: regexp_matches(content[k : k + 6], '^{_FLAG}$') AND NOT (k > 1 AND regexp_matches(content[k - 1], '^{_TOK}$') AND regexp_matches(content[k + 7], '^{_TOK}$')))) > 0 AS in_flag FROM c
+), k AS (SELECT *, CASE WHEN regexp_matches(x, '[\x{{202A}}-\x{{202E}}\x{{2066}}-\x{{2069}}]') THEN 'bidi_control'
+    WHEN line = 1 AND i = 1 AND ord(x) = 65279 THEN NULL WHEN in_flag THEN NULL
+    WHEN ord(x) < 9 OR ord(x) IN (11, 12) OR ord(x) BETWEEN 14 AND 31 OR ord(x) BETWEEN 127 AND 159 OR ord(x) BETWEEN 917504 AND 917631 OR ord(x) IN (173, 847, 8203, 8288, 65279) OR ord(x) BETWEEN 8298 AND 8303 OR ord(x) BETWEEN 65529 AND 65531 THEN 'invisible_character'
+    WHEN ord(x) IN (8204, 8205) AND regexp_matches(before, '^{_TOK}$') AND regexp_matches(after, '^{_TOK}$') THEN 'invisible_character'
+    WHEN regexp_matches(x, '[\x{{180B}}-\x{{180D}}\x{{180F}}\x{{FE00}}-\x{{FE0F}}\x{{E0100}}-\x{{E01EF}}]') AND regexp_matches(before || after, '[\x{{180B}}-\x{{180D}}\x{{180F}}\x{{FE00}}-\x{{FE0F}}\x{{E0100}}-\x{{E01EF}}]') THEN 'invisible_character' END AS category FROM p)
+SELECT origin, id, line, CAST(length(content[1 : i - 1]) + len(regexp_extract_all(content[1 : i - 1], '[\x{{10000}}-\x{{10FFFF}}]')) AS INTEGER) AS start, category, CAST(ord(x) AS INTEGER) AS code_point FROM k WHERE category IS NOT NULL
+""")
+def hidden_unicode_places(spark: SparkSession, d: str) -> DataFrame:
+    """every hidden character with its place"""
+    lines = duplicates.exploded_lines(table(spark, d, "documents"), "doc_id", "text").select(F.lit("document").alias("origin"), F.col("doc_id").alias("id"), "line", "content")
+    # chr of Spark stops at 255, so code points are decoded
+    made = re.sub(r"chr\((\d+)\)", lambda m: f"decode(X'{chr(int(m[1])).encode('utf-16-be').hex()}', 'UTF-16BE')", _HIDDEN_LINES.removeprefix("SELECT c_custkey AS id, "))
+    made = table(spark, d, "customer").selectExpr("'customer' AS origin", "c_custkey AS id", "1 AS line", made)
+    return hidden_places(lines.unionByName(made))
+
+
 FINDINGS_SQL = f"""
 SELECT doc_id, path, f.rule_id AS rule_id, f.severity AS severity, line FROM (
   SELECT doc_id, source || '/' || doc_id AS path, line, unnest([

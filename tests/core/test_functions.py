@@ -24,6 +24,8 @@ def test_text(spark):
     assert hidden("a\u202eb\u200bc\ufe0f\ufe0f") == (1, 3)
     assert hidden("\ufeffa\u200dz \u6f22\u200dz a\u200cb\u200dc\ufeff") == (0, 4)
     assert hidden("\U0001f3f4\U000e0067\U000e0062\U000e0065\U000e006e\U000e0067\U000e007f ok\ufe0f \U000e0041") == (0, 1)
+    flag = "\U0001f3f4\U000e0067\U000e0062\U000e0065\U000e006e\U000e0067\U000e007f"
+    assert [hidden(x)[1] for x in (f"a{flag}b", f"a{flag}", f"{flag}b", f"a {flag}b", f"a{flag}{flag}b", f"a{flag}b{flag}c", f"{flag}\u200da", f"a\u200d{flag}")] == [6, 0, 0, 0, 0, 12, 0, 0]
     assert hidden("tab\tline\nfeed\r \x0b \x85 \u200e") == (0, 2)
     assert one(spark, "\u00a0 a\u3000\ufeffb\u2028", a=text.normalize_space(F.col("x"))).a == "a b"
     long = "x" * 599 + "\U0001f600"
