@@ -57,7 +57,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as Parquet in the shared scratch folder and read it back."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -65,7 +65,7 @@ def written_by(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
     """Like written, in `buckets` buckets by key, so that grouping by key needs no shuffle of these rows."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
     table = f"{name}_{uuid.uuid4().hex}"
-    writer = df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).format("parquet")
+    writer = df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).format("parquet").option("compression", "zstd")
     writer.option("path", path).saveAsTable(table)
     _OWN[path] = table
     return spark.table(table)

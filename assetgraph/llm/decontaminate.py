@@ -13,8 +13,8 @@ bounds), and the window's words are then compared with the document's.
 Equal windows of the benchmark are put together first.  If at most `block_windows` are left, standing in at most ten
 times as many (window, item) pairs, they are sent to the tasks as one broadcast, and documents are read
 twice and never shuffled.  A larger benchmark is joined by shuffles: documents give rows for the shingles that pass a
-bitmap of fixed size, once to count and once to join with the prefixes, with the words around each; so
-documents are read twice whatever the benchmark's size, and nothing of it is collected.
+bitmap (sized by the number of shingles, up to 64 MB), once to count and once to join with the prefixes by hash; only the texts that meet a prefix
+are read a third time, to compare words.  Nothing of the benchmark is collected but the bitmap.
 
 A null or empty document has no words and is not contaminated.  A null or empty
 item has no window; a null item_id reads as an empty string, and items of equal
@@ -38,6 +38,8 @@ from .wordhash import LOWER, Words, alnum_table, chunks, hash_words, window_hash
 WINDOW = 13
 SHINGLE = 5
 _BITS = 22
+ROOM = 32  # bits of the bitmap for each shingle, so that one in 32 of others passes
+LEAST_BITS, MOST_BITS = 16, 29  # of the bitmap's size: 64 MB at most, which serves 16 million shingles
 
 
 def _words(column: pa.Array) -> Words:
@@ -172,17 +174,25 @@ def _small(docs: DataFrame, windows: list) -> DataFrame:
 
 
 def _bitmap(shingles: DataFrame) -> np.ndarray:
-    """Bits of fixed number, set for the low bits of column `shingle`."""
-    low = shingles.select(F.col("shingle").bitwiseAND(F.lit((1 << _BITS) - 1)).alias("low")).select((F.col("low") + 1).alias("low"))  # bit positions count from 1
+    """A bitmap of about `ROOM` bits for each shingle, at most 2 ** MOST_BITS: the low bits of column `shingle`, packed in bytes."""
+    wanted = max(1, shingles.count()) * ROOM
+    bits = min(MOST_BITS, max(LEAST_BITS, wanted.bit_length()))
+    low = shingles.select((F.col("shingle").bitwiseAND(F.lit((1 << bits) - 1)) + 1).alias("low"))  # bit positions count from 1
     rows = low.groupBy(F.bitmap_bucket_number("low").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("low")).alias("bits"))
-    out = np.zeros(1 << _BITS, bool)
-    for r in rows.collect():  # at most 2 ** _BITS / 32768 rows of 4 KB
-        out[(r.b - 1) * 32768 : r.b * 32768] = np.unpackbits(np.frombuffer(r.bits, np.uint8), bitorder="little")
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for r in rows.toLocalIterator():  # at most 2 ** bits / 32768 rows of 4 KB, one partition of them at a time
+        out[(r.b - 1) * 4096 : r.b * 4096] = np.frombuffer(r.bits, np.uint8)
     return out
 
 
-def _passing(rows: DataFrame, bits: np.ndarray, sizes: list[int], reach: int) -> DataFrame:
-    """(k, shingle, row, at, before, around): the document shingles that pass the bitmap, with the words around."""
+def _set_in(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the low bits of each hash are set in a bitmap."""
+    low = (hashes & np.uint64(8 * len(bits) - 1)).astype(np.int64)
+    return (bits[low >> 3] >> (low & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _passing(rows: DataFrame, bits: np.ndarray, sizes: list[int]) -> DataFrame:
+    """(k, shingle, row, at): the document shingles that pass the bitmap."""
     shared = rows.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,29 +202,48 @@ def _passing(rows: DataFrame, bits: np.ndarray, sizes: list[int], reach: int) ->
                 doc, row = w.doc_of(), batch.column(0).to_numpy()
                 for k in sizes:
                     h, ok = window_hashes(w.hashes, w.bounds, k)
-                    at = np.flatnonzero(shared.value[(h & np.uint64((1 << _BITS) - 1)).astype(np.int64)] & ok)
-                    first = np.maximum(w.bounds[doc[at]], at - reach)
-                    end = np.minimum(w.bounds[doc[at] + 1], at + reach + k)
-                    around = [_joined(w, a, b).decode() for a, b in zip(first.tolist(), end.tolist())]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(h[at].astype(np.int64)), pa.array(row[doc[at]]), pa.array(at - w.bounds[doc[at]]), pa.array(at - first), pa.array(around, pa.string())], names=["k", "shingle", "row", "at", "before", "around"])
+                    at = np.flatnonzero(_set_in(shared.value, h) & ok)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(h[at].astype(np.int64)), pa.array(row[doc[at]]), pa.array(at - w.bounds[doc[at]])], names=["k", "shingle", "row", "at"])
+
+    return rows.select("row", "text").mapInArrow(run, "k int, shingle bigint, row bigint, at bigint")
 
-    return rows.select("row", "text").mapInArrow(run, "k int, shingle bigint, row bigint, at bigint, before bigint, around string")
+
+def _verified(rows: DataFrame, met: DataFrame) -> DataFrame:
+    """(row, start, length, words) of the candidates (row, start, length, words) whose words stand there; a text is read once, if it has any."""
+    asked = met.groupBy("row").agg(F.collect_set(F.struct("start", "length", "words")).alias("asked"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in chunks(whole, "text"):
+                w = _words(batch.column(1))
+                out: list[tuple[int, int, int, str]] = []
+                for i, (row, asked) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2))):
+                    a, b = int(w.bounds[i]), int(w.bounds[i + 1])
+                    for c in asked.as_py():
+                        s = a + c["start"]
+                        if a <= s and s + c["length"] <= b and _joined(w, s, s + c["length"]).decode() == c["words"]:
+                            out.append((row, c["start"], c["length"], c["words"]))
+                row, start, length, words = zip(*out) if out else ((), (), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(start, pa.int64()), pa.array(length, pa.int32()), pa.array(words, pa.string())], names=["row", "start", "length", "words"])
+
+    return rows.join(asked, "row").select("row", "text", "asked").mapInArrow(run, "row bigint, start bigint, length int, words string")
 
 
 def _large(docs: DataFrame, windows: DataFrame, items: DataFrame, window: int) -> DataFrame:
-    """Like _small, by shuffles; windows: (length, words, shingles), items: (length, words, item_id)."""
+    """Like _small, by shuffles; windows: (length, words, shingles), items: (length, words, item_id).
+
+    Document shingles meet the prefixes by their hashes alone; words are fetched only for those that do.
+    """
     rows = written(docs.withColumn("row", F.monotonically_increasing_id()), "contamination-rows")
     sizes = sorted({min(SHINGLE, r.length) for r in windows.select("length").distinct().collect()})
     k_of = F.least(F.lit(SHINGLE), F.col("length")).alias("k")
     listed = windows.select("length", F.col("words").cast("string").alias("words"), k_of, F.posexplode("shingles").alias("place", "shingle"))
-    counted = _passing(rows, _bitmap(listed), sizes, 0).groupBy("k", "shingle").agg(F.count("*").alias("n"))
+    counted = _passing(rows, _bitmap(listed.select("shingle").distinct()), sizes).groupBy("k", "shingle").agg(F.count("*").alias("n"))
     # the prefix of a window is its rarest shingle; a window with a shingle that no document has can't occur
     ranked = listed.join(counted, ["k", "shingle"], "left").groupBy("length", "words", "k").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "place", "shingle")).alias("p")).where("p.n > 0")
     prefixes = written(ranked.select("length", "words", "k", "p.place", "p.shingle"), "prefixes")
-    met = _passing(rows, _bitmap(prefixes), sizes, window).join(prefixes, ["k", "shingle"])
-    own = F.slice(F.split("around", " "), (F.col("before") - F.col("place") + 1).cast("int"), F.col("length"))
-    hits = met.where("before >= place").where((F.size(own) == F.col("length")) & (F.array_join(own, " ") == F.col("words")))
-    hits = written(hits.select("row", (F.col("at") - F.col("place")).alias("start"), "length", "words"), "window-hits")
+    met = _passing(rows, _bitmap(prefixes.select("shingle").distinct()), sizes).join(prefixes, ["k", "shingle"]).where("at >= place")
+    hits = written(_verified(rows, met.select("row", (F.col("at") - F.col("place")).alias("start"), "length", "words")), "window-hits")
     spans = hits.select("row", F.struct("start", F.col("length").cast("long").alias("length")).alias("s")).groupBy("row").agg(F.collect_set("s").alias("s"))
     named = hits.select("row", "length", "words").distinct().join(items.withColumn("words", F.col("words").cast("string")), ["length", "words"])
     named = named.groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("items"))

@@ -1,24 +1,27 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
 A clause is the words between two of . ! ? ; : and line ends.  Its words become
-symbols: INSULT, THREAT, TARGET (whom it is said to or of), NEGATION, REPORT (speech of
+symbols: INSULT, THREAT, SECOND, THIRD and SELF (persons), COPULA, NEGATION, REPORT (speech of
 others), or OTHER.  Transducers rewrite them in a cascade, each reading what the one
 before wrote:
 
+target     SECOND becomes TARGET; THIRD does so if a COPULA follows at once
 negation   within three words after a NEGATION, INSULT becomes NEGATED_INSULT, and THREAT NEGATED_THREAT
 reported   after a REPORT, INSULT becomes REPORTED_INSULT, and THREAT REPORTED_THREAT
-insult     an INSULT becomes an AIMED_INSULT if a TARGET stands within four words before it, or follows within two
-threat     a THREAT becomes an AIMED_THREAT if a TARGET follows within four words
+insult     an INSULT becomes an AIMED_INSULT if a TARGET stands within four words before it, or follows within two; SELF_INSULT if SELF is the nearer before it
+threat     a THREAT becomes an AIMED_THREAT if a TARGET or a THIRD follows within four words
 
-What follows is not known yet when a word is read, so the last two guess: one path writes the aimed symbol and owes a target,
-and ends if none comes in time; another writes the plain one.  The cascade is composed into one
-machine.  A last one, the acceptor, gives each symbol that it reads the word's weight times a factor, a larger one for a further
-aimed match in the same clause.  A clause's score is that of the best path (the largest sum), bounded; a text's
-evidence is the sum over its matched clauses.  So a word counts by the pattern that it completes: alone, negated or quoted it adds little.
+What follows is not known yet when a word is read, so three of them guess: one path writes the rewritten symbol and owes what must follow,
+and ends if it does not come in time; another writes the plain one.  The cascade is composed into one
+machine.  A last one, the acceptor, gives each aimed symbol that it reads the word's weight times a factor, a larger one for a further
+aimed match in the same clause.  All other matches (bare words, those about oneself, reported, negated) are weak: one of a clause, the heaviest, gets a factor of a few
+hundredths.  A clause's score is that of the best path (the largest sum), bounded; a text's
+evidence is the sum over its aimed clauses, and w / (1 + w) with w the sum over its weak ones.  So any number of bare words weighs less than one aimed clause.
 
 Word weights: a fixed seed list, and words and word starts learned from labels (log-odds
 of different texts with the term; a term must stand in several different contexts, so that
-copies of one text teach nothing).  A monotone table maps evidence to a
+copies of one text teach nothing).  A learned term is a THREAT if it shares more of its neighbours with the seeds of threats than with those of
+insults (as shares of the neighbours of each), else an INSULT.  A monotone table maps evidence to a
 probability; it is fitted to counts of labelled texts by evidence.  Training uses
 the labelled rows outside the held-out fold, at most about `max_labels` of them,
 chosen by a hash of the id (the documented bound of the classifier).
@@ -33,7 +36,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,14 +46,17 @@ from pyspark.sql import functions as F
 from .common import written
 from .wordhash import LOWER, Words, chunks, hash_words, mix
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
-NEGATED_INSULT, NEGATED_THREAT, REPORTED_INSULT, REPORTED_THREAT, AIMED_INSULT, AIMED_THREAT = range(6, 12)
+OTHER, INSULT, THREAT, SECOND, THIRD, SELF, COPULA, NEGATION, REPORT = range(9)
+TARGET, NEGATED_INSULT, NEGATED_THREAT, REPORTED_INSULT, REPORTED_THREAT, SELF_INSULT, AIMED_INSULT, AIMED_THREAT = range(9, 17)
 
 # Seed words by symbol.
 SEEDS = {
     INSULT: "idiot idiots moron morons loser losers scum trash stupid dumb pathetic worthless disgusting clown fool imbecile jerk garbage filth coward idiotisch dummkopf trottel abschaum imbécile crétin ordure estúpido imbécil basura",
     THREAT: "kill hurt destroy beat burn shoot stab crush murder attack töten schlagen vernichten tuer frapper détruire matar golpear destruir",
-    TARGET: "you your yours yourself u they them their he she him her dich dir du ihr euch sie toi tu vous ton ta votre tú te usted ustedes vosotros",
+    SECOND: "you your yours yourself u dich dir du ihr euch toi tu vous ton ta votre tú te usted ustedes vosotros",
+    THIRD: "they them their he she him her sie er ihnen ils elles ellos ellas",
+    SELF: "i me my myself mich mir ich je moi yo mí",
+    COPULA: "are re is am s m m bin bist sind ist seid suis es est êtes sont soy eres son sois",
     NEGATION: "not never no nobody neither nor isn aren wasn don doesn didn nicht kein keine nie niemals pas jamais aucun nunca jamás tampoco",
     REPORT: "said says say called calls wrote writes quoted claimed reported sagte sagt schrieb behauptete dit écrit déclaré dijo dice escribió afirmó",
 }
@@ -75,7 +81,7 @@ class Transducer:
 
         return Transducer((self.start, other.start), arcs, lambda state: self.accepts(state[0]) and other.accepts(state[1]))
 
-    def compiled(self, symbols: int = 6) -> tuple[list[list[list[tuple[int, float]]]], list[bool]]:
+    def compiled(self, symbols: int = 9) -> tuple[list[list[list[tuple[int, float]]]], list[bool]]:
         """Arcs by numbered state and symbol of all states that can be reached, and which of them accept."""
         numbers, todo, table = {self.start: 0}, [self.start], []
         for state in todo:  # grows while it is read
@@ -103,25 +109,38 @@ def after(opens: int, length: int | None, rewrites: dict[int, int]) -> Transduce
     return Transducer(0, arcs)
 
 
-def aimed(what: int, written: int, before: int, following: int) -> Transducer:
-    """`what` is rewritten if a TARGET stands within `before` words before it, or comes within `following` after it.
+def target() -> Transducer:
+    """Whom it is said to or of: SECOND, and THIRD with a COPULA after it; a state of 1 owes the COPULA."""
 
-    A state is (words since which a target still counts, words in which one is owed).
+    def arcs(state: int, symbol: int) -> Arcs:
+        if state and symbol != COPULA:
+            return []
+        if symbol == THIRD:
+            return [(1, TARGET, 0.0), (0, THIRD, 0.0)]
+        return [(0, {SECOND: TARGET, COPULA: OTHER}.get(symbol, symbol), 0.0)]
+
+    return Transducer(0, arcs, lambda state: not state)
+
+
+def aimed(what: int, written: int, targets: tuple[int, ...], before: int, following: int, own: int | None = None) -> Transducer:
+    """`what` is rewritten if a target stands within `before` words before it, or comes within `following` after it; as `own` if SELF is the nearer before it.
+
+    A state is (words since which a target still counts, negative for SELF; words in which one is owed).
     """
 
     def arcs(state: tuple[int, int], symbol: int) -> Arcs:
         near, owed = state
-        if symbol == TARGET:
+        if symbol in targets:
             return [((before, 0), symbol, 0.0)]
         if owed == 1:
-            owed = -1  # not in time
-        later = (max(0, near - 1), max(0, owed - 1))
-        if owed < 0:
-            return []
+            return []  # not in time
+        later = (near - 1 if near > 0 else near + 1 if near < 0 else 0, max(0, owed - 1))
+        if symbol == SELF and own is not None:
+            return [((-before, later[1]), symbol, 0.0)]
         if symbol != what:
             return [(later, symbol, 0.0)]
         if near:
-            return [(later, written, 0.0)]
+            return [(later, written if near > 0 else own, 0.0)]
         # plain, or a guess that a target follows (an older debt is due first)
         return [(later, what, 0.0), ((0, later[1] or following), written, 0.0)]
 
@@ -129,39 +148,52 @@ def aimed(what: int, written: int, before: int, following: int) -> Transducer:
 
 
 # Factors of a word's weight by the pattern that it completes.
-FACTORS = {AIMED_INSULT: 1.4, AIMED_THREAT: 1.2, INSULT: 0.7, THREAT: 0.15, REPORTED_INSULT: 0.4, REPORTED_THREAT: 0.1, NEGATED_INSULT: 0.2, NEGATED_THREAT: 0.05}
+FACTORS = {AIMED_INSULT: 1.4, AIMED_THREAT: 1.2, INSULT: 0.04, THREAT: 0.02, REPORTED_INSULT: 0.02, REPORTED_THREAT: 0.01, NEGATED_INSULT: 0.01, NEGATED_THREAT: 0.005, SELF_INSULT: 0.01}
 AGAIN = 0.2  # more for each aimed match after the first
+STRONG = 1.0  # what every aimed clause reaches, and no weak one
 
 
 def acceptor() -> Transducer:
-    """Matched patterns get factors; the state tells whether an aimed one stood before."""
-    strong = (AIMED_INSULT, AIMED_THREAT)
-    return Transducer(0, lambda state, x: [(int(state or x in strong), x, FACTORS.get(x, 0.0) + (AGAIN if state and x in strong else 0.0))])
+    """Matched patterns get factors; the state is 2 after an aimed one, 1 after the one weak match that a path counts."""
+
+    def arcs(state: int, x: int) -> Arcs:
+        if x in (AIMED_INSULT, AIMED_THREAT):
+            return [(2, x, FACTORS[x] + (AGAIN if state == 2 else 0.0))]
+        return [(state, x, 0.0), *([(1, x, FACTORS[x])] if x in FACTORS and not state else [])]
+
+    return Transducer(0, arcs)
 
 
 STAGES = (
+    target(),
     after(NEGATION, 3, {INSULT: NEGATED_INSULT, THREAT: NEGATED_THREAT}),
     after(REPORT, None, {INSULT: REPORTED_INSULT, THREAT: REPORTED_THREAT}),
-    aimed(INSULT, AIMED_INSULT, 4, 2),
-    aimed(THREAT, AIMED_THREAT, 0, 4),
+    aimed(INSULT, AIMED_INSULT, (TARGET,), 4, 2, SELF_INSULT),
+    aimed(THREAT, AIMED_THREAT, (TARGET, THIRD), 0, 4),
     acceptor(),
 )
-_TABLE, _ACCEPTS = reduce(Transducer.then, STAGES).compiled()
 CLAUSE_MOST = 12.0
 
 
+@cache
+def machine() -> tuple[list[list[list[tuple[int, float]]]], list[bool]]:
+    """The composed machine; it is made once in a process."""
+    return reduce(Transducer.then, STAGES).compiled()
+
+
 def clause_score(symbols: list[int], weights: list[float]) -> float:
     """The best path of the composed machine over one clause."""
+    table, accepts = machine()
     paths = {0: 0.0}
     for symbol, weight in zip(symbols, weights):
         grown: dict[int, float] = {}
         for state, total in paths.items():
-            for to, factor in _TABLE[state][symbol]:
+            for to, factor in table[state][symbol]:
                 score = total + factor * weight
                 if grown.get(to, -1.0) < score:
                     grown[to] = score
         paths = grown
-    return min(CLAUSE_MOST, max(total for state, total in paths.items() if _ACCEPTS[state]))
+    return min(CLAUSE_MOST, max(total for state, total in paths.items() if accepts[state]))
 
 
 _BREAK = np.zeros(256, bool)
@@ -197,8 +229,8 @@ def _contexts(w: Words) -> np.ndarray:
 class Lexicon:
     """Hash -> (symbol, weight): seeds and learned terms."""
 
-    def __init__(self, learned: dict[int, float]) -> None:
-        entries: dict[int, tuple[int, float]] = {k: (INSULT, w) for k, w in learned.items()}
+    def __init__(self, learned: dict[int, tuple[int, float]]) -> None:
+        entries: dict[int, tuple[int, float]] = dict(learned)
         for symbol, words in SEEDS.items():
             hashes = _words(pa.array([words], pa.large_string())).hashes
             for h in hashes.tolist():
@@ -226,7 +258,7 @@ class Lexicon:
         """Evidence and number of matched clauses of each text."""
         w = _words(column)
         n = len(w.bounds) - 1
-        total, clauses = np.zeros(n), np.zeros(n, np.int64)
+        total, weak, clauses = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
         if not len(w.hashes):
             return total, clauses
         symbols, weights = self.lookup(w)
@@ -239,9 +271,10 @@ class Lexicon:
         last = np.r_[first[1:], len(breaks)]
         for c in which.tolist():
             a, b = first[c], last[c]
-            total[doc[a]] += clause_score(symbols[a:b].tolist(), weights[a:b].tolist())
+            score = clause_score(symbols[a:b].tolist(), weights[a:b].tolist())
+            (total if score >= STRONG else weak)[doc[a]] += score
             clauses[doc[a]] += 1
-        return total, clauses
+        return total + weak / (1 + weak), clauses
 
 
 def _summed(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -288,8 +321,35 @@ def _count_contexts(train: DataFrame, wanted: np.ndarray) -> DataFrame:
     return rows.distinct().groupBy("term").agg(F.count("*").alias("n"))
 
 
-def learn_terms(train: DataFrame, least_share: float = 0.002, least: int = 5, least_ratio: float = 8.0) -> dict[int, float]:
-    """Terms far more common in toxic texts, with the log of that ratio (at most 8).
+def _threats(train: DataFrame, terms: list[int]) -> set[int]:
+    """The terms that share a larger part of the neighbours of threats' seeds than of insults'."""
+    seeds = {h: symbol for symbol in (INSULT, THREAT) for h in _words(pa.array([SEEDS[symbol]], pa.large_string())).hashes.tolist()}
+    wanted = np.array(sorted({*terms, *seeds}), np.uint64)
+    kinds = {INSULT: "insult", THREAT: "threat"}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in chunks(whole, "text"):
+                w = _words(b.column(0))
+                h = np.concatenate([[np.uint64(1)], w.hashes, [np.uint64(2)]])
+                for keys in _all_keys(w):
+                    at = np.flatnonzero(np.isin(keys, wanted))
+                    near = np.concatenate([mix(h[at]), h[at + 2]])  # the word before and the word after
+                    yield pa.RecordBatch.from_arrays([pa.array(np.tile(keys[at], 2).astype(np.int64)), pa.array(near.astype(np.int64))], names=["term", "near"])
+
+    met = train.where(F.col("toxic") == 1).select("text").mapInArrow(run, "term bigint, near bigint").distinct()
+    kind = F.create_map(*(F.lit(x) for h, symbol in seeds.items() for x in (int(np.uint64(h).astype(np.int64)), kinds[symbol])))
+    known = met.withColumn("kind", kind[F.col("term")]).where("kind is not null").select("kind", "near").distinct()
+    sizes = {r.kind: r.n for r in known.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    shared = met.join(known, "near").groupBy("term", "kind").agg(F.count("*").alias("n"))
+    part: dict[int, dict[str, float]] = {}
+    for r in shared.collect():  # two rows for each learned term at most
+        part.setdefault(int(np.int64(r.term).astype(np.uint64)), {})[r.kind] = r.n / sizes[r.kind]
+    return {t for t in terms if part.get(t, {}).get("threat", 0) > part.get(t, {}).get("insult", 0)}
+
+
+def learn_terms(train: DataFrame, least_share: float = 0.002, least: int = 5, least_ratio: float = 8.0) -> dict[int, tuple[int, float]]:
+    """Terms far more common in toxic texts, with their symbol and the log of that ratio (at most 8).
 
     Terms in fewer than `least_share` of the toxic texts are left out, which bounds
     their number by the terms of a text over that share.  Copies of a text count once.
@@ -307,11 +367,20 @@ def learn_terms(train: DataFrame, least_share: float = 0.002, least: int = 5, le
     ratio = {t: (n / bad) / ((clean.get(t, 0) + 0.5) / good) for t, n in often.items()}
     kept = np.array([t for t, r in ratio.items() if r >= least_ratio], np.int64).astype(np.uint64)
     varied = {r.term: r.n for r in _count_contexts(train, np.sort(kept)).collect()} if len(kept) else {}
-    return {int(np.int64(t).astype(np.uint64)): min(8.0, math.log(ratio[t])) for t, n in varied.items() if n >= max(least, 0.5 * often[t])}
+    learned = {int(np.int64(t).astype(np.uint64)): min(8.0, math.log(ratio[t])) for t, n in varied.items() if n >= max(least, 0.5 * often[t])}
+    threats = _threats(train, list(learned)) if learned else set()
+    return {t: (THREAT if t in threats else INSULT, weight) for t, weight in learned.items()}
+
+
+STEPS = 4  # bins for each unit of evidence of aimed clauses
+WEAK_STEPS = 100  # and of weak ones, which stay below 1
+BINS = 300
 
 
-STEPS = 4  # bins of evidence for each unit
-BINS = 200
+def bin_of(evidence: Column) -> Column:
+    """Bin 0 is no evidence at all."""
+    strong = 1 + WEAK_STEPS + F.floor((evidence - 1) * STEPS)
+    return F.when(evidence == 0, 0).when(evidence < 1, 1 + F.floor(evidence * WEAK_STEPS)).otherwise(F.least(strong, F.lit(BINS - 1))).cast("int")
 
 
 def fit_scores(counts: dict[int, tuple[int, int]]) -> list[float]:
@@ -353,10 +422,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train: Column, id_col: st
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(max_labels / n * (1 << 20)))
     sample = written(docs.join(F.broadcast(known), "doc_id").where("text is not null").select("doc_id", "text", "toxic"), "toxic-sample")
     lexicon = Lexicon(learn_terms(sample))
-    bin_of = F.least(F.floor(F.col("evidence") * STEPS), F.lit(BINS - 1)).cast("int")
-    counts = {r.bin: (r.pos, r.n) for r in _with_evidence(sample, lexicon, "toxic").groupBy(bin_of.alias("bin")).agg(F.sum("toxic").alias("pos"), F.count("*").alias("n")).collect()}
+    counts = {r.bin: (r.pos, r.n) for r in _with_evidence(sample, lexicon, "toxic").groupBy(bin_of(F.col("evidence")).alias("bin")).agg(F.sum("toxic").alias("pos"), F.count("*").alias("n")).collect()}
     out = _with_evidence(docs, lexicon)
     if not counts:
         return out.withColumn("score", 1 - F.exp(-F.col("evidence") / 4))
     table = F.array(*(F.lit(p) for p in fit_scores(counts)))
-    return out.withColumn("score", F.element_at(table, bin_of + 1))
+    return out.withColumn("score", F.element_at(table, bin_of(F.col("evidence")) + 1))

@@ -445,6 +445,7 @@ def test_pipeline_empty_and_long(spark, tmp_path):
 def test_hot_nodes_and_cells(spark, monkeypatch):
     """Nodes of high degree are joined apart; cells are bounded by bytes; the results stay the same."""
     monkeypatch.setattr(graph, "HOT_NODES", 3)
+    monkeypatch.setattr(graph, "LEAST_HOT", 1024)
     rng = random.Random(4)
     edges = [(10_000, i) for i in range(2000)] + [(0, 5000 + i) for i in range(1500)] + [(rng.randrange(6000, 6400), rng.randrange(6000, 6400)) for _ in range(300)] + [(7000 + i, 7001 + i) for i in range(40)]
     up = {}

@@ -9,6 +9,7 @@ import re
 import time
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from assetgraph.llm import decontaminate, language_id, license_scan, quality, queries, secret_scan, toxicity
@@ -30,11 +31,11 @@ def odd(spark):
 def test_clauses():
     t = toxicity
     plain = t.clause_score([t.OTHER, t.INSULT], [0, 3.0])
-    aimed = t.clause_score([t.TARGET, t.OTHER, t.INSULT], [0, 0, 3.0])
+    aimed = t.clause_score([t.SECOND, t.OTHER, t.INSULT], [0, 0, 3.0])
     denied = t.clause_score([t.NEGATION, t.OTHER, t.INSULT], [0, 0, 3.0])
     told = t.clause_score([t.REPORT, t.OTHER, t.OTHER, t.OTHER, t.INSULT], [0, 0, 0, 0, 3.0])
     assert denied < told < plain < aimed
-    assert t.clause_score([t.THREAT, t.TARGET], [3.0, 0]) > t.clause_score([t.THREAT, t.OTHER], [3.0, 0])
+    assert t.clause_score([t.THREAT, t.SECOND], [3.0, 0]) > t.clause_score([t.THREAT, t.OTHER], [3.0, 0])
     assert t.clause_score([t.OTHER], [0]) == 0
 
 
@@ -50,20 +51,27 @@ def test_clause_by_path_enumeration():
     """The composed machine's best path is the best of all strings that the machines write one after the other."""
     t = toxicity
     rng = random.Random(1)
-    clauses = [[rng.choice([t.OTHER, t.INSULT, t.THREAT, t.TARGET, t.NEGATION, t.REPORT, t.OTHER]) for _ in range(rng.randrange(1, 9))] for _ in range(400)]
+    clauses = [[rng.choice([t.OTHER, t.INSULT, t.THREAT, t.SECOND, t.THIRD, t.SELF, t.COPULA, t.NEGATION, t.REPORT, t.OTHER, t.INSULT]) for _ in range(rng.randrange(1, 9))] for _ in range(400)]
     for clause in clauses:
         weights = [rng.choice([1.0, 2.5, 3.0]) for _ in clause]
         strings = {tuple(clause)}
         for stage in t.STAGES[:-1]:
             strings = {out for x in strings for out, _ in written_by(stage, x)}
         want = max(sum(f * w for f, w in zip(fs, weights)) for x in strings for _, fs in written_by(t.STAGES[-1], x))
+        aimed = any(y in (t.AIMED_INSULT, t.AIMED_THREAT) for x in strings for y in x)
+        assert (t.clause_score(clause, [2.1] * len(clause)) >= t.STRONG) == aimed
         assert abs(t.clause_score(clause, weights) - min(t.CLAUSE_MOST, want)) < 1e-9
 
 
 def test_symbols_are_rewritten():
     t = toxicity
     best = lambda stage, clause: {out for out, _ in written_by(stage, clause)}
-    negation, reported, insult, threat, _ = t.STAGES
+    target, negation, reported, insult, threat, _ = t.STAGES
+    assert best(target, (t.SECOND, t.COPULA, t.INSULT)) == {(t.TARGET, t.OTHER, t.INSULT)}
+    assert best(target, (t.THIRD, t.COPULA, t.THIRD)) == {(t.TARGET, t.OTHER, t.THIRD), (t.THIRD, t.OTHER, t.THIRD)}
+    assert best(insult, (t.SELF, t.OTHER, t.INSULT)) == {(t.SELF, t.OTHER, t.SELF_INSULT)}
+    assert best(insult, (t.TARGET, t.SELF, t.INSULT)) == {(t.TARGET, t.SELF, t.SELF_INSULT)}
+    assert best(threat, (t.THREAT, t.THIRD)) == {(t.THREAT, t.THIRD), (t.AIMED_THREAT, t.THIRD)}
     assert best(negation, (t.NEGATION, t.OTHER, t.INSULT, t.OTHER, t.THREAT)) == {(t.NEGATION, t.OTHER, t.NEGATED_INSULT, t.OTHER, t.THREAT)}
     assert best(reported, (t.INSULT, t.REPORT, t.OTHER, t.OTHER, t.OTHER, t.THREAT)) == {(t.INSULT, t.REPORT, t.OTHER, t.OTHER, t.OTHER, t.REPORTED_THREAT)}
     assert best(insult, (t.TARGET, t.OTHER, t.INSULT)) == {(t.TARGET, t.OTHER, t.AIMED_INSULT)}
@@ -81,12 +89,22 @@ def test_evidence_of_texts():
     texts = [" ".join(rng.choice(some) for _ in range(rng.randrange(40))) for _ in range(60)] + [None, "", " ".join(rng.choice(some) for _ in range(100_000))]
     total, clauses = t.Lexicon({}).evidence(pa.array(texts, pa.string()))
     for text, got, n in zip(texts, total, clauses):
-        want, matched = 0.0, 0
+        want, weak, matched = 0.0, 0.0, 0
         for clause in re.split(r"[.!?;:\n\r]", text or ""):
             symbols = [words.get(w.lower(), t.OTHER) for w in re.findall(r"[A-Za-z\x80-\U0010ffff]+", clause)]
             if t.INSULT in symbols or t.THREAT in symbols:
-                want, matched = want + t.clause_score(symbols, [t.SEED_WEIGHT if s else 0.0 for s in symbols]), matched + 1
-        assert abs(got - want) < 1e-6 and n == matched
+                score, matched = t.clause_score(symbols, [t.SEED_WEIGHT if s else 0.0 for s in symbols]), matched + 1
+                want, weak = (want + score, weak) if score >= 1 else (want, weak + score)
+        assert abs(got - want - weak / (1 + weak)) < 1e-6 and n == matched
+
+
+def test_bare_words_weigh_little():
+    """Any number of bare, quoted, denied or own insults stays below one that is aimed; third persons need a copula, threats do not."""
+    e = lambda *texts: toxicity.Lexicon({}).evidence(pa.array(texts, pa.string()))[0].tolist()
+    bare = e("idiot", "idiot idiot idiot", ". ".join(["idiot"] * 500), "the idiot weed grows, a stupid weed", "I am such an idiot", "she said he is an idiot", "you are not an idiot", "kill", "they met an idiot")
+    assert all(0 < x < 1 for x in bare) and bare[0] == bare[1] < bare[2]
+    aimed = e("you are an idiot", "they are idiots", "idiot, you", "we will kill you", "we will kill them", "he is a moron")
+    assert all(x > 2 for x in aimed)
 
 
 def test_toxicity(spark, odd):
@@ -132,6 +150,33 @@ def test_toxicity_copies(spark):
     assert all((r.evidence > 0) == (r.score >= 0.5) == (r.doc_id >= 1000 or r.doc_id % 10 == 0) for r in out)
 
 
+def test_learned_classes(spark):
+    """Learned terms take the class whose seeds share their neighbours."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("bcdfg") + rng.choice("aeiou") for _ in range(3))
+    rows = []
+    for i in range(400):
+        if i % 4:
+            text = " ".join(word() for _ in range(20))
+        else:
+            one, two = rng.choice(["idiot", "zzurgo"]), rng.choice(["kill", "krazzo"])
+            text = f"{word()} {word()} such {rng.choice(['a', 'one', 'big'])} {one} {word()} {word()} will {rng.choice(['soon', 'surely', 'yet'])} {two} {word()} {word()}"
+        rows.append((text, int(i % 4 == 0)))
+    learned = toxicity.learn_terms(spark.createDataFrame(rows, "text string, toxic int"))
+    key = lambda x: int(toxicity._words(pa.array([x], pa.large_string())).hashes[0])
+    assert learned[key("zzurgo")][0] == toxicity.INSULT and learned[key("krazzo")][0] == toxicity.THREAT
+
+
+def test_bitmap_grows(spark):
+    """The bitmap is sized by the count of shingles, so few others pass; every own one does."""
+    rng = np.random.default_rng(3)
+    for n in (50, 20_000, 200_000):
+        own = rng.integers(0, 1 << 63, n)
+        bits = decontaminate._bitmap(spark.createDataFrame(pd.DataFrame({"shingle": own})))
+        others = rng.integers(0, 1 << 63, 100_000).astype(np.uint64)
+        assert decontaminate._set_in(bits, own.astype(np.uint64)).all() and decontaminate._set_in(bits, others).mean() < 0.05
+
+
 def test_fit_scores():
     p = toxicity.fit_scores({0: (1, 100), 5: (2, 4), 6: (1, 4), 9: (10, 10)})
     assert len(p) == toxicity.BINS and p == sorted(p) and p[0] < 0.05 < 0.9 < p[-1]
