@@ -620,4 +620,4 @@ def review_bundles(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("source").agg(F.count("*").alias("n_findings"), F.count_distinct("rule_id").alias("n_rules"), worst.alias("max_severity"), F.array_join(F.array_sort(F.collect_set("rule_id")), ",").alias("rules"))
 
 
-from . import diff_queries, inventory_queries, security_queries  # noqa: E402, F401  register more queries
+from . import diff_queries, graph_queries, inventory_queries, security_queries  # noqa: E402, F401  register more queries
