@@ -25,6 +25,12 @@ ASCII_TOKEN = r"[A-Za-z0-9_.\-/:@%+=]"
 FLAGS = r"\x{1F3F4}\x{E0067}\x{E0062}(?:\x{E0065}\x{E006E}\x{E0067}|\x{E0073}\x{E0063}\x{E0074}|\x{E0077}\x{E006C}\x{E0073})\x{E007F}"
 CATEGORIES = ("bidi_control", "invisible_character")
 
+# Characters that a reader does not see, by code points, taken out before identifiers are compared.
+IGNORABLE = (
+    r"[\x{0}-\x{8}\x{B}\x{C}\x{E}-\x{1F}\x{7F}-\x{9F}\x{AD}\x{34F}\x{61C}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}"
+    r"\x{3164}\x{FE00}-\x{FE0F}\x{FEFF}\x{FFA0}\x{FFF9}-\x{FFFB}\x{E0000}\x{E0001}\x{E0020}-\x{E007F}\x{E0100}-\x{E01EF}]"
+)
+
 # Lines with a literal secret, a private key, an unsafe remote command, an environment that is passed on; and what excuses them.
 SECRET_LINE = r"(?i)\b(?:password|passwd|token|api[_-]?key|secret|credential|private[_-]?key)\b\s*[:=]\s*[\"']?([A-Za-z0-9_./+=-]{8,})"
 PLACEHOLDER = r"(?i)(?:example|placeholder|your_|<[^>]+>|\$\{[^}]+})"
@@ -92,6 +98,12 @@ def hidden_count(text: Column, category: str, begins: Column | None = None) -> C
     return F.regexp_count(clean, F.lit(INVISIBLE)) + joiners + F.length(clean) - F.length(F.regexp_replace(clean, VARIATION_RUN, ""))
 
 
+def code_points(chars: Column) -> Column:
+    """U+XXXX of each character of an array."""
+    number = lambda x: F.regexp_replace(F.hex(F.encode(x, "UTF-32")), "^0+(?=.{4})", "")
+    return F.transform(chars, lambda x: F.concat(F.lit("U+"), number(x)))
+
+
 def hidden_places(lines: DataFrame) -> DataFrame:
     """lines with `content`, exploded to start (UTF-16), category and code_point of each hidden character; `line` tells whether a file begins there."""
     from .spans import match_spans, units

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import IGNORABLE, code_points
+
 
 def candidate_outcome(parsed: Column, other: Column, other_state: Column) -> Column:
     """One parsed candidate resolves, several are ambiguous; else the only other state, several of which are ambiguous, or missing."""
@@ -52,3 +54,11 @@ def grouped_view(edges: DataFrame, groups: DataFrame) -> DataFrame:
     """(from, to, n): edges between the groups(node, group) of their ends; none within a group."""
     a, b = groups.select(F.col("node").alias("src"), F.col("group").alias("from")), groups.select(F.col("node").alias("dst"), F.col("group").alias("to"))
     return edges.select("src", "dst").distinct().join(a, "src").join(b, "dst").where(F.col("from") != F.col("to")).groupBy("from", "to").agg(F.count("*").alias("n"))
+
+
+def corrupted_identifiers(keys: DataFrame, registered: DataFrame) -> DataFrame:
+    """keys(path, key, authority), registered(identifier, authority): (path, key, authority, identifier, removed) of keys that become a registered identifier once unseen characters are
+    taken out, and are not the identifier itself.  A value gains nothing by it: such a key is only reported."""
+    dirty = keys.where(F.col("key").rlike(IGNORABLE)).withColumn("identifier", F.regexp_replace("key", IGNORABLE, ""))
+    removed = code_points(F.array_distinct(F.regexp_extract_all("key", F.lit(IGNORABLE), F.lit(0))))
+    return dirty.join(registered, ["identifier", "authority"]).select("path", "key", "authority", "identifier", removed.alias("removed"))

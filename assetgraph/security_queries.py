@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions.destinations import with_destinations
 from .functions.shell import shell_tokens
-from .operators import commands, duplicates
+from .operators import commands, duplicates, inventory
 from .plans import security
 from .queries import BLANK, LINES_SQL, query, table
 
@@ -148,3 +148,29 @@ def destination_facts(spark: SparkSession, d: str) -> DataFrame:
     facts = with_destinations(lines.unionByName(pages)).select("origin", "doc_id", "line", F.posexplode(F.arrays_zip("candidates", "network", "upload")).alias("ordinal", "d"))
     c = F.col("d.candidates")
     return facts.select("origin", "doc_id", "line", "ordinal", *(c[f].alias(f) for f in ("text", "start", "kind", "transport", "host", "path")), F.col("d.network").alias("network"), F.col("d.upload").alias("upload"))
+
+
+# ---- F18
+
+FIELDS = ("network_allowed", "external_upload_allowed", "secrets_allowed", "requires_human_approval", "allowed_data", "approved_domains", "security_profile")
+UNSEEN = (0x200B, 0xAD, 0x2060, 0xFE0F, 0xFEFF, 0xE0041, 0x3164, 0x7, 0x41)  # the last one can be seen
+_FIELD_LIST = ", ".join(f"'{f}'" for f in FIELDS)
+
+
+@query(f"""
+WITH k AS (SELECT p_partkey AS id, list_extract([{_FIELD_LIST}], CAST(p_partkey % {len(FIELDS)} AS INTEGER) + 1) AS f, chr(list_extract([{", ".join(map(str, UNSEEN))}], CAST(p_partkey % {len(UNSEEN)} AS INTEGER) + 1)) AS c, p_size % 12 AS i FROM part
+), x AS (SELECT id, CASE WHEN id % 4 = 0 THEN f ELSE f[1 : i] || c || f[i + 1 :] || c END AS key, CASE WHEN id % 3 = 0 THEN 'skill' ELSE 'other' END AS authority FROM k
+), s AS (SELECT *, list_filter(string_split(key, ''), lambda ch: ord(ch) < 9 OR ord(ch) BETWEEN 127 AND 159 OR ord(ch) IN (173, 847, 1564, 12644, 65279, 65440, 917504, 917505) OR ord(ch) BETWEEN 8203 AND 8207 OR ord(ch) BETWEEN 8288 AND 8303 OR ord(ch) BETWEEN 65024 AND 65039 OR ord(ch) BETWEEN 917536 AND 917631) AS gone FROM x
+), y AS (SELECT *, array_to_string(list_filter(string_split(key, ''), lambda ch: NOT list_contains(gone, ch)), '') AS identifier FROM s WHERE len(gone) > 0)
+SELECT id, authority, identifier, array_to_string(list_transform(list_distinct(gone), lambda ch: 'U+' || CASE WHEN ord(ch) < 4096 THEN lpad(hex(ord(ch)), 4, '0') ELSE hex(ord(ch)) END), ',') AS removed
+FROM y WHERE identifier IN ({_FIELD_LIST}) AND (authority = 'skill') = (identifier <> 'security_profile')
+""")
+def identifier_integrity(spark: SparkSession, d: str) -> DataFrame:
+    """field names that are registered ones but for characters that nobody sees"""
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (F.col("p_partkey") % n).cast("int") + 1)
+    rows = table(spark, d, "part").select("p_partkey", (F.col("p_size") % 12).alias("i"), pick(FIELDS, len(FIELDS)).alias("f"), pick([chr(c) for c in UNSEEN], len(UNSEEN)).alias("c"))
+    key = F.when(F.col("p_partkey") % 4 == 0, F.col("f")).otherwise(F.concat(F.substring("f", F.lit(1), F.col("i")), "c", F.substring("f", F.col("i") + 1, F.length("f")), "c"))
+    keys = rows.select(F.col("p_partkey").alias("path"), key.alias("key"), F.when(F.col("p_partkey") % 3 == 0, "skill").otherwise("other").alias("authority"))
+    registered = spark.createDataFrame([(f, "other" if f == "security_profile" else "skill") for f in FIELDS], "identifier string, authority string")
+    found = inventory.corrupted_identifiers(keys, registered)
+    return found.select(F.col("path").alias("id"), "authority", "identifier", F.array_join("removed", ",").alias("removed"))
