@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -92,6 +93,15 @@ def refuse_clash(keep: list[str] | None, results: Iterable[str]) -> None:
         raise ValueError(f"columns to keep have names of results: {', '.join(sorted(clash))}")
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the files of shuffles that no plan needs any more.
+
+    It does so when the driver's garbage is collected, which work that shuffles much and allocates little on the driver can put off for long.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
