@@ -16,7 +16,7 @@ from .shell import shell_tokens
 from .spans import let, match_spans, units
 
 # What candidates look like, and which words tie them to an action.
-_LABEL = r"(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z](?:[a-z0-9-]{0,61}[a-z0-9])?"
+_LABEL = r"(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.){1,127}[a-z](?:[a-z0-9-]{0,61}[a-z0-9])?"
 _IPV4 = r"(?:\d{1,3}\.){3}\d{1,3}"
 URL = r"""(?i)(?:https?://|//)[^\s"'`<>{}]+"""
 SHARE = r"""\\\\[^\s"'`<>{}]+"""

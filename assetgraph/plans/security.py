@@ -71,8 +71,8 @@ ACTION = r"(?i)\b(?:console\.log|print|logger|log|dump|echo|output|cat|attach|in
 NEGATION = r"(?i)\b(?:never|do\s+not|don't|avoid|exclude|skip|omit|must\s+not|may\s+not|without)\b"
 DOUBLE_NEGATION = r"(?i)\b(?:do\s+not|don't|never)\s+(?:avoid|prevent|block|stop)\b|\b(?:no|without)\s+(?:need|requirement)\b"
 PROMPT_WORD = r"(?i)\b(?:prompt|agent context|context|tool input|request|message)\b"
-_EXECUTABLE = r"^\s*(?:(?:[-*+$%]|\d+[.)])\s+)*(?:[A-Za-z_]\w*=\S*\s+)*(?:(?:\S*/)?(?:command|env)\s+(?:-\S+\s+)*(?:[A-Za-z_]\w*=\S*\s+)*)*"
-_SUDO = r"(?:(?:\S*/)?sudo\s+(?:-[ughpCTRD]\s+\S+\s+|--(?:user|group|host|prompt|chdir|command-timeout|chroot)\s+\S+\s+|-\S+\s+)*(?:[A-Za-z_]\w*=\S*\s+)*(?:(?:\S*/)?(?:command|env)\s+(?:-\S+\s+)*(?:[A-Za-z_]\w*=\S*\s+)*)*)?"
+_EXECUTABLE = r"^\s*(?:(?:[-*+$%]|\d+[.)])\s+)*+(?:[A-Za-z_]\w*=\S*\s+)*+(?:(?:\S*/)?(?:command|env)\s+(?:-\S+\s+)*+(?:[A-Za-z_]\w*=\S*\s+)*+)*+"
+_SUDO = r"(?:(?:\S*/)?sudo\s+(?:-[ughpCTRD]\s+\S+\s+|--(?:user|group|host|prompt|chdir|command-timeout|chroot)\s+\S+\s+|-\S+\s+)*+(?:[A-Za-z_]\w*=\S*\s+)*+(?:(?:\S*/)?(?:command|env)\s+(?:-\S+\s+)*+(?:[A-Za-z_]\w*=\S*\s+)*+)*+)?"
 MAY_CONCERN = "|".join(x.removeprefix("(?i)") for x in (COMMAND_LIKE, PRIVILEGED, DESTRUCTIVE, TEMP, DISCLOSES, OVERBROAD, NO_REDACTION, UNREDACTED, CLOUD, CREDENTIAL_ANY, r"\b(?:https?:|get|put|sync|fetch|download|attach|Authorization)\b|//|\\\\|\.[a-z]|id_|secret|credential|service-account|kubeconfig|_PATH"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.destinations import with_destinations
+from .functions.markdown_view import line_of, masked_view
 from .functions.shell import shell_tokens
 from .operators import commands, duplicates, inventory
 from .plans import security
@@ -174,3 +175,22 @@ def identifier_integrity(spark: SparkSession, d: str) -> DataFrame:
     registered = spark.createDataFrame([(f, "other" if f == "security_profile" else "skill") for f in FIELDS], "identifier string, authority string")
     found = inventory.corrupted_identifiers(keys, registered)
     return found.select(F.col("path").alias("id"), "authority", "identifier", F.array_join("removed", ",").alias("removed"))
+
+
+# ---- F21
+
+MARKDOWN = (
+    "concat('# ', c_name, '\\n\\nRun `tool ', c_nationkey, '` now.\\n\\n```sh\\nrm -rf ', lower(c_mktsegment), '\\n```\\n')",
+    "concat('See [', c_name, '](https://x.example/', c_custkey, ') <!-- hidden ', c_mktsegment, ' --> and <https://y.example/', c_nationkey, '>')",
+    "concat('~~~\\n', c_name, '\\n~~~\\n``a ` b`` ', c_mktsegment, '\\n<!-- open')",
+)
+
+
+@query()
+def markdown_masks(spark: SparkSession, d: str) -> DataFrame:
+    """what the view of Markdown blanks, in texts made of customers, in documents and in pages"""
+    made = F.expr(f"CASE c_custkey % {len(MARKDOWN)} {' '.join(f'WHEN {i} THEN {t}' for i, t in enumerate(MARKDOWN))} END")
+    rows = table(spark, d, "customer").select(F.lit("customer").alias("origin"), F.col("c_custkey").alias("id"), made.alias("text"))
+    rows = rows.unionByName(table(spark, d, "documents").select(F.lit("document").alias("origin"), F.col("doc_id").alias("id"), "text")).unionByName(table(spark, d, "pages").select(F.lit("page").alias("origin"), F.col("page_id").alias("id"), F.col("html").alias("text")))
+    seen = rows.withColumn("m", masked_view(F.col("text"))).select("origin", "id", "text", F.sha2("m.view", 256).alias("view_hash"), F.explode("m.spans").alias("s"))
+    return seen.select("origin", "id", "s.kind", "s.start", F.col("s.end").alias("stop"), line_of(F.col("text"), F.col("s.start")).alias("line"), "view_hash")

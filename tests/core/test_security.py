@@ -97,6 +97,8 @@ RULE_CASES = [
     ("plain prose without anything", set()),
     ("", set()),
     (None, set()),
+    ("- " * 20_000 + "ls || true", set()),
+    ("a." * 20_000 + "b", set()),
 ]
 
 
