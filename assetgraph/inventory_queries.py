@@ -93,7 +93,7 @@ SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(count(*) FILTER (n_chars > 5000)
   CAST(count(DISTINCT source) AS BIGINT) AS n_sources, CAST(count(*) FILTER (text LIKE '%http%') AS BIGINT) AS n_links, CAST(count(*) FILTER (text LIKE '%@%') AS BIGINT) AS n_at, CAST(count(*) FILTER (n_chars <> length(text)) AS BIGINT) AS n_length_differs FROM documents
 """)
 def inventory_summary(spark: SparkSession, d: str) -> DataFrame:
-    """Many conditional counts in one pass"""
+    """Many conditional counts in one pass"""
     counts = {"n_long": F.col("n_chars") > 5000, "n_short": F.col("n_chars") < 100, "n_en": F.col("lang") == "en", "n_no_lang": F.col("lang").isNull(), "n_links": F.col("text").contains("http"), "n_at": F.col("text").contains("@"), "n_length_differs": F.col("n_chars") != F.length("text")}
     return table(spark, d, "documents").agg(F.count("*").alias("n_docs"), F.count_distinct("source").alias("n_sources"), *(F.count_if(c).alias(n) for n, c in counts.items()))
 
@@ -126,7 +126,7 @@ def required_metadata(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {EDGES_SQL} SELECT src, string_agg('  n' || src || CASE WHEN req THEN ' --> n' ELSE ' -.-> n' END || dst, chr(10) ORDER BY dst, CASE WHEN req THEN ' --> n' ELSE ' -.-> n' END) AS text FROM e GROUP BY src""")
 def graph_text(spark: SparkSession, d: str) -> DataFrame:
-    """K4, K3"""
+    """K4"""
     return inventory.mermaid_edges(part_edges(spark, d))
 
 
@@ -134,7 +134,7 @@ def graph_text(spark: SparkSession, d: str) -> DataFrame:
 WITH {EDGES_SQL} SELECT a.p_brand AS "from", b.p_brand AS "to", CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT src, dst FROM e) JOIN part a ON a.p_partkey = src JOIN part b ON b.p_partkey = dst WHERE a.p_brand <> b.p_brand GROUP BY 1, 2
 """)
 def graph_summary_view(spark: SparkSession, d: str) -> DataFrame:
-    """P18, G15, U6"""
+    """P18, U6"""
     return inventory.grouped_view(part_edges(spark, d), table(spark, d, "part").select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("group")))
 
 
@@ -151,7 +151,7 @@ WITH f AS ({FINDINGS_SQL}), a AS (SELECT DISTINCT doc_id || ':' || rule_id || ':
 SELECT k, 'added' AS change, '' AS fields FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT k, 'removed', '' FROM (SELECT * FROM a EXCEPT SELECT * FROM b)
 """)
 def finding_diff(spark: SparkSession, d: str) -> DataFrame:
-    """D3, D5"""
+    """D3"""
     k = F.concat_ws(":", F.col("doc_id").cast("string"), "rule_id", F.col("line").cast("string")).alias("k")
     rows = line_findings(table(spark, d, "documents"))
     return diff.keyed_diff(rows.where("doc_id % 3 <> 0").select(k).distinct(), rows.where("doc_id % 4 <> 0").select(k).distinct(), "k", [])

@@ -250,7 +250,7 @@ def repeated_context_report(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT p_partkey, p_name, members FROM (SELECT p_partkey, p_name, CAST(count(*) OVER (PARTITION BY p_name) AS BIGINT) AS members FROM part WHERE p_name IS NOT NULL) WHERE members > 1")
 def duplicate_keys(spark: SparkSession, d: str) -> DataFrame:
-    """A12, A13, A14"""
+    """A12"""
     return duplicates.duplicate_members(table(spark, d, "part").select("p_partkey", "p_name"), "p_name").select("p_partkey", "p_name", "members")
 
 
@@ -441,7 +441,7 @@ WITH RECURSIVE {EDGES_SQL}, s AS (SELECT DISTINCT src AS source FROM e
 SELECT source, node, CAST(min(depth) AS INTEGER) AS depth FROM reach GROUP BY source, node
 """)
 def multi_source_reachability(spark: SparkSession, d: str) -> DataFrame:
-    """G5, G7, G8"""
+    """G8"""
     edges = part_edges(spark, d)
     return graph.reachability(edges, edges.select(F.col("src").alias("source")).distinct())
 
@@ -477,7 +477,7 @@ SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN a.o_orderke
 FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey WHERE a.o_orderkey IS NULL OR b.o_orderkey IS NULL OR a.o_orderstatus IS DISTINCT FROM b.o_orderstatus OR a.o_orderpriority IS DISTINCT FROM b.o_orderpriority
 """)
 def snapshot_diff(spark: SparkSession, d: str) -> DataFrame:
-    """D1, D2, D3, D4, J15, U3"""
+    """D1, J15, U3"""
     orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
     old = orders.where("o_orderkey % 10 <> 0")
     status = F.when(F.col("o_orderkey") % 7 == 0, "X").otherwise(F.col("o_orderstatus"))
@@ -524,7 +524,7 @@ SELECT c_custkey, coalesce(local, profile, repository) AS network_allowed, CASE
   FROM customer JOIN nation ON c_nationkey = n_nationkey)
 """)
 def effective_policy(spark: SparkSession, d: str) -> DataFrame:
-    """R1, R2, H4"""
+    """R1"""
     rows = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     local = F.when(F.col("c_acctbal") < 0, F.lit(False)).when(F.col("c_acctbal") > 8000, F.lit(True))
     profile = F.when(F.col("n_nationkey") % 4 == 0, F.lit(False)).when(F.col("n_nationkey") % 4 == 1, F.lit(True))
@@ -577,7 +577,7 @@ SELECT n_regionkey, ['pass', 'warn', 'fail'][max(CASE WHEN m = 0 OR mode = 'off'
 ) GROUP BY n_regionkey
 """)
 def gate_status(spark: SparkSession, d: str) -> DataFrame:
-    """A21, A22, D10, D11"""
+    """A21, A22"""
     rows = readiness_rows(spark, d).join(table(spark, d, "nation").select("n_nationkey", "n_regionkey"), "n_nationkey")
     first = F.element_at(F.array(F.lit("off"), F.lit("warn"), F.lit("fail")), (F.col("n_nationkey") % 3 + 1).cast("int"))
     second = F.when(F.col("n_regionkey") == 4, "fail").when(F.col("n_regionkey") % 2 == 1, "warn").otherwise("off")
@@ -591,7 +591,7 @@ SELECT t.kind, CAST(coalesce(n, 0) AS BIGINT) AS n FROM (SELECT unnest(['asset',
 ) c USING (kind)
 """)
 def trust_graph_summary(spark: SparkSession, d: str) -> DataFrame:
-    """G14, A8, K1"""
+    """A8"""
     customer, nation = table(spark, d, "customer"), table(spark, d, "nation")
     named = lambda rows, kind: rows.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n")
     parts = [named(customer, "asset"), named(nation, "owner"), named(customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")), "owned_by"), named(table(spark, d, "orders").select("o_custkey", "o_orderpriority").distinct(), "references")]
