@@ -16,7 +16,8 @@ than `z` deviations above the limit's share are given up and never come back.  S
 exactly, in double precision on the original vectors.
 
 Lists are gathered into cells of about `cell_rows` vectors, one task each; a list that is longer is
-dealt over several cells.  A query goes to a cell once, whatever number of its lists are there.
+dealt over several cells.  A query goes to a cell once, whatever number of its lists are there; where there are more than `query_rows` queries,
+they are dealt over parts, and a task takes one part of a cell's queries.
 Equal vectors form a class and are scanned once; a class knows its `k` + 1 smallest ids,
 which is all that any result can hold of it.  So neither one very common vector nor one large list meets in one task.
 
@@ -128,7 +129,7 @@ def usable(v: Column) -> Column:
 def search(vectors: DataFrame, is_query: Callable[[Column], Column], k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", **options) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found for each row for which is_query(id column) holds.
 
-    Options: lists, probes (both chosen if not given), sample, recall, ahead, block, z, cell_rows.
+    Options: lists, probes (both chosen if not given), sample, recall, ahead, block, z, cell_rows, query_rows.
     """
     raw = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vector_col].cast("array<double>").alias("v"))
     good = raw.where("vec_id is not null").where(usable(F.col("v")))
@@ -143,7 +144,7 @@ def search(vectors: DataFrame, is_query: Callable[[Column], Column], k: int = 20
     return out
 
 
-def _search(held: DataFrame, dims: int, norm: float, is_query: Callable[[Column], Column], k: int, lists: int | None = None, probes: int | None = None, sample: int = 20_000, recall: float = 0.95, ahead: int = 4, block: int = 16, z: float = 2.0, cell_rows: int = 16_384) -> DataFrame:
+def _search(held: DataFrame, dims: int, norm: float, is_query: Callable[[Column], Column], k: int, lists: int | None = None, probes: int | None = None, sample: int = 20_000, recall: float = 0.95, ahead: int = 4, block: int = 16, z: float = 2.0, cell_rows: int = 16_384, query_rows: int = 16_384) -> DataFrame:
     """search among vectors of one length; norm: the largest squared length."""
     spark = held.sparkSession
     place_in = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
@@ -153,7 +154,7 @@ def _search(held: DataFrame, dims: int, norm: float, is_query: Callable[[Column]
     asked_ids = held.where(is_query(F.col("vec_id"))).select(F.col("vec_id").alias("query_id"), "v")
     queries = written(asked_ids.join(classes, "v").select("query_id", F.col("class").alias("qclass")), "ann-queries")
     asked = queries.select(F.col("qclass").alias("class")).distinct().join(classes, "class")
-    n = classes.count()
+    n, parts = classes.count(), max(1, -(-asked.count() // query_rows))  # no cell is asked by more than all
     share = F.pmod(F.xxhash64(F.lit("fit"), "class"), F.lit(1 << 20)) < int(min(1.0, sample / n) * (1 << 20))
     fitted = classes.where(share).select("v").collect() or classes.select("v").limit(1).collect()
     turn = rotation(dims + 1)
@@ -254,7 +255,10 @@ def _search(held: DataFrame, dims: int, norm: float, is_query: Callable[[Column]
 
     def scanned(asking: DataFrame, lo: int, hi: int) -> DataFrame:
         sent = asking.mapInArrow(send(lo, hi), "class bigint, v array<double>, limit double, cell bigint, lists array<int>")
-        return sent.groupBy("cell").cogroup(rows.groupBy("cell")).applyInArrow(scan, "qclass bigint, class bigint, score double")
+        # a cell's queries are dealt over parts, each of which meets the cell's rows in a task of its own
+        dealt = sent.withColumn("part", F.pmod(F.xxhash64("class"), F.lit(parts)))
+        met = rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))) if parts > 1 else rows.withColumn("part", F.lit(0).cast("long"))
+        return dealt.groupBy("cell", "part").cogroup(met.groupBy("cell", "part")).applyInArrow(scan, "qclass bigint, class bigint, score double")
 
     def best(found: DataFrame) -> DataFrame:
         # ties at the edge of the classes kept can hold smaller ids, so all that tie stay

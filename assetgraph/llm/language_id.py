@@ -9,7 +9,8 @@ to the language of largest cosine.
 
 Prototypes are fitted on training rows with text and language.  Each language
 contributes a sample of about `sample_per_lang` rows, chosen by a hash of the id
-(a documented bound for a classifier); all texts are predicted, each as a whole.
+(a documented bound for a classifier), and the `max_langs` languages of most rows are learned, so dirty labels fill
+neither the driver nor the tasks; all texts are predicted, each as a whole.
 
 Text is lower-cased; runs of non-letters count as one gap.  A text without any
 letter, or null, gives `und` with score 0.  Ties go to the language first in
@@ -32,6 +33,7 @@ from .wordhash import chunks, mix
 
 DIMENSIONS = 512
 N = 3
+MOST_LANGS = 4096
 _BLOCK = 1 << 18  # letters handled at once
 
 
@@ -171,11 +173,12 @@ class Bundler:
         return out
 
 
-def fit_prototypes(docs: DataFrame, sample_per_lang: int, n: int, dims: int) -> tuple[list[str], np.ndarray]:
+def fit_prototypes(docs: DataFrame, sample_per_lang: int, n: int, dims: int, max_langs: int = MOST_LANGS) -> tuple[list[str], np.ndarray]:
     """Languages in code-point order and their prototypes; docs: doc_id, text, lang of training rows."""
     docs = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    # a written table: its size is known, so it is sent to the tasks only where it is small
-    share = written(docs.groupBy("lang").agg(F.least(F.lit(1.0), sample_per_lang / F.count("*")).alias("share")), "language-shares")
+    # a written table of max_langs rows at most, which is sent to the tasks
+    counts = docs.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs)
+    share = written(counts.select("lang", F.least(F.lit(1.0), sample_per_lang / F.col("n")).alias("share")), "language-shares")
     sampled = docs.join(share, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20) < F.col("share"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,9 +194,8 @@ def fit_prototypes(docs: DataFrame, sample_per_lang: int, n: int, dims: int) ->
 
     parts = sampled.select("text", "lang").mapInArrow(run, "lang string, at array<int>, v array<bigint>")
     total = parts.select("lang", F.explode(F.arrays_zip("at", "v")).alias("x")).groupBy("lang", "x.at").agg(F.sum("x.v").alias("v"))
-    rows: dict[str, np.ndarray] = {}
-    for r in total.collect():  # languages times dimensions
-        rows.setdefault(r.lang, np.zeros(dims))[r["at"]] = r.v
+    whole = total.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("at", "v"))).alias("x")).select("lang", "x.v")
+    rows = {r.lang: np.array(r.v, np.float64) for r in whole.toLocalIterator()}  # max_langs vectors at most
     langs = sorted(lang for lang, v in rows.items() if np.linalg.norm(v) > 0)
     return langs, np.array([rows[x] / np.linalg.norm(rows[x]) for x in langs]).reshape(len(langs), dims)
 
@@ -220,11 +222,11 @@ def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray, n: int, d
     return docs.mapInArrow(run, schema)
 
 
-def identify_language(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None, sample_per_lang: int = 4000, n: int = N, dims: int = DIMENSIONS) -> DataFrame:
+def identify_language(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None, sample_per_lang: int = 4000, n: int = N, dims: int = DIMENSIONS, max_langs: int = MOST_LANGS) -> DataFrame:
     """Learn from the rows where `train` holds; predict all rows: doc_id (or the columns to keep), lang_pred, score."""
     refuse_clash(keep, ("lang_pred", "score"))
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"), train.alias("train"))
-    langs, prototypes = fit_prototypes(rows.where("train"), sample_per_lang, n, dims)
+    langs, prototypes = fit_prototypes(rows.where("train"), sample_per_lang, n, dims, max_langs)
     if keep is not None:
         own = docs.select(*(docs[c].alias(f"_{i}") for i, c in enumerate(keep)), docs[text_col].cast("string").alias("text"))
         out = predict(own, langs, prototypes, n, dims)

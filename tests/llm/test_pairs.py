@@ -254,7 +254,7 @@ def test_vectors(spark):
     assert hit >= 0.9 * total
     # all lists, no test that can err: exact
     exact: dict[int, list] = {}
-    for r in ann_search.search(df, lambda v: F.pmod(v, F.lit(20)) == 0, cell_rows=90, lists=20, probes=20, z=1e9).orderBy("query_id", "rank").collect():
+    for r in ann_search.search(df, lambda v: F.pmod(v, F.lit(20)) == 0, cell_rows=90, query_rows=7, lists=20, probes=20, z=1e9).orderBy("query_id", "rank").collect():
         exact.setdefault(r.query_id, []).append(r.vec_id)
     assert exact == {q: [i for _, i in w[:20]] for q, w in want.items() if w}
     few = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 1.0])], "vec_id long, embedding array<float>")

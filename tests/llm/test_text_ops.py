@@ -422,6 +422,14 @@ def test_language_cosine(spark):
     assert language_id.identify_language(docs.where("false"), F.lit(True)).count() == 0
 
 
+def test_dirty_labels(spark):
+    """Of very many languages the commonest are learned, whatever the others are."""
+    rows = spark.range(60_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "the cat and the dog").when(F.col("id") % 3 == 1, "der hund und die katze").otherwise(F.concat(F.lit("zz"), "id")).alias("text"), F.when(F.col("id") % 3 == 0, "en").when(F.col("id") % 3 == 1, "de").otherwise(F.concat(F.lit("x"), "id")).alias("lang"))
+    out = language_id.identify_language(rows, F.col("doc_id") >= 6, max_langs=40)
+    assert {r.doc_id: r.lang_pred for r in out.where("doc_id < 6 and doc_id % 3 <> 2").collect()} == {0: "en", 1: "de", 3: "en", 4: "de"}
+    assert out.select("lang_pred").distinct().count() <= 40
+
+
 def test_quality_brute_force(spark):
     """Weights from plain counts of hashed n-grams, and Gumbel keys from the same uniform numbers."""
     rng = random.Random(3)
