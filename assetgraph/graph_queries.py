@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import path_of
-from .operators import boundaries, reach
+from .operators import boundaries, reach, repeats
 from .queries import EDGES_SQL, part_edges, query, table
 
 _OWNERS = "p_size % 10 = 0"
@@ -113,3 +113,41 @@ def trusted_suppressions(spark: SparkSession, d: str) -> DataFrame:
     before = part.select(F.col("p_brand").alias("id"), "path", F.col("p_name").alias("reason"), F.when(F.col("p_partkey") % 5 == 0, "never").otherwise(day("1999-01-01", 400)).alias("expires"))
     after = part.where("p_partkey % 4 <> 0").select(F.col("p_brand").alias("id"), "path", F.col("p_name").alias("reason"), F.when(F.col("p_partkey") % 3 != 0, day("1999-03-01", 300)).alias("expires"))
     return boundaries.trusted_suppressions(before, after, "1999-06-30")
+
+
+# Handbooks made of customers: a section and a code block for each segment and nation, headings that come back, and generic ones.
+_BODY = "concat('The ', lower(c_mktsegment), ' team of nation ', c_nationkey, ' reviews every order before it is shipped and records who approved it, when it was approved, which supplier was asked, and what the customer was told about the delivery, the price and the terms of the contract.')"
+HANDBOOK = (
+    f"concat('# Handbook of ', c_name, chr(10), chr(10), '## How the ', lower(c_mktsegment), ' team works #', chr(10), {_BODY}, chr(10), chr(10), '## Usage', chr(10), '```sh', chr(10), 'run --nation ', c_nationkey % 5, ' --segment ', lower(c_mktsegment), ' --output reports/summary.json --verbose --retries 3 --timeout 60', chr(10), '```', chr(10), '### Details', chr(10), 'n', c_custkey)"
+)
+_HEAD = r"^ {0,3}#{1,6}([ \t]|$)"
+_TOKENS = r"len(regexp_extract_all({0}, '[\p{{L}}\p{{N}}_][\p{{L}}\p{{N}}_./:+\-=]*|[^\s\p{{L}}\p{{N}}_]{{1,3}}'))"
+_PARTS_SQL = rf"""
+WITH d AS (SELECT CAST(c_custkey AS VARCHAR) AS path, string_split({HANDBOOK}, chr(10)) AS x FROM customer
+), l AS (SELECT path, x, unnest(range(1, len(x) + 1)) AS i FROM d
+), f AS (SELECT path, x, list_filter(range(1, len(x) + 1), lambda i: x[i] LIKE '```%') AS marks FROM d
+), h AS (SELECT l.path, l.x, i, length(regexp_extract(x[i], '^ *(#+)', 1)) AS depth FROM l WHERE regexp_matches(x[i], '{_HEAD}')
+), s AS (SELECT h.path, h.x, h.i AS a, coalesce((SELECT min(o.i) FROM h o WHERE o.path = h.path AND o.i > h.i AND o.depth <= h.depth) - 1, len(h.x)) AS b FROM h
+), t AS (SELECT path, a, b, trim(regexp_replace(array_to_string(x[a : b], chr(10)), '\s+', ' ', 'g')) AS normal, lower(regexp_replace(regexp_replace(trim(regexp_replace(x[a], '\s+', ' ', 'g')), '^#+\s*', ''), '\s+#+$', '')) AS title FROM s
+), c AS (SELECT path, marks[1] AS a, marks[2] AS b, trim(regexp_replace(array_to_string(x[marks[1] + 1 : marks[2] - 1], chr(10)), '\s+', ' ', 'g')) AS normal FROM f
+), p AS (
+  SELECT 'section_hash' AS kind, sha256(normal) AS key, path, a FROM t WHERE length(normal) >= 240 AND {_TOKENS.format("normal")} >= 40
+  UNION ALL SELECT 'heading', title, path, a FROM t WHERE length(title) >= 24 AND {_TOKENS.format("title")} >= 3
+  UNION ALL SELECT 'code_block', sha256('sh' || chr(10) || normal), path, a FROM c WHERE length(normal) >= 80 AND {_TOKENS.format("normal")} >= 10
+), g AS (SELECT kind, key, count(DISTINCT path) AS n_docs, count(*) AS n, min({{'p': path, 'a': a}}) AS f FROM p GROUP BY kind, key HAVING count(DISTINCT path) >= CASE kind WHEN 'heading' THEN 3 ELSE 2 END)"""
+
+
+@query(f"{_PARTS_SQL} SELECT kind, key, CAST(n_docs AS BIGINT) AS n_docs, CAST(n AS BIGINT) AS n, f.p AS path, CAST(f.a AS INTEGER) AS start_line FROM g")
+def repeated_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Sections, headings and code blocks that come back"""
+    docs = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.expr(HANDBOOK).alias("text"))
+    return repeats.repeated_parts(repeats.document_parts(docs, "id", "text")).drop("label")
+
+
+@query(f"""{_PARTS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY n_docs DESC, n DESC, CASE kind WHEN 'section_hash' THEN 'section hash ' || key[1:12] WHEN 'code_block' THEN 'sh code block ' || key[1:12] ELSE key END, key) AS rank FROM g)
+SELECT kind, key, CAST(n_docs AS BIGINT) AS n_docs, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10
+""")
+def repeated_parts_report(spark: SparkSession, d: str) -> DataFrame:
+    """The ten largest groups of each kind"""
+    docs = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.expr(HANDBOOK).alias("text"))
+    return repeats.capped(repeats.repeated_parts(repeats.document_parts(docs, "id", "text"))).select("kind", "key", "n_docs", "rank")
