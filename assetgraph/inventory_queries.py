@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.commands import helper_script, name_problem, script_share, selector_kind
+from .functions.paths import classify_path
 from .functions.text import path_of
 from .operators import diff, duplicates, graph, inventory
 from .plans.posture import line_findings
@@ -218,3 +219,36 @@ def ranked_kinds(spark: SparkSession, d: str) -> DataFrame:
 
     rank = F.coalesce(rank_of(F.col("p_type"), ("PROMO", "ECONOMY", "STANDARD")), F.lit(9))
     return windows.top_per_group(table(spark, d, "part").select("p_brand", "p_type", "p_partkey"), ["p_brand"], [rank.asc(), F.asc("p_partkey")], 2)
+
+
+# Paths made of parts, by key: roots, support folders at each depth, escapes and lookalikes.
+PATHS = (
+    "concat('skills/', a, '/SKILL.md')", "concat('.agents\\\\skills/', a, '/./', b, '//SKILL.md')", "concat('skills/', a, '/references/', b, '.md')", "concat('.agents/skills/', a, '/', b, '/scripts/run.sh')",
+    "concat('skills/profiles/', a, '.md')", "concat('skills/scripts/', a)", "concat('skills/', a, '/tools/', b)", "concat('skills/', a, '/', b, '.md')", "concat('skills/SKILL.md')", "concat('contexts/', a, '/references/', b)",
+    "concat('context/', a)", "concat('lenses/', a, '.md')", "'AGENTS.md'", "concat('.agents/', a, '.md')", "concat('tools/', a, '/assetgraph.config.json')", "concat(a, '/assetgraph.config.jsonc')",
+    "concat('docs/', a, '/profiles/', b, '/examples/x.md')", "concat('docs/examples/', a)", "concat('examples/', a)", "concat('../', a)", "concat('/skills/', a, '/SKILL.md')", "concat('C:/', a)", "concat('skills/', a, '/assets/references/', b)", "'./'",
+)
+_PATH_ROWS = f"SELECT p_partkey, CASE p_partkey % {len(PATHS)} {' '.join(f'WHEN {i} THEN {p}' for i, p in enumerate(PATHS))} END AS path, p_size FROM (SELECT p_partkey, p_size, replace(p_name, ' ', '-') AS a, lower(p_brand) AS b FROM part)"
+_RESERVED = "(assets|examples|profiles|references|scripts)"
+
+
+@query(rf"""
+WITH r AS ({_PATH_ROWS.replace(chr(92) * 2, chr(92))}
+), n AS (SELECT p_partkey, p_size, path, replace(path, '\', '/') AS q FROM r
+), p AS (SELECT p_partkey, p_size, CASE WHEN starts_with(q, '/') OR regexp_matches(q, '^[A-Za-z]:/') OR list_contains(string_split(q, '/'), '..') THEN NULL ELSE nullif(array_to_string(list_filter(string_split(q, '/'), lambda s: s NOT IN ('', '.')), '/'), '') END AS p FROM n
+), l AS (SELECT *, nullif(regexp_extract(p, '^(\.agents/skills|skills)(/|$)', 1), '') AS root, regexp_replace(p, '^(\.agents/skills|skills)/?', '') AS local FROM p
+), a AS (SELECT *, regexp_extract('/' || local || '/', '^(.*?)/{_RESERVED}/', 1) AS before, nullif(regexp_extract('/' || local || '/', '^.*?/{_RESERVED}/', 1), '') AS folder FROM l)
+SELECT p_partkey, kind, CASE WHEN p IS NULL THEN 'unknown' ELSE scope END AS scope, rule FROM (SELECT *, CASE
+  WHEN p IS NULL THEN 'unknown' WHEN root IS NOT NULL AND folder IS NULL AND regexp_matches(local, '^.+/SKILL\.md$') THEN 'skill-entrypoint' WHEN root IS NOT NULL AND folder IS NOT NULL AND before <> '' THEN 'skill-local-support'
+  WHEN root IS NOT NULL AND folder IN ('profiles', 'references', 'examples') THEN 'generic-' || folder[1 : -2] WHEN root IS NOT NULL AND (folder IS NOT NULL OR list_contains(string_split(local, '/'), 'tools')) THEN 'unknown'
+  WHEN regexp_matches(p, '^context(/|$)') THEN 'unknown' WHEN regexp_matches(p, '^contexts(/|$)') THEN 'context-root' WHEN regexp_matches(p, '^lenses(/|$)') THEN 'lens-root' WHEN p = 'AGENTS.md' OR regexp_matches(p, '^\.agents(/|$)') THEN 'agent-root'
+  WHEN regexp_matches(p, '^tools(/|$)') THEN 'repository-tool' WHEN regexp_matches(p, '(^|/)assetgraph\.config\.jsonc?$') THEN 'config-file' WHEN regexp_matches(p, '^[^/]+/(.*/)?profiles/') THEN 'generic-profile'
+  WHEN regexp_matches(p, '^[^/]+/(.*/)?references/') THEN 'generic-reference' WHEN regexp_matches(p, '^[^/]+/(.*/)?examples/') THEN 'generic-example' ELSE 'unknown' END AS rule,
+  CASE rule WHEN 'skill-entrypoint' THEN 'skill' WHEN 'skill-local-support' THEN folder[1 : -2] WHEN 'context-root' THEN CASE WHEN p_size % 3 = 0 THEN 'context_lens' ELSE 'context' END WHEN 'lens-root' THEN 'context_lens' WHEN 'agent-root' THEN 'agent' WHEN 'config-file' THEN 'config' WHEN 'generic-profile' THEN 'profile' WHEN 'generic-reference' THEN 'reference' WHEN 'generic-example' THEN 'example' ELSE 'unknown' END AS kind,
+  CASE WHEN rule IN ('skill-entrypoint', 'context-root', 'lens-root', 'agent-root') THEN 'independent' WHEN rule = 'skill-local-support' THEN 'skill-local' WHEN rule IN ('repository-tool', 'config-file') OR (root IS NOT NULL AND folder IS NULL AND list_contains(string_split(local, '/'), 'tools')) THEN 'repository-support' ELSE 'unknown' END AS scope FROM a)
+""")
+def asset_path_rules(spark: SparkSession, d: str) -> DataFrame:
+    """The kind, scope and rule of each path"""
+    rows = spark.sql(_PATH_ROWS.replace("FROM part)", "FROM {part})"), part=table(spark, d, "part"))
+    kind = F.when(F.col("p_size") % 3 == 0, "context_lens")
+    return rows.select("p_partkey", classify_path(F.col("path"), kind).alias("c")).select("p_partkey", "c.kind", "c.scope", "c.rule")
