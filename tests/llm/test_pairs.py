@@ -499,3 +499,47 @@ def test_rows_decide_for_themselves(spark, tmp_path):
     left = stages["near_dups"](spark, frame(rows), str(tmp_path))
     assert left.columns == ["doc_id", "text", "lang", "source"]
     assert sorted(((r.doc_id, r.text, r.source) for r in left.collect()), key=repr) == sorted([(4, one, "a"), (3, two, "b"), (None, three, "a")], key=repr)
+
+
+def test_written_frees_shuffles(spark):
+    """What a written table's plan shuffled is gone when it is written, and the session's settings are as before."""
+    from assetgraph.llm import common
+
+    manager = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def files() -> set[str]:
+        found = manager.getAllFiles()
+        return {f for i in range(found.size()) if (f := found.apply(i).getName()).startswith("shuffle_")}
+
+    before = files()
+    df = spark.range(5000).selectExpr("id % 100 as k", "id").groupBy("k").count()
+    one, two = common.written(df, "shuffled"), common.written_by(df, "shuffled", "k", 3)
+    assert files() <= before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    assert one.count() == two.count() == 100
+    with common.settings(spark, {"spark.sql.test.a": "1"}):
+        with common.settings(spark, {"spark.sql.test.a": "1"}):
+            pass
+        assert spark.conf.get("spark.sql.test.a") == "1"
+    assert spark.conf.get("spark.sql.test.a", None) is None
+
+
+def test_batches_bounded_by_bytes(spark):
+    """Python workers of the similarity join are given batches of bounded bytes, not of 10,000 rows."""
+    import pyarrow as pa
+
+    from assetgraph.llm import common
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+
+    docs = spark.range(0, 3000, 1, 1).selectExpr("repeat('some words ', 100) as text")
+    n = [r.n for r in common.written(docs.mapInArrow(run, "n long"), "batches", batch_bytes=1 << 17).collect()]
+    assert sum(n) == 3000 and max(n) <= 150
+    asked = []
+    real = jaccard_join.written
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(jaccard_join, "written", lambda df, name, **kw: asked.append((name, kw.get("batch_bytes"))) or real(df, name, **kw))
+        jaccard_join.jaccard_components(spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f g")], "doc_id long, text string")).collect()
+    assert {n for n, size in asked if size and size <= 4 << 20} == {"shingle-sets", "candidates", "compared", "block-links"}
