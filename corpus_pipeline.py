@@ -25,7 +25,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetgraph.llm.common import clear_scratch, fold, read_table, scratch_path, scratch_scope, written
+from assetgraph.llm.common import clear_scratch, fold, read_table, scratch_path, scratch_scope, written, written_by
 from assetgraph.llm.decontaminate import find_contamination
 from assetgraph.llm.jaccard_join import jaccard_components
 from assetgraph.llm.language_id import identify_language
@@ -55,16 +55,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each component, of smallest id (null last)."""
-    # ids can repeat or be null, so rows are told apart by a number; written, since it must not change
-    row = f"row_{uuid.uuid4().hex}"
-    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "near-dups")
-    kept = scratch_path(spark, "near-dups-kept")
+    # ids can repeat or be null, so rows are told apart by a number; written, since it must not change, and in buckets, so that no join shuffles the texts again
+    named, name, back = apart(docs)
+    row, doc_id = f"row_{uuid.uuid4().hex}", name["doc_id"]
+    rows = written_by(named.withColumn(row, F.monotonically_increasing_id()), "near_dups", row, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    path = scratch_path(spark, "near-dups-kept")
     with scratch_scope() as made:
-        member = jaccard_components(rows, id_col=row, row_col=row).select(F.col("doc_id").alias(row), "component_id").join(rows.select(row, "doc_id"), row)
-        least = member.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row)).alias("least"))
-        least.select(f"least.{row}").write.parquet(kept)
+        found = jaccard_components(rows, id_col=row, text_col=name["text"], row_col=row).select(F.col("doc_id").alias(row), "component_id")
+        least = found.join(rows.select(row, doc_id), row).groupBy("component_id").agg(F.min(F.struct(F.col(doc_id).isNull(), doc_id, row)).alias("least"))
+        kept = written(least.select(f"least.{row}"), "near-dups-kept", path)
     clear_scratch(spark, made)
-    return rows.join(spark.read.schema(f"{row} bigint").parquet(kept), row, "left_semi").select(*docs.columns)
+    return back(rows.join(kept, row, "left_semi"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

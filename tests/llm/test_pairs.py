@@ -543,3 +543,17 @@ def test_batches_bounded_by_bytes(spark):
         m.setattr(jaccard_join, "written", lambda df, name, **kw: asked.append((name, kw.get("batch_bytes"))) or real(df, name, **kw))
         jaccard_join.jaccard_components(spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f g")], "doc_id long, text string")).collect()
     assert {n for n, size in asked if size and size <= 4 << 20} == {"shingle-sets", "candidates", "compared", "block-links"}
+
+
+def test_near_dups_shuffles_texts_once(spark, tmp_path):
+    """The rows that near_dups keeps are found without a shuffle of their texts."""
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(i, " ".join(f"{rng.randrange(10**5):x}q" for _ in range(30)), "en", "s") for i in range(40)], "doc_id long, text string, lang string, source string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = dict(corpus_pipeline.STAGES)["near_dups"](spark, docs, str(tmp_path))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and out.count() == 40
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
