@@ -557,3 +557,16 @@ def test_near_dups_shuffles_texts_once(spark, tmp_path):
         assert plan.count("Exchange hashpartitioning") == 1 and out.count() == 40
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_blocks_by_band(spark):
+    """Open sets that share a signature meet in a cell; those that only a set of two bands ties together do not."""
+    a, b = -(1 << 40) | 5, -(1 << 40) | 6
+    held = spark.createDataFrame([(1, a, 1), (5, a, 1), (6, a, 1), (2, b, 2), (6, b, 2), (7, b, 2)], "key long, sig long, head long")
+    stars = spark.createDataFrame([(1, 5, 0.5), (1, 6, 0.5), (2, 6, 0.5), (2, 7, 0.5)], "a long, b long, far double")
+    parts = spark.createDataFrame([], "node long, component long")
+    shown = spark.createDataFrame([(k, 20) for k in (1, 2, 5, 6, 7)], "key long, n_shingles long")
+    cells: dict = {}
+    for r in jaccard_join._blocks(held, stars, parts, shown).collect():
+        cells.setdefault((r.c1, r.c2), set()).add(r.key)
+    assert sorted(map(sorted, cells.values())) == [[5, 6], [6, 7]]
