@@ -18,6 +18,7 @@ OPERATOR = r"&&|\|\||>>|<<|&>|[|&;<>]"
 _SEGMENT = r"""'[^']*+'|"(?:[^"\\]++|\\[\s\S])*+"|\\[\s\S]"""
 _WORD = rf"""(?:[^{_BLANK}|&;<>'"\\]++|{_SEGMENT})++"""
 _PIECE = rf"^#[\s\S]*+|[{_BLANK}]++(?:#[\s\S]*+)?|{OPERATOR}|{_WORD}|[\s\S]++"
+_READABLE = rf"^(?:#[\s\S]*+|(?:[{_BLANK}]++(?:#[\s\S]*+)?|{OPERATOR}|{_WORD})*+)\z"  # all pieces but the rest
 _IN_WORD = rf"""[^'"\\]++|{_SEGMENT}"""
 TOKEN_TYPE = "array<struct<kind:string,value:string,raw:string,start:int,end:int,quoted:boolean,substitution:boolean>>"
 
@@ -78,3 +79,8 @@ def shell_tokens(text: Column) -> Column:
 
     none = F.struct(F.array().cast(TOKEN_TYPE).alias("tokens"), F.lit(True).alias("supported"))
     return F.when(F.coalesce(F.length(text), F.lit(0)) > 0, let(F.regexp_extract_all(text, F.lit(_PIECE), 0), open_end, read, result)).otherwise(none)
+
+
+def shell_supported(text: Column) -> Column:
+    """Whether shell_tokens can read a text to its end, without its tokens; most texts have nothing that could stay open."""
+    return F.coalesce(~text.rlike(r"""['"\\]""") | text.rlike(_READABLE), F.lit(True))

@@ -6,8 +6,9 @@ import random
 import re
 
 import pytest
+from assetgraph import security_queries
 from assetgraph.functions.selectors import npm_selector, python_selector
-from assetgraph.functions.shell import shell_tokens
+from assetgraph.functions.shell import shell_supported, shell_tokens
 from assetgraph.functions.spans import match_spans, running_sums
 from assetgraph.operators import commands as C
 from pyspark.sql import functions as F
@@ -293,3 +294,15 @@ def test_reasons(spark):
     df = spark.createDataFrame([(t,) for t in cases], "t string").withColumn("s", shell_tokens(F.col("t"))).withColumn("i", C.dependency_installs(F.col("s.tokens")))
     got = df.select("t", F.array_join(C.unsupported_reasons(F.col("t"), F.col("s.tokens"), F.col("s.supported"), F.col("i")), ",").alias("r")).collect()
     assert {r.t: r.r for r in got} == cases
+
+
+def test_support_without_tokens(spark):
+    """Whether a text can be read is found by one search, which agrees with the tokens; texts are not cut into tokens for it."""
+    rng = random.Random(12)
+    texts = ["".join(rng.choice(["a", "b c", " ", "'", '"', "\\", "#", " #", ";", "&&", ">", "\n", "\u3000", "é"]) for _ in range(rng.randrange(14))) for _ in range(1500)]
+    texts += [None, "", "#'", "a #'", "a#'", ";#'", "'" + "x" * 200_000, "'" + "y\\" * 100_000 + "'", "z " * 100_000 + "\\"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", shell_supported(F.col("t")).alias("one"), shell_tokens(F.col("t"))["supported"].alias("two")).collect()
+    assert not [texts[r.i] for r in rows if r.one != r.two]
+    assert len({r.one for r in rows}) == 2
+    plan = security_queries.shell_line_support(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(" not in plan
