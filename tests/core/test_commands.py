@@ -306,3 +306,17 @@ def test_support_without_tokens(spark):
     assert len({r.one for r in rows}) == 2
     plan = security_queries.shell_line_support(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "transform(" not in plan
+
+
+def test_facts_need_a_hint(spark):
+    """A text with any source or redirection passes the search that comes before its tokens; prose does not."""
+    rng = random.Random(13)
+    some = ["process.env.A", "process.env['B']", ".ENV.x", "/.env", "id_RSA", "ssh/id_dsa", "a.P12", "x.pem", ".key", "b.mobileprovision", ".aws/credentials", ".kube/config", "kubeconfig", "credentials.json", "service-account",
+        "credential store", "secrets.yml", "secret.env", "secu'ri'ty", "S\\ecurity", '"sec"urity', "cms", "-i", "$SIGNING_PATH", "$SIGN'ING'_PA\\TH", "${MY_CERT_PATH}", '"$SECRET_"PATH', "-T", "cat", "@", ">", ">>", "2>", "a.log", "'", '"', " ", " ", " ", "word"]
+    texts = ["".join(rng.choice(some) + rng.choice(["", " "]) for _ in range(rng.randrange(1, 7))) for _ in range(2500)] + ["security cms -D -i x.file", "curl -T $S'IGN'ING_P\\ATH", "plain words of a path to security", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").withColumn("k", shell_tokens(F.col("t"))["tokens"])
+    rows = df.select("i", C.may_hold_facts(F.col("t")).alias("may"), (F.size(C.sensitive_sources(F.col("t"), F.col("k"))) + F.size(C.redirections(F.col("k")))).alias("n")).collect()
+    assert not [texts[r.i] for r in rows if r.n > 0 and not r.may]
+    assert sum(r.n > 0 for r in rows) > 500 and sum(r.may is False for r in rows) > 50
+    plan = security_queries.sensitive_facts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("id_(?:rsa|dsa|ecdsa|ed25519)|kubeconfig") >= 1
