@@ -18,6 +18,7 @@ from ..functions.selectors import npm_selector, python_selector
 from ..functions.shell import shell_tokens
 from ..functions.spans import let, match_spans, running_max
 from ..operators import commands
+from .scratch import dealt
 
 # Rules by id: severity, confidence, risk class, title.
 DEFINITIONS = {
@@ -75,6 +76,14 @@ _EXECUTABLE = r"^\s*(?:(?:[-*+$%]|\d+[.)])\s+)*+(?:[A-Za-z_]\w*=\S*\s+)*+(?:(?:\
 _SUDO = r"(?:(?:\S*/)?sudo\s+(?:-[ughpCTRD]\s+\S+\s+|--(?:user|group|host|prompt|chdir|command-timeout|chroot)\s+\S+\s+|-\S+\s+)*+(?:[A-Za-z_]\w*=\S*\s+)*+(?:(?:\S*/)?(?:command|env)\s+(?:-\S+\s+)*+(?:[A-Za-z_]\w*=\S*\s+)*+)*+)?"
 MAY_CONCERN = "|".join(x.removeprefix("(?i)") for x in (COMMAND_LIKE, PRIVILEGED, DESTRUCTIVE, TEMP, DISCLOSES, OVERBROAD, NO_REDACTION, UNREDACTED, CLOUD, CREDENTIAL_ANY, r"\b(?:https?:|get|put|sync|fetch|download|attach|Authorization)\b|//|\\\\|\.[a-z]|id_|secret|credential|service-account|kubeconfig|_PATH"))
 
+# What a text holds that has a line of MAY_CONCERN: of each pattern a word or sign that it cannot do without, none of which looks further than itself.
+ANY_CONCERN = (
+    r"\b(?:a(?:ttach|uthorization|ws|z)|brew|c(?:at|hmod|hown|ollect|p|url)|d(?:ocker|ownload|rop\s+database|ump)|e(?:cho|xport)|fetch|g(?:cloud|et|h|it)|https?|in(?:clude|cluded|cluding|gest)|kubectl"
+    r"|l(?:aunchctl|og|oad|oaded|oading)|m(?:ask|kdir|ount|v)|npm|o(?:bfuscate|utput)|p(?:aste|ip3?|npm|ost|rint|rovide|rovided|roviding|ublish|ush|ut|y|ython\d*)|r(?:aw|ead|edact|edaction|m)"
+    r"|s(?:anitize|end|hare|ubmit|udo|ync|ystemctl)|t(?:ouch|runcate\s+table)|u(?:nfiltered|nmasked|nredacted|nsanitized|pload|v)|wget|yarn)\b"
+    r"|/(?:/|tmp/)|\\\\|\.[a-z]|_PATH|-(?:token|passw|api|key|cert|signing|auth)|id_|se(?:cret|rvice-account)|credential|kubeconfig"
+)
+
 
 @dataclass
 class Policy:
@@ -193,10 +202,18 @@ def _disallowed(line: Column, names: Iterable[str]) -> Column:
     return out
 
 
+def may_concern(text: Column, policy: Policy) -> Column:
+    """Whether any line of a text can concern a rule: one search that most texts fail, before they are cut into lines."""
+    names = [r"\s+".join(rf"\Q{w}\E" for w in n.split()) for n in policy.disallowed if n.strip()]
+    found = text.rlike(f"(?i){ANY_CONCERN}")
+    return found | text.rlike(f"(?iu){'|'.join(names)}") if names else found
+
+
 def scanned_lines(docs: DataFrame, doc: str, text: str, policy: Policy) -> DataFrame:
     """Lines that a rule can concern, with the facts that rules are made of."""
     c = F.col("content")
-    lines = docs.select(F.col(doc).alias("doc"), F.explode(numbered_lines(F.col(text))).alias("l")).select("doc", "l.*")
+    texts = dealt(docs.where(may_concern(F.col(text), policy)).select(F.col(doc).alias("doc"), F.col(text).alias("text")), "doc")
+    lines = texts.select("doc", F.explode(numbered_lines(F.col("text"))).alias("l")).select("doc", "l.*")
     names = [n for n in policy.disallowed if n.strip()]
     concern = c.rlike(f"(?i){MAY_CONCERN}")
     out = lines.where(concern | _disallowed(c, names).isNotNull() if names else concern)

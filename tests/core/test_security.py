@@ -128,6 +128,22 @@ def test_actions(spark):
     assert {r.t: {x.kind for x in r.a} for r in got} == cases
 
 
+def test_texts_without_concern(spark):
+    """A search over whole texts passes every text with a line that a rule can concern, drops prose, and deals the rest over all tasks."""
+    rng = random.Random(21)
+    words = [w for w in re.findall(r"[A-Za-z]{2,}", S.MAY_CONCERN) if w not in ("https", "http")]
+    some = [*words, "python3.11", "pip3", "https:", "//", "\\\\\\\\", "--token", "-key=", "/tmp/x", "do not", "a.b", "TELNET", "Net  Cat", "net", "cat", "_PATH", "s3://x", "id_rsa", "Authorization", "x", "of", "the", "=", "é"]
+    texts = ["\n".join(" ".join(rng.choice(some) for _ in range(rng.randrange(5))) for _ in range(2)) for _ in range(3000)] + [rng.choice(some) for _ in range(1500)]
+    policy = S.Policy(disallowed=("telnet", "net cat", "é+("))
+    c = F.col("content")
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    rows = df.withColumn("content", F.explode(F.split("text", "\n"))).where(c.rlike(f"(?i){S.MAY_CONCERN}") | S._disallowed(c, policy.disallowed).isNotNull())
+    assert rows.where(~S.may_concern(F.col("text"), policy)).count() == 0 and rows.count() > 2000
+    assert df.where(~S.may_concern(F.col("text"), policy)).count() > 50
+    one = spark.createDataFrame([(i, "rm -rf x") for i in range(40)], "doc_id int, text string").coalesce(1)
+    assert S.scanned_lines(one, "doc_id", "text", S.Policy()).rdd.getNumPartitions() == 4
+
+
 @pytest.mark.parametrize("name", ["security_pass", "destination_facts"])
 def test_queries(spark, name):
     rows = core.QUERIES[name](spark, SF).collect()
