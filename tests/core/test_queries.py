@@ -57,3 +57,28 @@ def test_window_hashes(spark):
         got = duplicates.window_hashes(spark.createDataFrame([(words,), (["a"],)], "w array<string>"), "w", length).collect()
         windows = [tuple(words[i : i + length]) for i in range(61 - length)]
         assert len(got[0].h) == len(windows) and len(set(zip(windows, got[0].h))) == len(set(windows)) == len(set(got[0].h)) and len(got[1].h) == (length == 1)
+
+
+def test_anchors_bound_the_windows(spark, monkeypatch):
+    """Windows that come back are found by anchors, against plain Python; of texts that share none, no window is shuffled or written."""
+    rng = random.Random(3)
+    some = [[f"w{rng.randrange(10**6)}" for _ in range(60)] for _ in range(3)]
+    texts = [" ".join(f"u{rng.randrange(10**6)}" for _ in range(rng.randrange(30, 90))) for _ in range(30)]
+    texts += [" ".join([*(f"v{rng.randrange(10**6)}" for _ in range(rng.randrange(30))), *rng.choice(some)[rng.randrange(8) :], "end", *rng.choice(some)[:45]]) for _ in range(14)] + ["", None, "short"]
+    tables = {}
+    real = duplicates.written
+    monkeypatch.setattr(duplicates, "written", lambda df, name: tables.setdefault(name, real(df, name)))
+    got = duplicates.shingle_groups(duplicates.token_windows(spark.createDataFrame(list(enumerate(texts)), "d int, t string"), "d", "t"), "d").collect()
+    where: dict = {}
+    for i, t in enumerate(texts):
+        w = (t or "").split()
+        for p in range(len(w) - 39):
+            where.setdefault(" ".join(w[p : p + 40]), set()).add(i)
+    assert {r.key: (r.n_docs, r.path) for r in got} == {k: (len(v), min(v)) for k, v in where.items() if len(v) >= 3} and got
+    assert {r.d for r in tables["tokens"].select("d").collect()} <= set(range(30, 44))
+    windows = sum(max(0, len((t or "").split()) - 39) for t in texts)
+    assert tables["anchors"].count() < windows / 4
+    values = [[rng.randrange(100) for _ in range(n)] for n in (0, 1, 4, 5, 6, 40)]
+    for width in (1, 2, 5, 33):
+        rows = spark.createDataFrame([(v,) for v in values], "v array<int>").select(duplicates.sliding_least(F.col("v"), width).alias("m")).collect()
+        assert [r.m for r in rows] == [[min(v[i : i + width]) for i in range(len(v) - width + 1)] for v in values]
